@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagesift.functions.exprs import let
 from pagesift.functions.text import normalize_text, remove_markers, space_count
 
 # ---- fixed values: must equal the reference's class labels ----
@@ -37,11 +38,19 @@ def extract_article(df: DataFrame, flag: str = "prediction",
     normalized; a page without such a block falls back to its whole-body
     text.  Adds ``out`` and ``fallback BOOLEAN``."""
     chosen = F.filter("blocks", lambda b: b[flag] == POSITIVE_LABEL)
-    joined = normalize_text(F.array_join(
-        F.transform(chosen, lambda b: remove_markers(b["text"])), "\n"))
-    none = F.size(chosen) == 0
-    return (df.withColumn(out, F.when(none, F.col("body_text")).otherwise(joined))
-              .withColumn("fallback", none))
+
+    def assemble(c):
+        none = F.size(c) == 0
+        joined = normalize_text(F.array_join(
+            F.transform(c, lambda b: remove_markers(b["text"])), "\n"))
+        return F.struct(F.when(none, F.col("body_text")).otherwise(joined).alias("text"),
+                        none.alias("fallback"))
+    # the selected blocks are filtered once, then read twice
+    art = let(chosen, assemble)
+    return (df.withColumn("_art", art)
+              .withColumn(out, F.col("_art.text"))
+              .withColumn("fallback", F.col("_art.fallback"))
+              .drop("_art"))
 
 
 def with_gold_predictions(df: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagesift.functions.exprs import let
 from pagesift.functions.text import whitespace_tokens
 
 METRICS = ["precision", "recall", "f1", "lcs_precision", "lcs_recall", "lcs_f1"]
@@ -31,23 +32,41 @@ def _f1(p: Column, r: Column) -> Column:
     return F.when((p + r) > 0, _ratio(2 * p * r, p + r)).when(p.isNotNull(), F.lit(0.0))
 
 
-def _scores(common: Column, n_e: Column, n_m: Column, prefix: str):
-    floor1 = F.when(common == 0, F.lit(1)).otherwise(common)
-    p = F.when(n_m == 0, F.lit(None).cast("double")).when(n_e == 0, F.lit(0.0)) \
-         .otherwise(_ratio(floor1, n_e))
-    r = F.when(n_m == 0, F.lit(None).cast("double")).when(n_e == 0, F.lit(0.0)) \
-         .otherwise(_ratio(floor1, n_m))
-    return [p.alias(prefix + "precision"), r.alias(prefix + "recall"),
-            _f1(p, r).alias(prefix + "f1")]
+def _score_struct(common: Column, n_e: Column, n_m: Column) -> Column:
+    """STRUCT<precision, recall, f1> from the common / extracted / gold counts."""
+    def ratios(c):
+        floor1 = F.greatest(c["common"], F.lit(1))
+        p = F.when(c["nm"] == 0, F.lit(None).cast("double")) \
+             .when(c["ne"] == 0, F.lit(0.0)).otherwise(_ratio(floor1, c["ne"]))
+        r = F.when(c["nm"] == 0, F.lit(None).cast("double")) \
+             .when(c["ne"] == 0, F.lit(0.0)).otherwise(_ratio(floor1, c["nm"]))
+        return F.struct(p.alias("p"), r.alias("r"))
+
+    def with_f1(pr):
+        return F.struct(pr["p"].alias("precision"), pr["r"].alias("recall"),
+                        _f1(pr["p"], pr["r"]).alias("f1"))
+    counts = F.struct(common.alias("common"), n_e.alias("ne"), n_m.alias("nm"))
+    return let(let(counts, ratios), with_f1)
+
+
+def _token_score_struct(extracted, gold) -> Column:
+    """Token-set scores of two texts; each text is tokenized once."""
+    sets = F.struct(F.array_distinct(whitespace_tokens(extracted)).alias("e"),
+                    F.array_distinct(whitespace_tokens(gold)).alias("m"))
+    return let(sets, lambda t: _score_struct(
+        F.size(F.array_intersect(t["e"], t["m"])), F.size(t["e"]), F.size(t["m"])))
+
+
+def _expand(df: DataFrame, keys, col: str, prefix: str) -> DataFrame:
+    return df.select(*keys, *[F.col(f"{col}.{m}").alias(prefix + m)
+                              for m in ("precision", "recall", "f1")])
 
 
 def eval_tokens(df: DataFrame, extracted: str = "extracted", gold: str = "gold",
                 keys=("page_id",)) -> DataFrame:
     """Token-set precision, recall, F1 per page."""
-    e = F.array_distinct(whitespace_tokens(extracted))
-    m = F.array_distinct(whitespace_tokens(gold))
-    common = F.size(F.array_intersect(e, m))
-    return df.select(*keys, *_scores(common, F.size(e), F.size(m), ""))
+    scored = df.select(*keys, _token_score_struct(extracted, gold).alias("_tm"))
+    return _expand(scored, keys, "_tm", "")
 
 
 @F.pandas_udf(T.IntegerType())
@@ -68,8 +87,11 @@ def eval_lcs(df: DataFrame, extracted: str = "extracted", gold: str = "gold",
     tokens) and F1 per page; token counts, not sets."""
     tok = df.select(*keys, whitespace_tokens(extracted).alias("_e"),
                     whitespace_tokens(gold).alias("_m"))
-    with_lcs = tok.select(*keys, "_e", "_m", lcs_length_udf("_e", "_m").alias("_lcs"))
-    return with_lcs.select(*keys, *_scores(F.col("_lcs"), F.size("_e"), F.size("_m"), "lcs_"))
+    with_lcs = tok.select(*keys, F.size("_e").alias("_ne"), F.size("_m").alias("_nm"),
+                          lcs_length_udf("_e", "_m").alias("_lcs"))
+    scored = with_lcs.select(*keys, _score_struct(F.col("_lcs"), F.col("_ne"), F.col("_nm"))
+                             .alias("_lm"))
+    return _expand(scored, keys, "_lm", "lcs_")
 
 
 def lcs_inclusion(df: DataFrame, extracted: str = "extracted", gold: str = "gold",
@@ -87,18 +109,19 @@ def evaluate(df: DataFrame, extracted: str = "extracted", gold: str = "gold",
     """Per-page token metrics, plus LCS metrics when ``lcs``."""
     if not lcs:
         return eval_tokens(df, extracted, gold, keys)
-    src = df.select(*keys, extracted, gold)
-    e = whitespace_tokens(extracted)
-    m = whitespace_tokens(gold)
-    ed, md = F.array_distinct(e), F.array_distinct(m)
-    with_tokens = src.select(*keys, e.alias("_e"), m.alias("_m"),
-                             F.size(F.array_intersect(ed, md)).alias("_common"),
-                             F.size(ed).alias("_ne"), F.size(md).alias("_nm"))
-    scored = with_tokens.select(*keys, "_e", "_m", "_common", "_ne", "_nm",
-                                lcs_length_udf("_e", "_m").alias("_lcs"))
-    return scored.select(
-        *keys, *_scores(F.col("_common"), F.col("_ne"), F.col("_nm"), ""),
-        *_scores(F.col("_lcs"), F.size("_e"), F.size("_m"), "lcs_"))
+    tok = df.select(*keys, whitespace_tokens(extracted).alias("_e"),
+                    whitespace_tokens(gold).alias("_m"))
+    counted = tok.select(*keys, "_e", "_m", F.size("_e").alias("_ne"),
+                         F.size("_m").alias("_nm"),
+                         let(F.struct(F.array_distinct("_e").alias("e"),
+                                      F.array_distinct("_m").alias("m")),
+                             lambda t: _score_struct(F.size(F.array_intersect(t["e"], t["m"])),
+                                                     F.size(t["e"]), F.size(t["m"]))).alias("_tm"))
+    with_lcs = counted.select(*keys, "_tm", "_ne", "_nm", lcs_length_udf("_e", "_m").alias("_lcs"))
+    scored = with_lcs.select(*keys, "_tm", _score_struct(F.col("_lcs"), F.col("_ne"), F.col("_nm"))
+                             .alias("_lm"))
+    return scored.select(*keys, *[F.col(f"_tm.{m}").alias(m) for m in ("precision", "recall", "f1")],
+                         *[F.col(f"_lm.{m}").alias("lcs_" + m) for m in ("precision", "recall", "f1")])
 
 
 def eval_report(metrics: DataFrame, round_col: str = "round") -> DataFrame:
@@ -109,6 +132,8 @@ def eval_report(metrics: DataFrame, round_col: str = "round") -> DataFrame:
         F.count("*").cast("bigint").alias("n_docs"),
         F.count_if(F.col(present[0]).isNull()).cast("bigint").alias("n_skipped"),
         *[F.avg(c).alias(c) for c in present])
+    # one row per round: cached so the final row does not recompute the rounds
+    per_round = per_round.persist()
     final = per_round.agg(
         F.lit(-1).cast("int").alias(round_col),
         F.sum("n_docs").cast("bigint").alias("n_docs"),

@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagesift.functions.exprs import let
 from pagesift.functions.text import (anchor_text, remove_markers, sentence_count,
                                      space_count)
 
@@ -33,34 +34,54 @@ RELATIVE_POSITION = "relative_position"
 INDICATIVE_TOKENS = "indicative_tokens"
 
 
-def _raw_counts(b: Column) -> Column:
-    plain = remove_markers(b["text"])
-    words = F.greatest(space_count(plain), F.lit(1))
-    lines = F.greatest(F.floor(F.length(plain) / CHARS_PER_LINE).cast("int"), F.lit(1))
-    sentences = F.greatest(sentence_count(plain), F.lit(1))
-    link_words = space_count(anchor_text(b["text"]))
-    wps = words.cast("double") / sentences
-    return (b.withField("words_raw", words)
+def _text_parts(b: Column) -> Column:
+    """Stage 1: the regex work, once per block."""
+    return (b.withField("_plain", remove_markers(b["text"]))
+             .withField("_link_words", space_count(anchor_text(b["text"]))))
+
+
+def _counts(b: Column) -> Column:
+    """Stage 2: integer counts from the unmarked text (0 -> 1)."""
+    plain = b["_plain"]
+    return (b.withField("words_raw", F.greatest(space_count(plain), F.lit(1)))
+             .withField("_lines", F.greatest(
+                 F.floor(F.length(plain) / CHARS_PER_LINE).cast("int"), F.lit(1)))
+             .withField("_sentences", F.greatest(sentence_count(plain), F.lit(1))))
+
+
+def _densities(b: Column) -> Column:
+    """Stage 3: the four per-block values (words and words/sentence capped)."""
+    words = b["words_raw"].cast("double")
+    wps = words / b["_sentences"]
+    return (b.dropFields("_plain")
              .withField("wps_raw", wps)
-             .withField("num_words", F.least(words, F.lit(NUM_WORDS_CAP)).cast("double"))
+             .withField("num_words", F.least(words, F.lit(float(NUM_WORDS_CAP))))
              .withField("words_per_sentence",
                         F.least(wps, F.lit(float(NUM_WORDS_PER_SENTENCE_CAP))))
-             .withField("text_density", words.cast("double") / lines)
-             .withField("link_density", link_words.cast("double") / words))
+             .withField("text_density", words / b["_lines"])
+             .withField("link_density", b["_link_words"].cast("double") / words)
+             .dropFields("_lines", "_sentences", "_link_words"))
 
 
 def block_features(df: DataFrame) -> DataFrame:
     """Add the seven shallow-text values to every block (plus the uncapped
-    ``words_raw``/``wps_raw`` used by diagnostics)."""
-    base = df.withColumn("blocks", F.transform("blocks", _raw_counts))
-
-    def with_quotients(b, i):
-        prev = F.get(F.col("blocks"), F.greatest(i - 1, F.lit(0)))
-        return (b.withField("num_words_q", b["num_words"] / prev["num_words"])
-                 .withField("words_per_sentence_q",
-                            b["words_per_sentence"] / prev["words_per_sentence"])
-                 .withField("text_density_q", b["text_density"] / prev["text_density"]))
-    return base.withColumn("blocks", F.transform("blocks", with_quotients))
+    ``words_raw``/``wps_raw`` used by diagnostics).
+
+    Each stage is its own ``transform`` so a value computed in one stage is
+    read, not recomputed, by the next.
+    """
+    staged = F.transform(F.transform(F.transform("blocks", _text_parts), _counts), _densities)
+
+    def with_quotients(arr):
+        def one(b, i):
+            prev = F.get(arr, F.greatest(i - 1, F.lit(0)))
+            return (b.withField("num_words_q", b["num_words"] / prev["num_words"])
+                     .withField("words_per_sentence_q",
+                                b["words_per_sentence"] / prev["words_per_sentence"])
+                     .withField("text_density_q", b["text_density"] / prev["text_density"]))
+        return F.transform(arr, one)
+    # the staged array is bound once; each block reads its predecessor from it
+    return df.withColumn("blocks", let(staged, with_quotients))
 
 
 def relative_position(df: DataFrame) -> DataFrame:

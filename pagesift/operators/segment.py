@@ -44,14 +44,17 @@ def segment_blocks(docs: DataFrame, html_col: str = "html") -> DataFrame:
     """
     others = [c for c in docs.columns if c != html_col]
     walked = docs.select(*others, _walk_pages(F.col(html_col)).alias("_seg"))
-    blocks = F.transform(
+    # tokens are materialized once per block, then counted (the bag reads
+    # the token array several times)
+    tokenized = walked.select(*others, F.transform(
         F.col("_seg.raw_blocks"),
         lambda b, i: F.struct(
-            (i + 1).cast("int").alias("pos"),
-            b["text"].alias("text"),
-            token_bag(F.flatten(F.transform(b["css_src"], css_tokens))).alias("css")))
-    return walked.select(*others, blocks.alias("blocks"),
-                         F.col("_seg.body_text").alias("body_text"))
+            (i + 1).cast("int").alias("pos"), b["text"].alias("text"),
+            F.flatten(F.transform(b["css_src"], css_tokens)).alias("tokens"))).alias("_tok"),
+        F.col("_seg.body_text").alias("body_text"))
+    blocks = F.transform("_tok", lambda b: F.struct(
+        b["pos"].alias("pos"), b["text"].alias("text"), token_bag(b["tokens"]).alias("css")))
+    return tokenized.select(*others, blocks.alias("blocks"), "body_text")
 
 
 def explode_blocks(df: DataFrame, keep=()) -> DataFrame:

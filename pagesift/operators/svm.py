@@ -98,7 +98,8 @@ class SVMModel:
 
 
 def svm_fit(examples: DataFrame, dim: int, components: int = DEFAULT_COMPONENTS,
-            c: float = 1.0, seed: int = DEFAULT_SEED, max_iter: int = 100) -> SVMModel:
+            c: float = 1.0, seed: int = DEFAULT_SEED, max_iter: int = 30,
+            tol: float = 1e-4) -> SVMModel:
     """M1: fit scaler, random Fourier map and LinearSVC on ``(label, f)``."""
     scaler = scaler_fit(examples, dim)
     fourier = FourierMap.draw(dim, components, seed=seed)
@@ -107,7 +108,7 @@ def svm_fit(examples: DataFrame, dim: int, components: int = DEFAULT_COMPONENTS,
                       array_to_vector(fourier.udf()(F.col("f"))).alias("features"))
               .persist())
     n = mapped.count()
-    svc = LinearSVC(featuresCol="features", labelCol="label", maxIter=max_iter,
+    svc = LinearSVC(featuresCol="features", labelCol="label", maxIter=max_iter, tol=tol,
                     regParam=1.0 / (c * max(n, 1)), standardization=False)
     model = svc.fit(mapped)
     mapped.unpersist()
