@@ -407,6 +407,15 @@ def q_block_cv(spark, sf):
     return folds
 
 
+def q_stream_extract(spark, sf):
+    """Pages streamed from the pages table through segmentation, a batch-fitted
+    naive-Bayes model and article assembly (availableNow trigger)."""
+    from pagesift.streaming.scoring import page_stream, run_to_table, score_pages_stream
+    _, model = _nb(spark, sf)
+    path = run_to_table(score_pages_stream(page_stream(spark, sf, "pages.parquet"), model))
+    return spark.read.parquet(path).select("page_id", "extracted", "fallback")
+
+
 def q_block_cv_summary(spark, sf):
     return cv_summary(q_block_cv(spark, sf), "accuracy")
 
@@ -463,4 +472,5 @@ QUERIES = {
     "nb_cv_eval": q_nb_cv_eval,
     "block_cv": q_block_cv,
     "block_cv_summary": q_block_cv_summary,
+    "stream_extract": q_stream_extract,
 }

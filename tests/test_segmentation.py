@@ -68,7 +68,7 @@ def test_body_text_is_plain_concatenation():
 
 def test_one_udf_evaluation_in_plan(spark):
     df = spark.createDataFrame([(1, _page("<p>a b c d</p>"))], "page_id long, html string")
-    plan = segment_blocks(df)._jdf.queryExecution().executedPlan().toString()
+    plan = segment_blocks(df)._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
 
 
