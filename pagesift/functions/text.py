@@ -18,10 +18,11 @@ LONG_TOKEN_CHARS = 16          # tokens longer than this become LONG_CLASS
 SENTENCE_DELIMITERS = ".,?!"   # characters counted as sentence ends
 # ---- end of fixed values ----
 
-# Characters Python's str.strip() removes beyond ASCII whitespace.
-_UNICODE_SPACE = (r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-                  r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
-_STRIP = rf"^{_UNICODE_SPACE}+|{_UNICODE_SPACE}+$"
+# Characters Python's str.strip() removes: ASCII whitespace plus the
+# Unicode separators (trimmed from the ends only, never scanned for).
+STRIP_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+               + "".join(chr(c) for c in range(0x2000, 0x200B))
+               + "\u2028\u2029\u202f\u205f\u3000")
 _MARKER_RE = "<<LINK<<|>>LINK>>"
 _ANCHOR_RE = "<<LINK<<(.*?)>>LINK>>"
 
@@ -30,15 +31,19 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def strip(col) -> Column:
+    """Unicode-aware strip of both ends."""
+    return F.trim(_c(col), F.lit(STRIP_CHARS))
+
+
 def normalize_text(col) -> Column:
     """ASCII whitespace runs -> one space, then strip (Unicode-aware)."""
-    return F.regexp_replace(F.regexp_replace(_c(col), r"\s+", " "), _STRIP, "")
+    return strip(F.regexp_replace(_c(col), r"\s+", " "))
 
 
 def mark_anchor(col) -> Column:
     """Wrap stripped anchor text in link markers."""
-    stripped = F.regexp_replace(_c(col), _STRIP, "")
-    return F.concat(F.lit(LINK_BEGIN), stripped, F.lit(LINK_END))
+    return F.concat(F.lit(LINK_BEGIN), strip(col), F.lit(LINK_END))
 
 
 def anchor_text(col) -> Column:

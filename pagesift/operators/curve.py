@@ -2,7 +2,9 @@
 
 The median and the cumulative curve need positions in score order; they use
 ``ordering.with_global_index`` (range partitioning + per-partition offsets)
-instead of a single-task window or a collect of all scores.
+instead of a single-task window or a collect of all scores.  The one-column
+score table is checkpointed first, so the ordering passes do not recompute
+the pages that produced it.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ def score_summary(df: DataFrame, col: str = "f1") -> DataFrame:
     """``n``, ``mean`` and ``median`` (mean of the two middle values for
     an even count) of the non-NULL scores in ``col``."""
     valid = df.select(F.col(col).cast("double").alias("_s")).filter(F.col("_s").isNotNull())
-    idx = with_global_index(valid, [F.col("_s")], "_i", total="_n")
+    idx = with_global_index(valid, [F.col("_s")], "_i", total="_n", materialize=True)
     lo = F.floor((F.col("_n") - 1) / 2)
     hi = F.floor(F.col("_n") / 2)
     return idx.agg(F.count("*").cast("bigint").alias("n"),
@@ -30,7 +32,7 @@ def score_curve(df: DataFrame, col: str = "f1") -> DataFrame:
     """For each distinct score ``y`` (descending), ``x`` = number of
     documents scoring at least ``y``."""
     valid = df.select(F.col(col).cast("double").alias("y")).filter(F.col("y").isNotNull())
-    idx = with_global_index(valid, [F.col("y").desc()], "_i")
+    idx = with_global_index(valid, [F.col("y").desc()], "_i", materialize=True)
     return idx.groupBy("y").agg((F.max("_i") + 1).cast("bigint").alias("x")).select("x", "y")
 
 

@@ -157,9 +157,12 @@ def _block_fields(df: DataFrame) -> list[str]:
 
 def training_examples(df: DataFrame, keys=("page_id",)) -> DataFrame:
     """Long form ``(keys, pos, label, f)`` for model fitting."""
-    return df.select(*keys, F.inline(F.transform(
+    # outer generator + null filter keeps the optimizer from inferring a
+    # filter on ``blocks`` and pushing it below the segmentation UDF
+    rows = df.select(*keys, F.inline_outer(F.transform(
         "blocks", lambda b: F.struct(b["pos"].alias("pos"), b["label"].alias("label"),
                                      b["f"].alias("f")))))
+    return rows.filter(F.col("pos").isNotNull())
 
 
 def unique_examples(examples: DataFrame) -> DataFrame:

@@ -24,16 +24,17 @@ LITERAL_VOCAB_LIMIT = 1024
 
 def css_long(df: DataFrame, keys=("page_id",)) -> DataFrame:
     """Blocks to ``(keys, pos, label, token, cnt)``, one row per bag entry."""
-    blocks = df.select(*keys, F.inline(F.transform(
+    # outer generator + null filter: see ``segment.explode_blocks``
+    blocks = df.select(*keys, F.inline_outer(F.transform(
         "blocks", lambda b: F.struct(b["pos"].alias("pos"), b["label"].alias("label"),
-                                     b["css"].alias("css")))))
+                                     b["css"].alias("css"))))).filter(F.col("pos").isNotNull())
     return blocks.select(*keys, "pos", "label",
                          F.explode("css").alias("token", "cnt"))
 
 
 def block_count(df: DataFrame) -> DataFrame:
     """One row: number of blocks and of positive blocks."""
-    return df.select(F.explode("blocks").alias("b")).agg(
+    return df.select(F.explode_outer("blocks").alias("b")).filter(F.col("b").isNotNull()).agg(
         F.count("*").alias("n_blocks"),
         F.count_if(F.col("b.label") == 1).alias("n_positive"))
 

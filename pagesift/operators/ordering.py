@@ -17,13 +17,21 @@ _LOCAL_BITS = 33
 
 
 def with_global_index(df: DataFrame, order: list[Column], name: str = "idx",
-                      total: str | None = None, partitions: int | None = None) -> DataFrame:
+                      total: str | None = None, partitions: int | None = None,
+                      materialize: bool = False) -> DataFrame:
     """Add ``name``: 0-based position of the row in ``order``.
 
     ``order`` must be a total order (unique keys) for a reproducible result.
-    ``total`` optionally adds the overall row count.
+    ``total`` optionally adds the overall row count.  ``materialize`` writes
+    the input to the checkpoint folder first (cutting lineage), so the range
+    sampling pass and the shuffle read it instead of recomputing an
+    expensive upstream; use it on narrow inputs.
     """
     spark = df.sparkSession
+    if materialize:
+        from pagesift.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(spark)
+        df = df.checkpoint(eager=True)
     n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # an explicit partition count keeps AQE from coalescing the two reads of
     # this shuffle differently

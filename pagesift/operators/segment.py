@@ -33,7 +33,20 @@ def _walk_pages(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"raw_blocks": blocks, "body_text": bodies})
 
 
-def segment_blocks(docs: DataFrame, html_col: str = "html") -> DataFrame:
+def spread_for_python(df: DataFrame) -> DataFrame:
+    """Round-robin a batch input that has fewer partitions than the cluster
+    has cores, so the Python stage uses them all.  Large inputs already scan
+    as many splits (one per parquet row group) and pass through unchanged;
+    only a small, coarsely split input pays this shuffle."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
+def segment_blocks(docs: DataFrame, html_col: str = "html", spread: bool = True) -> DataFrame:
     """Replace ``html`` by ``blocks ARRAY<STRUCT<pos INT, text STRING,
     css MAP<STRING,INT>>>`` and ``body_text STRING`` (normalized whole-body
     text, the fallback article).
@@ -42,18 +55,24 @@ def segment_blocks(docs: DataFrame, html_col: str = "html") -> DataFrame:
     css bag of a block is the summed token bags of its css sources, built
     with built-in higher-order functions.
     """
+    if spread:
+        docs = spread_for_python(docs)
     others = [c for c in docs.columns if c != html_col]
     walked = docs.select(*others, _walk_pages(F.col(html_col)).alias("_seg"))
     # tokens are materialized once per block, then counted (the bag reads
     # the token array several times)
+    no_tokens = F.array().cast("array<string>")
+    no_bag = F.create_map().cast("map<string,int>")
     tokenized = walked.select(*others, F.transform(
         F.col("_seg.raw_blocks"),
         lambda b, i: F.struct(
             (i + 1).cast("int").alias("pos"), b["text"].alias("text"),
-            F.flatten(F.transform(b["css_src"], css_tokens)).alias("tokens"))).alias("_tok"),
-        F.col("_seg.body_text").alias("body_text"))
+            F.when(F.size(b["css_src"]) == 0, no_tokens)
+            .otherwise(F.flatten(F.transform(b["css_src"], css_tokens))).alias("tokens")))
+        .alias("_tok"), F.col("_seg.body_text").alias("body_text"))
     blocks = F.transform("_tok", lambda b: F.struct(
-        b["pos"].alias("pos"), b["text"].alias("text"), token_bag(b["tokens"]).alias("css")))
+        b["pos"].alias("pos"), b["text"].alias("text"),
+        F.when(F.size(b["tokens"]) == 0, no_bag).otherwise(token_bag(b["tokens"])).alias("css")))
     return tokenized.select(*others, blocks.alias("blocks"), "body_text")
 
 
@@ -61,4 +80,6 @@ def explode_blocks(df: DataFrame, keep=()) -> DataFrame:
     """Long form: one row per block (no shuffle; rows stay on their page's task)."""
     keys = [c for c in df.columns if c not in ("blocks", "body_text", "gold", "html")]
     keys += [c for c in keep if c not in keys]
-    return df.select(*keys, F.inline("blocks"))
+    # outer generator + null filter: an inner one lets the optimizer infer
+    # ``size(blocks) > 0`` and push it below the UDF, evaluating it twice
+    return df.select(*keys, F.inline_outer("blocks")).filter(F.col("pos").isNotNull())

@@ -47,8 +47,12 @@ def _pages(spark, sf):
 
 
 def _long(df, *fields):
-    return df.select("page_id", F.inline(F.transform(
-        "blocks", lambda b: F.struct(*[b[f].alias(f) for f in fields]))))
+    # outer generator + explicit null filter: an inner one makes the optimizer
+    # infer ``size(blocks) > 0`` and push it below the segmentation UDF,
+    # evaluating the UDF twice
+    rows = df.select("page_id", F.inline_outer(F.transform(
+        "blocks", lambda b: F.struct(F.lit(True).alias("_row"), *[b[f].alias(f) for f in fields]))))
+    return rows.filter(F.col("_row").isNotNull()).select("page_id", *fields)
 
 
 # -- sources / joins -------------------------------------------------------
@@ -122,13 +126,15 @@ def _css_sources(spark, sf):
 
 def q_css_tokens(spark, sf):
     src = _css_sources(spark, sf)
-    return src.select("source", "id", F.posexplode(css_tokens("s")).alias("idx", "token")) \
+    return src.select("source", "id", F.posexplode_outer(css_tokens("s")).alias("idx", "token")) \
+              .filter(F.col("idx").isNotNull()) \
               .select("source", "id", F.col("idx").cast("int").alias("idx"), "token")
 
 
 def q_css_token_counts(spark, sf):
     src = _css_sources(spark, sf)
-    return src.select("source", "id", F.explode(token_bag(css_tokens("s"))).alias("token", "cnt")) \
+    return src.select("source", "id", F.explode_outer(token_bag(css_tokens("s"))).alias("token", "cnt")) \
+              .filter(F.col("token").isNotNull()) \
               .select("source", "id", "token", F.col("cnt").cast("int").alias("cnt"))
 
 
@@ -318,7 +324,8 @@ def q_nb_model(spark, sf):
 def q_nb_sparseness(spark, sf):
     pages = _pages(spark, sf)
     # one row per block and bag entry; a token-less block keeps one NULL row
-    cells = pages.select(F.explode("blocks").alias("b")).select(
+    cells = pages.select(F.explode_outer("blocks").alias("b")).filter(
+        F.col("b").isNotNull()).select(
         F.posexplode_outer("b.css").alias("k", "token", "cnt"))
     one = cells.agg(F.count_if(F.col("k").isNull() | (F.col("k") == 0)).alias("n_blocks"),
                     F.count_distinct("token").alias("n_tokens"),
