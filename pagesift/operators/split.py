@@ -1,7 +1,10 @@
 """Document sampling and splits (K3, K4, M5/W4), all distributed.
 
-Positions come from ``ordering.with_global_index``; fold and split rules
-only compare a row's position with the total count.
+Positions come from ``ordering.with_global_index`` computed on the narrow key
+column only (checkpointed, so the ordering passes do not recompute the
+pages); the assignment is then joined back on the key -- broadcast when the
+key table is within a checked size, a shuffle join otherwise.  Fold and
+split rules only compare a row's position with the total count.
 """
 
 from __future__ import annotations
@@ -12,6 +15,19 @@ from pyspark.sql import functions as F
 from pagesift.operators.ordering import with_global_index
 
 DEFAULT_SEED = 42
+# Largest key -> assignment table broadcast back to the rows.
+BROADCAST_KEYS_LIMIT = 1_000_000
+
+
+def _indexed_keys(df: DataFrame, key: str, order) -> DataFrame:
+    keys = df.select(key)
+    return with_global_index(keys, order, "_idx", total="_n", materialize=True)
+
+
+def _attach(df: DataFrame, assigned: DataFrame, key: str) -> DataFrame:
+    n = assigned.count()
+    side = F.broadcast(assigned) if n <= BROADCAST_KEYS_LIMIT else assigned
+    return df.join(side, key, "inner")
 
 
 def sample_docs(df: DataFrame, limit: int, key: str = "page_id",
@@ -21,17 +37,18 @@ def sample_docs(df: DataFrame, limit: int, key: str = "page_id",
     if limit <= 0:
         return df
     order = [F.xxhash64(F.col(key), F.lit(seed)), F.col(key)]
-    return (with_global_index(df, order, "_sample_idx")
-            .filter(F.col("_sample_idx") < limit).drop("_sample_idx"))
+    chosen = _indexed_keys(df, key, order).filter(F.col("_idx") < limit).select(key)
+    return _attach(df, chosen, key)
 
 
 def holdout_split(df: DataFrame, ratio: float = 0.7, key: str = "page_id") -> DataFrame:
     """K4: the first ``int(n * ratio)`` documents in ``key`` order train, the
     rest test.  Adds ``split`` ('train' / 'test')."""
-    idx = with_global_index(df, [F.col(key)], "_idx", total="_n")
+    idx = _indexed_keys(df, key, [F.col(key)])
     cut = F.floor(F.col("_n").cast("double") * float(ratio))
-    return (idx.withColumn("split", F.when(F.col("_idx") < cut, "train").otherwise("test"))
-               .drop("_idx", "_n"))
+    assigned = idx.select(key, F.when(F.col("_idx") < cut, "train").otherwise("test")
+                          .alias("split"))
+    return _attach(df, assigned, key)
 
 
 def kfold_assign(df: DataFrame, k: int = 5, key: str = "page_id") -> DataFrame:
@@ -40,11 +57,11 @@ def kfold_assign(df: DataFrame, k: int = 5, key: str = "page_id") -> DataFrame:
     remainder documents get ``fold`` NULL (they only ever train)."""
     if k < 1:
         raise ValueError("k must be positive")
-    idx = with_global_index(df, [F.col(key)], "_idx", total="_n")
+    idx = _indexed_keys(df, key, [F.col(key)])
     size = F.floor(F.col("_n") / k)
     fold = F.when((size > 0) & (F.col("_idx") < size * k),
                   F.floor(F.col("_idx") / size).cast("int"))
-    return idx.withColumn("fold", fold).drop("_idx", "_n")
+    return _attach(df, idx.select(key, fold.alias("fold")), key)
 
 
 def hash_folds(df: DataFrame, k: int = 10, cols=("page_id",),
