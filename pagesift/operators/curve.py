@@ -1,10 +1,10 @@
 """Score summaries (A15-A17, W3), distributed.
 
-The median and the cumulative curve need positions in score order; they use
-``ordering.with_global_index`` (range partitioning + per-partition offsets)
-instead of a single-task window or a collect of all scores.  The one-column
-score table is checkpointed first, so the ordering passes do not recompute
-the pages that produced it.
+The median and the cumulative curve need positions in score order.  Scores
+are first folded into distinct values with counts (so a value shared by a
+third of all documents is one row), then ``ordering.with_prefix_sum`` gives
+running counts with range partitions and per-partition offsets -- no
+single-task window and no collect of all scores.
 """
 
 from __future__ import annotations
@@ -12,28 +12,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagesift.operators.ordering import with_global_index
+from pagesift.operators.ordering import with_prefix_sum
+
+
+def _distinct_counts(df: DataFrame, col: str) -> DataFrame:
+    """Distinct non-NULL scores with their counts (partial aggregation folds
+    a hot score before the shuffle), checkpointed so the ordering passes
+    read this small table instead of recomputing the pages."""
+    from pagesift.session import ensure_checkpoint_dir
+    counts = (df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
+                .groupBy("v").agg(F.count("*").alias("c")))
+    ensure_checkpoint_dir(df.sparkSession)
+    return counts.checkpoint(eager=True)
 
 
 def score_summary(df: DataFrame, col: str = "f1") -> DataFrame:
     """``n``, ``mean`` and ``median`` (mean of the two middle values for
     an even count) of the non-NULL scores in ``col``."""
-    valid = df.select(F.col(col).cast("double").alias("_s")).filter(F.col("_s").isNotNull())
-    idx = with_global_index(valid, [F.col("_s")], "_i", total="_n", materialize=True)
-    lo = F.floor((F.col("_n") - 1) / 2)
-    hi = F.floor(F.col("_n") / 2)
-    return idx.agg(F.count("*").cast("bigint").alias("n"),
-                   F.avg("_s").alias("mean"),
-                   F.avg(F.when((F.col("_i") == lo) | (F.col("_i") == hi), F.col("_s")))
-                   .alias("median"))
+    cum = with_prefix_sum(_distinct_counts(df, col), [F.col("v")], "c", "cum", total="n")
+    first = F.col("cum") - F.col("c")          # position of the value's first copy
+    lo = F.floor((F.col("n") - 1) / 2)
+    hi = F.floor(F.col("n") / 2)
+
+    def covers(p):
+        return (first <= p) & (p < F.col("cum"))
+    return cum.agg(
+        F.sum("c").cast("bigint").alias("n"),
+        (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"),
+        ((F.sum(F.when(covers(lo), F.col("v"))) + F.sum(F.when(covers(hi), F.col("v")))) / 2)
+        .alias("median"))
 
 
 def score_curve(df: DataFrame, col: str = "f1") -> DataFrame:
     """For each distinct score ``y`` (descending), ``x`` = number of
     documents scoring at least ``y``."""
-    valid = df.select(F.col(col).cast("double").alias("y")).filter(F.col("y").isNotNull())
-    idx = with_global_index(valid, [F.col("y").desc()], "_i", materialize=True)
-    return idx.groupBy("y").agg((F.max("_i") + 1).cast("bigint").alias("x")).select("x", "y")
+    cum = with_prefix_sum(_distinct_counts(df, col), [F.col("v").desc()], "c", "x")
+    return cum.select(F.col("x").cast("bigint").alias("x"), F.col("v").alias("y"))
 
 
 def cv_summary(df: DataFrame, col: str) -> DataFrame:

@@ -53,3 +53,33 @@ def with_global_index(df: DataFrame, order: list[Column], name: str = "idx",
     if total:
         out = out.withColumn(total, F.col("_total").cast("bigint"))
     return out.drop("_mid", "_part", "_local", "_off", "_total")
+
+
+def with_prefix_sum(df: DataFrame, order: list[Column], weight: str, name: str = "cum",
+                    total: str | None = None, partitions: int | None = None) -> DataFrame:
+    """Add ``name``: running (inclusive) sum of ``weight`` in ``order``.
+
+    Range partitions are summed locally (a window over one physical range
+    partition, so no group is larger than a range partition) and shifted by
+    the totals of the partitions before them (one row per partition).
+    ``order`` should be unique -- pre-aggregate ties into ``weight`` first,
+    which also keeps a hot value from landing in a single task.
+    """
+    spark = df.sparkSession
+    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n_parts, *order).withColumn("_part", F.spark_partition_id())
+    local = ranged.withColumn("_run", F.sum(weight).over(
+        Window.partitionBy("_part").orderBy(*order)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    totals = ranged.groupBy("_part").agg(F.sum(weight).alias("_t"))
+    w = Window.orderBy("_part")
+    offsets = totals.select(
+        "_part",
+        F.coalesce(F.sum("_t").over(w.rowsBetween(Window.unboundedPreceding, -1)),
+                   F.lit(0)).alias("_off"),
+        F.sum("_t").over(w.rowsBetween(Window.unboundedPreceding,
+                                       Window.unboundedFollowing)).alias("_total"))
+    out = local.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_off") + F.col("_run"))
+    if total:
+        out = out.withColumn(total, F.col("_total"))
+    return out.drop("_part", "_run", "_off", "_total")
