@@ -36,10 +36,11 @@ from html.parser import HTMLParser
 IGNORED_TAGS = frozenset(
     "style,script,option,object,embed,applet,link,noscript".split(","))
 # Elements that neither start nor end a block (br deliberately is not inline).
-INLINE_TAGS = frozenset(
+INLINE_TAG_LIST = (
     "a,b,big,i,small,tt,abbr,acronym,cite,code,dfn,em,kbd,strong,samp,var,"
     "bdo,img,map,object,q,span,sub,sup,button,input,label,select,textarea"
     .split(","))
+INLINE_TAGS = frozenset(INLINE_TAG_LIST)
 # Number of innermost class/id-bearing elements forming a block's css context.
 CSS_DEPTH = 5
 # Markers wrapped around the direct text of an anchor.

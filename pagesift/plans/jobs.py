@@ -49,6 +49,16 @@ def labelled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     read_table(spark, sf_dir, "documents")))
 
 
+def materialize_pages(pages: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:
+    """Write labelled pages (nested blocks, gold, body text) as a parquet
+    table and read it back.  The Python walk then runs once per corpus; model
+    fitting, CV rounds and evaluations read the table, and the written table
+    also cuts the lineage (a lost executor re-reads files, it does not
+    re-segment).  ``path`` should be on the cluster's shared storage."""
+    pages.write.mode(mode).parquet(path)
+    return pages.sparkSession.read.parquet(path)
+
+
 @dataclass
 class ContentModel:
     spec: tuple

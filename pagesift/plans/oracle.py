@@ -9,11 +9,9 @@ event-walk UDF on these tables.
 
 from __future__ import annotations
 
-# ---- fixed values: inline tags of the segmentation rules ----
-INLINE_ALTERNATION = (
-    "a|b|big|i|small|tt|abbr|acronym|cite|code|dfn|em|kbd|strong|samp|var|"
-    "bdo|img|map|object|q|span|sub|sup|button|input|label|select|textarea")
-# ---- end of fixed values ----
+from pagesift.functions.html_blocks import INLINE_TAG_LIST
+
+INLINE_ALTERNATION = "|".join(INLINE_TAG_LIST)
 
 
 def _unescape(expr: str) -> str:

@@ -54,3 +54,13 @@ def test_matches_oracle(spark, sf_small, con, name):
     oracle_pdf = con.sql(entry_mod.oracle_sql()[name]).df()
     assert len(spark_pdf) == len(oracle_pdf)
     assert _canon(spark_pdf) == _canon(oracle_pdf)
+
+
+def test_materialized_pages_give_same_metrics(spark, sf_small, tmp_path):
+    from pagesift.plans import jobs
+    from pagesift.operators.evaluate import eval_tokens
+    pages = jobs.labelled_pages(spark, sf_small)
+    stored = jobs.materialize_pages(pages, str(tmp_path / "pages"))
+    a = sorted(eval_tokens(jobs.gold_article(pages)).collect())
+    b = sorted(eval_tokens(jobs.gold_article(stored)).collect())
+    assert a == b
