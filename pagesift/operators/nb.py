@@ -75,8 +75,13 @@ def nb_fit(df: DataFrame) -> NBModel:
     counts = nb_counts(df).persist()
     sums = counts.agg(F.count("*").alias("n"), F.sum("pos_cnt").alias("sp"),
                       F.sum("neg_cnt").alias("sn")).first()
-    stats = block_count(df).first()
-    nnz = css_long(df).count()
+    # blocks, positive blocks and non-zero cells in one pass over page rows
+    stats = df.agg(
+        F.sum(F.size("blocks")).alias("n_blocks"),
+        F.sum(F.size(F.filter("blocks", lambda b: b["label"] == 1))).alias("n_positive"),
+        F.sum(F.aggregate("blocks", F.lit(0), lambda acc, b: acc + F.size(b["css"])))
+        .alias("nnz")).first()
+    nnz = stats["nnz"] or 0
     n_tok = int(sums["n"] or 0)
     table = counts.select(
         "token", "pos_cnt", "neg_cnt",

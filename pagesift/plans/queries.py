@@ -409,6 +409,12 @@ def q_nb_cv_eval(spark, sf):
     return eval_report(jobs.nb_cv_eval(_pages(spark, sf).persist(), K_FOLDS, lcs=True))
 
 
+def q_nb_cv_tokens(spark, sf):
+    rep = eval_report(jobs.nb_cv_eval(_pages(spark, sf).persist(), K_FOLDS, lcs=False))
+    return rep.select("scope", "round", "n_docs", "n_skipped",
+                      *[_r(F.col(c)).alias(c) for c in ("precision", "recall", "f1")])
+
+
 def q_block_cv(spark, sf):
     folds = jobs.block_cv(_pages(spark, sf).persist(), 10, (SHALLOW_TEXT,))
     return folds
@@ -477,6 +483,7 @@ QUERIES = {
     "resub_eval": q_resub_eval,
     "cv_eval": q_cv_eval,
     "nb_cv_eval": q_nb_cv_eval,
+    "nb_cv_tokens": q_nb_cv_tokens,
     "block_cv": q_block_cv,
     "block_cv_summary": q_block_cv_summary,
     "stream_extract": q_stream_extract,
