@@ -21,6 +21,7 @@ HEADLINE = [
     "segment_blocks",
     "block_labels",
     "block_features",
+    "block_features_window",
     "feature_vectors",
     "scaled_features",
     "nb_model",

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagesift.functions.exprs import let
@@ -84,6 +84,20 @@ def block_features(df: DataFrame) -> DataFrame:
     return df.withColumn("blocks", let(staged, with_quotients))
 
 
+def block_features_window(blocks_long: DataFrame, key: str = "page_id") -> DataFrame:
+    """Long-form variant of ``block_features``: one row per block, the
+    previous block read with ``lag`` over ``(key) ORDER BY pos``.  Same
+    values; kept to measure against the nested form -- the window needs a
+    shuffle by page, the nested form does not."""
+    b = F.struct(*[F.col(c) for c in blocks_long.columns if c != key])
+    staged = blocks_long.select(key, F.inline(F.array(_densities(_counts(_text_parts(b))))))
+    w = Window.partitionBy(key).orderBy("pos")
+    out = staged
+    for c in ("num_words", "words_per_sentence", "text_density"):
+        out = out.withColumn(c + "_q", F.col(c) / F.coalesce(F.lag(c).over(w), F.col(c)))
+    return out
+
+
 def relative_position(df: DataFrame) -> DataFrame:
     """``ceil(i / (n / 5))`` for 1-based block ``i`` of ``n``, as double
     (float arithmetic, as the reference computes it)."""

@@ -18,6 +18,7 @@ from pagesift.operators.evaluate import (diagnostics, eval_lcs, eval_report, eva
                                          lcs_inclusion)
 from pagesift.operators.features import (INDICATIVE_TOKENS, RELATIVE_POSITION,
                                          SHALLOW_TEXT, SHALLOW_TEXT_FEATURES, block_features,
+                                         block_features_window,
                                          feature_dim, feature_vectors, label_stats,
                                          relative_position, training_examples,
                                          unique_examples)
@@ -148,6 +149,12 @@ def q_block_features(spark, sf):
     return b.select("page_id", "pos", *[_r(F.col(c)).alias(c) for c in SHALLOW_TEXT_FEATURES])
 
 
+def q_block_features_window(spark, sf):
+    blocks = _long(_pages(spark, sf), "pos", "text")
+    b = block_features_window(blocks)
+    return b.select("page_id", "pos", *[_r(F.col(c)).alias(c) for c in SHALLOW_TEXT_FEATURES])
+
+
 def q_relative_position(spark, sf):
     b = _long(relative_position(_pages(spark, sf)), "pos", "rel_pos")
     return b.select("page_id", "pos", "rel_pos")
@@ -448,6 +455,7 @@ QUERIES = {
     "css_token_counts": q_css_token_counts,
     "block_labels": q_block_labels,
     "block_features": q_block_features,
+    "block_features_window": q_block_features_window,
     "relative_position": q_relative_position,
     "feature_vectors": q_feature_vectors,
     "indicative_features": q_indicative_features,
