@@ -7,7 +7,7 @@ compare value-for-value with the DuckDB oracles in ``plans.oracle_sql``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagesift.functions.text import (anchor_text, css_tokens, normalize_text,
@@ -19,7 +19,7 @@ from pagesift.operators.evaluate import (diagnostics, eval_lcs, eval_report, eva
 from pagesift.operators.features import (INDICATIVE_TOKENS, RELATIVE_POSITION,
                                          SHALLOW_TEXT, SHALLOW_TEXT_FEATURES, block_features,
                                          block_features_window,
-                                         feature_dim, feature_vectors, label_stats,
+                                         feature_dim, feature_vectors,
                                          relative_position, training_examples,
                                          unique_examples)
 from pagesift.operators.scale import scale, scaler_factors, scaler_fit
@@ -27,7 +27,7 @@ from pagesift.operators.split import holdout_split, kfold_assign, sample_docs
 from pagesift.operators.curve import score_curve, score_summary, cv_summary
 from pagesift.plans import jobs
 from pagesift.session import tune
-from pagesift.sources.corpus import gold_key, load_pairs, pages_without_gold, read_table
+from pagesift.sources.corpus import load_pairs, pages_without_gold, read_table
 from pagesift.sources.sinks import libsvm_lines
 from pagesift.sources.files import decode_bytes, gold_from_spans
 
@@ -440,7 +440,7 @@ def q_block_cv_summary(spark, sf):
     return cv_summary(q_block_cv(spark, sf), "accuracy")
 
 
-QUERIES = {
+_REGISTRY = {
     "load_pairs": q_load_pairs,
     "strip_xml_decl": q_strip_xml_decl,
     "pages_without_gold": q_pages_without_gold,
@@ -496,3 +496,15 @@ QUERIES = {
     "block_cv_summary": q_block_cv_summary,
     "stream_extract": q_stream_extract,
 }
+
+
+def _tuned(fn):
+    def run(spark, sf_dir):
+        tune(spark)
+        return fn(spark, sf_dir)
+    run.__name__ = fn.__name__
+    run.__doc__ = fn.__doc__
+    return run
+
+
+QUERIES = {name: _tuned(fn) for name, fn in _REGISTRY.items()}
