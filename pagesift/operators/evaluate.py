@@ -161,7 +161,9 @@ def diagnostics(blocks_long: DataFrame, pages: DataFrame,
     p = pages.agg(
         F.count("*").alias("n_pages"),
         F.count_if("fallback").alias("pages_without_selected_block"),
-        F.count_if(common == 0).alias("pages_without_common_word"))
+        F.count_if(common == 0).alias("pages_without_common_word"),
+        # an LCS is empty exactly when the two token sets are disjoint
+        F.count_if(common == 0).alias("pages_without_common_subsequence"))
 
     def long(df):
         return df.select(F.explode(F.map_from_arrays(

@@ -268,7 +268,19 @@ def q_eval_external(spark, sf):
 
 def q_diagnostics(spark, sf):
     art = block_features(_gold_articles(spark, sf)).persist()
-    return diagnostics(_long(art, "words_raw", "wps_raw"), art)
+    base = diagnostics(_long(art, "words_raw", "wps_raw"), art)
+    # model warnings: out-of-vocabulary tokens met on held-out pages, and how
+    # many of the requested indicative tokens the vocabulary cannot supply
+    split = holdout_split(art, HOLDOUT_RATIO).persist()
+    model = nbm.nb_fit(split.filter("split = 'train'").drop("split"))
+    oov = nbm.nb_oov(split.filter("split = 'test'").drop("split"), model).agg(
+        F.lit("oov_block_tokens").alias("metric"),
+        F.coalesce(F.sum("n_blocks"), F.lit(0)).cast("bigint").alias("value"))
+    full = nbm.nb_fit(art)
+    short = nbm.nb_weighted_negative(full, TOP_N).agg(
+        F.lit("indicative_token_shortfall").alias("metric"),
+        (F.lit(TOP_N) - F.count("*")).cast("bigint").alias("value"))
+    return base.unionByName(oov).unionByName(short)
 
 
 def q_score_summary(spark, sf):

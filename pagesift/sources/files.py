@@ -39,11 +39,22 @@ def _decode_one(raw) -> str | None:
 
 
 @F.pandas_udf(T.StringType())
-def decode_bytes(raw: pd.Series) -> pd.Series:
-    """Bytes -> text with the charset cascade (utf-8 first)."""
+def _decode_cascade(raw: pd.Series) -> pd.Series:
     return raw.map(_decode_one)
 
 
+def decode_bytes(col):
+    """Bytes -> text with the charset cascade (utf-8 first).
+
+    Valid UTF-8 is decoded JVM-side; only the other rows' bytes travel to
+    the Python cascade (valid rows pass NULL through Arrow)."""
+    raw = F.col(col) if isinstance(col, str) else col
+    as_text = raw.cast("string")
+    valid = F.coalesce(F.is_valid_utf8(as_text), F.lit(False))
+    return F.coalesce(F.when(valid, as_text),
+                      _decode_cascade(F.when(~valid & raw.isNotNull(), raw)))
+
+
 @F.pandas_udf(T.StringType())
 def gold_from_spans(html: pd.Series) -> pd.Series:
     """Normalized gold text of annotated HTML."""

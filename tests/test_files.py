@@ -38,3 +38,11 @@ def test_span_layout(spark, tmp_path):
            b'<span class="x-nc-sel2"><span x-text-density="2">beta</span></span></body></html>')
     rows = read_layout(spark, base, "L3S").collect()
     assert [(r["name"], r["gold"]) for r in rows] == [("p1", "alpha beta")]
+
+
+def test_decode_column_fast_path_and_cascade(spark):
+    from pagesift.sources.files import decode_bytes
+    rows = [(1, "café".encode("utf-8")), (2, b"caf\xe9!"), (3, None)]
+    df = spark.createDataFrame(rows, "id int, raw binary")
+    got = {r["id"]: r["t"] for r in df.select("id", decode_bytes("raw").alias("t")).collect()}
+    assert got == {1: "café", 2: "café!", 3: None}
