@@ -32,11 +32,13 @@ def _attach(df: DataFrame, assigned: DataFrame, key: str) -> DataFrame:
 
 def sample_docs(df: DataFrame, limit: int, key: str = "page_id",
                 seed: int = DEFAULT_SEED) -> DataFrame:
-    """K3: ``limit`` documents without replacement in a seeded hash order;
-    ``limit <= 0`` keeps all, a limit above the count keeps all."""
+    """K3: ``limit`` documents without replacement in a seeded hash order
+    (hex MD5 of ``'<seed>:<key>'``, ties by key); ``limit <= 0`` keeps all,
+    a limit above the count keeps all."""
     if limit <= 0:
         return df
-    order = [F.xxhash64(F.col(key), F.lit(seed)), F.col(key)]
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    order = [digest, F.col(key)]
     chosen = _indexed_keys(df, key, order).filter(F.col("_idx") < limit).select(key)
     return _attach(df, chosen, key)
 
