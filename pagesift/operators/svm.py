@@ -30,6 +30,9 @@ from pagesift.operators.scale import ScalerModel, scale, scaler_fit
 
 DEFAULT_COMPONENTS = 128
 DEFAULT_SEED = 42
+# Training partitions are sized by rows (128 doubles each): small inputs are
+# merged so each optimizer iteration is one task wave, not a tree of shuffles.
+ROWS_PER_TRAINING_PARTITION = 200_000
 
 
 @dataclass
@@ -108,9 +111,11 @@ def svm_fit(examples: DataFrame, dim: int, components: int = DEFAULT_COMPONENTS,
                       array_to_vector(fourier.udf()(F.col("f"))).alias("features"))
               .persist())
     n = mapped.count()
+    parts = max(1, -(-n // ROWS_PER_TRAINING_PARTITION))
+    train = mapped.coalesce(parts) if parts < mapped.rdd.getNumPartitions() else mapped
     svc = LinearSVC(featuresCol="features", labelCol="label", maxIter=max_iter, tol=tol,
                     regParam=1.0 / (c * max(n, 1)), standardization=False)
-    model = svc.fit(mapped)
+    model = svc.fit(train)
     mapped.unpersist()
     return SVMModel(scaler, fourier, model.coefficients.toArray(), float(model.intercept))
 
