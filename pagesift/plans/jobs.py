@@ -174,6 +174,19 @@ def block_cv(pages: DataFrame, folds: int = 10, spec: Sequence = (SHALLOW_TEXT,)
     return spark.createDataFrame(rows, "fold int, accuracy double")
 
 
+def evaluate_external(predictions: DataFrame, pages: DataFrame, lcs: bool = True,
+                      round_col: str | None = None) -> DataFrame:
+    """Score a text-predicting extractor.  ``predictions`` holds
+    ``(page_id, extracted)`` (e.g. output of a pre-trained extractor run
+    elsewhere); it is joined to the pages' gold text on ``page_id`` and
+    scored exactly like an article rebuilt from blocks.  With ``round_col``
+    the per-page metrics keep that column for ``eval_report``."""
+    keys = ("page_id",) + ((round_col,) if round_col else ())
+    joined = predictions.select(*keys, "extracted").join(
+        pages.select("page_id", "gold"), "page_id", "inner")
+    return evaluate(joined, "extracted", "gold", keys=keys, lcs=lcs)
+
+
 def gold_article(pages: DataFrame) -> DataFrame:
     """Article rebuilt from gold labels: the upper bound of block selection."""
     return extract_article(with_gold_predictions(pages), "prediction")

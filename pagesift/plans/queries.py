@@ -260,9 +260,10 @@ def q_eval_report(spark, sf):
 
 def q_eval_external(spark, sf):
     pages = _pages(spark, sf)
-    # a text-predicting extractor: its output is compared exactly like an
-    # article rebuilt from blocks; here, whole-body text
-    m = eval_tokens(pages.select("page_id", "gold", F.col("body_text").alias("extracted")))
+    # a text-predicting extractor's output, scored like an article rebuilt
+    # from blocks; here the extractor is "whole-body text"
+    predictions = pages.select("page_id", F.col("body_text").alias("extracted"))
+    m = jobs.evaluate_external(predictions, pages, lcs=False)
     return m.select("page_id", *[_r(F.col(c)).alias(c) for c in ("precision", "recall", "f1")])
 
 
