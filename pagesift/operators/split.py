@@ -71,3 +71,23 @@ def hash_folds(df: DataFrame, k: int = 10, cols=("page_id",),
     """Fold by seeded hash: no ordering pass, every row tested once."""
     return df.withColumn("fold", F.pmod(F.xxhash64(*[F.col(c) for c in cols], F.lit(seed)),
                                         F.lit(k)).cast("int"))
+
+
+def stratified_folds(df: DataFrame, k: int = 10, label: str = "label",
+                     cols=("page_id", "pos"), seed: int = DEFAULT_SEED) -> DataFrame:
+    """Stratified folds: rows are ranked by ``(label, seeded hash of cols)``
+    with the distributed global index, and fold = rank within the class
+    mod ``k`` -- every fold gets floor or ceil of ``n_class / k`` rows of
+    each class.  A per-label window would send a whole class through one
+    task; here the only per-class state is its first rank (one row per
+    class, a bounded broadcast)."""
+    key_cols = [F.col(c) for c in cols]
+    order = [F.col(label), F.xxhash64(*key_cols, F.lit(seed)), *key_cols]
+    idx = with_global_index(df, order, "_si", materialize=True)
+    firsts = idx.groupBy(label).agg(F.min("_si").alias("_first"))
+    n_classes = firsts.count()
+    side = F.broadcast(firsts) if n_classes <= BROADCAST_KEYS_LIMIT else firsts
+    return (idx.join(side, label)
+               .withColumn("fold", F.pmod(F.col("_si") - F.col("_first"), F.lit(k)).cast("int"))
+               .drop("_si", "_first"))
+

@@ -21,7 +21,7 @@ from pagesift.operators.features import (INDICATIVE_TOKENS, RELATIVE_POSITION, S
                                          unique_examples)
 from pagesift.operators.nb import learned_tokens, nb_fit, nb_predict
 from pagesift.operators.segment import segment_blocks
-from pagesift.operators.split import hash_folds, holdout_split, kfold_assign
+from pagesift.operators.split import holdout_split, kfold_assign, stratified_folds
 from pagesift.operators.svm import SVMModel, svm_fit, svm_predict_blocks
 from pagesift.sources.corpus import gold_key, read_table
 from pagesift.functions.text import normalize_text, strip_xml_decl
@@ -150,14 +150,16 @@ def nb_cv_eval(pages: DataFrame, k: int = 5, lcs: bool = False) -> DataFrame:
 
 def block_cv(pages: DataFrame, folds: int = 10, spec: Sequence = (SHALLOW_TEXT,),
              unique: bool = False, seed: int = 42) -> DataFrame:
-    """M6: block-level CV with seeded hash folds; the scaler is fitted inside
-    each fold.  Returns ``(fold, accuracy)`` rows."""
+    """M6: block-level CV with stratified folds (seeded order within each
+    class); the scaler is fitted inside each fold.  Returns
+    ``(fold, accuracy)`` rows."""
     feats = feature_vectors(pages, spec)
     examples = training_examples(feats)
     if unique:
         examples = unique_examples(examples)
-    examples = hash_folds(examples, folds, cols=("label", "f") if unique else ("page_id", "pos"),
-                          seed=seed).persist()
+    examples = stratified_folds(examples, folds, "label",
+                                cols=("f",) if unique else ("page_id", "pos"),
+                                seed=seed).persist()
     dim = feature_dim(spec)
     spark = pages.sparkSession
     rows = []
