@@ -13,7 +13,7 @@ gives NULL metrics, which averages skip.
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,16 +69,18 @@ def eval_tokens(df: DataFrame, extracted: str = "extracted", gold: str = "gold",
     return _expand(scored, keys, "_tm", "")
 
 
-@F.pandas_udf(T.IntegerType())
-def lcs_length_udf(x: pd.Series, y: pd.Series) -> pd.Series:
+@F.arrow_udf(T.IntegerType())
+def lcs_length_udf(x: pa.Array, y: pa.Array) -> pa.Array:
     from pagesift.functions.lcs import lcs_length
-    return pd.Series([lcs_length(list(a), list(b)) for a, b in zip(x, y)], dtype="int32")
+    return pa.array([lcs_length(a or [], b or []) for a, b in zip(x.to_pylist(), y.to_pylist())],
+                    pa.int32())
 
 
-@F.pandas_udf(T.ArrayType(T.BooleanType()))
-def lcs_flags_udf(x: pd.Series, y: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.BooleanType()))
+def lcs_flags_udf(x: pa.Array, y: pa.Array) -> pa.Array:
     from pagesift.functions.lcs import lcs_flags
-    return pd.Series([lcs_flags(list(a), list(b)) for a, b in zip(x, y)])
+    return pa.array([lcs_flags(a or [], b or []) for a, b in zip(x.to_pylist(), y.to_pylist())],
+                    pa.list_(pa.bool_()))
 
 
 def eval_lcs(df: DataFrame, extracted: str = "extracted", gold: str = "gold",

@@ -1,9 +1,9 @@
-"""Block segmentation as one Arrow batch UDF per page, then nested
-column expressions for positions and css token bags."""
+"""Block segmentation as an Arrow batch UDF (one walk per page), then
+nested column expressions for positions and css token bags."""
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,17 +20,29 @@ _RAW_PAGE = T.StructType([
 ])
 
 
-@F.pandas_udf(_RAW_PAGE)
-def _walk_pages(html: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(_RAW_PAGE)
+def _walk_pages(html: pa.Array) -> pa.Array:
+    """One Arrow batch of pages -> their raw blocks, built as flat columns
+    plus offsets (no per-block Python dicts)."""
     from pagesift.functions.html_blocks import BlockWalker
 
     walker = BlockWalker()
-    blocks, bodies = [], []
-    for page in html:
-        found, body = walker.run(page if isinstance(page, str) else "")
-        blocks.append([{"text": t, "css_src": list(src)} for t, src in found])
+    page_ends, texts, css_ends, css_values, bodies = [0], [], [0], [], []
+    for page in html.to_pylist():
+        found, body = walker.run(page or "")
+        for text, sources in found:
+            texts.append(text)
+            css_values.extend(sources)
+            css_ends.append(len(css_values))
+        page_ends.append(len(texts))
         bodies.append(body)
-    return pd.DataFrame({"raw_blocks": blocks, "body_text": bodies})
+    css = pa.ListArray.from_arrays(pa.array(css_ends, pa.int32()),
+                                   pa.array(css_values, pa.string()))
+    blocks = pa.StructArray.from_arrays([pa.array(texts, pa.string()), css],
+                                        names=["text", "css_src"])
+    raw = pa.ListArray.from_arrays(pa.array(page_ends, pa.int32()), blocks)
+    return pa.StructArray.from_arrays([raw, pa.array(bodies, pa.string())],
+                                      names=["raw_blocks", "body_text"])
 
 
 def spread_for_python(df: DataFrame) -> DataFrame:

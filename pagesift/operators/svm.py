@@ -19,7 +19,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LinearSVC
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -55,14 +55,15 @@ class FourierMap:
 
     def udf(self):
         w, b = self.weights, self.offsets
-
-        @F.pandas_udf(T.ArrayType(T.DoubleType()))
-        def fourier(col: pd.Series) -> pd.Series:
-            if len(col) == 0:
-                return pd.Series([], dtype=object)
-            x = np.vstack([np.asarray(v, dtype=np.float64) for v in col])
-            z = np.sqrt(2.0 / w.shape[0]) * np.cos(x @ w.T + b)
-            return pd.Series(list(z))
+        d, dim = w.shape
+
+        @F.arrow_udf(T.ArrayType(T.DoubleType()))
+        def fourier(col: pa.Array) -> pa.Array:
+            # rows are fixed-width feature arrays: one reshape, one matmul
+            x = col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), dim)
+            z = np.sqrt(2.0 / d) * np.cos(x @ w.T + b)
+            offsets = pa.array(np.arange(0, (len(col) + 1) * d, d, dtype=np.int32))
+            return pa.ListArray.from_arrays(offsets, pa.array(z.reshape(-1)))
         return fourier
 
 
@@ -85,18 +86,19 @@ class SVMModel:
         w, b = self.fourier.weights, self.fourier.offsets
         coef, icpt = self.coefficients, self.intercept
 
-        @F.pandas_udf(out_type)
-        def predict(pages: pd.Series) -> pd.Series:
-            out = []
-            for blocks in pages:
-                if blocks is None or len(blocks) == 0:
-                    out.append([])
-                    continue
-                x = np.vstack([np.asarray(v, dtype=np.float64) for v in blocks])
-                x = (x - sub) / div
-                z = np.sqrt(2.0 / w.shape[0]) * np.cos(x @ w.T + b)
-                out.append((z @ coef + icpt > 0).astype(np.int32).tolist())
-            return pd.Series(out)
+        dim = w.shape[1]
+
+        @F.arrow_udf(out_type)
+        def predict(pages: pa.Array) -> pa.Array:
+            # all blocks of the batch at once; page boundaries from the offsets
+            blocks = pages.flatten()
+            x = blocks.flatten().to_numpy(zero_copy_only=False).reshape(len(blocks), dim)
+            x = (x - sub) / div
+            z = np.sqrt(2.0 / w.shape[0]) * np.cos(x @ w.T + b)
+            decision = (z @ coef + icpt > 0).astype(np.int32)
+            offsets = pa.array(np.asarray(pages.offsets, dtype=np.int32)
+                               - np.int32(pages.offsets[0].as_py()))
+            return pa.ListArray.from_arrays(offsets, pa.array(decision, pa.int32()))
         return predict
 
 
