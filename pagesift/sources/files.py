@@ -8,7 +8,7 @@ the name; neither side is assumed small).
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,9 +38,9 @@ def _decode_one(raw) -> str | None:
     return data.decode("utf-8", "ignore")
 
 
-@F.pandas_udf(T.StringType())
-def _decode_cascade(raw: pd.Series) -> pd.Series:
-    return raw.map(_decode_one)
+@F.arrow_udf(T.StringType())
+def _decode_cascade(raw: pa.Array) -> pa.Array:
+    return pa.array([_decode_one(b) for b in raw.to_pylist()], pa.string())
 
 
 def decode_bytes(col):
@@ -55,12 +55,13 @@ def decode_bytes(col):
                       _decode_cascade(F.when(~valid & raw.isNotNull(), raw)))
 
 
-@F.pandas_udf(T.StringType())
-def gold_from_spans(html: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def gold_from_spans(html: pa.Array) -> pa.Array:
     """Normalized gold text of annotated HTML."""
     from pagesift.functions.spans import SpanReader
     reader = SpanReader()
-    return html.map(lambda h: reader.run(h) if isinstance(h, str) else None)
+    return pa.array([reader.run(h) if isinstance(h, str) else None for h in html.to_pylist()],
+                    pa.string())
 
 
 def _name(path_col):
