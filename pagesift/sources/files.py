@@ -18,8 +18,8 @@ from pagesift.functions.text import normalize_text, strip_xml_decl
 # ---- fixed values: directory layouts of the two corpus formats ----
 LAYOUTS = {
     # name: (original subdir, annotation subdir, annotation suffix, annotation kind)
-    "L3S": ("original", "annotated", "", "spans"),
-    "Dragnet": ("HTML", "Corrected", ".corrected.txt", "text"),
+    "span_annotations": ("original", "annotated", "", "spans"),
+    "plain_text": ("HTML", "Corrected", ".corrected.txt", "text"),
 }
 # order in which byte encodings are tried
 CHARSET_CASCADE = ("utf-8", "utf-16", "windows-1252", "iso-8859-1")
@@ -68,7 +68,7 @@ def _name(path_col):
     return F.element_at(F.split(path_col, "/"), -1)
 
 
-def read_layout(spark: SparkSession, base_dir: str, layout: str = "Dragnet") -> DataFrame:
+def read_layout(spark: SparkSession, base_dir: str, layout: str = "plain_text") -> DataFrame:
     """``(name, html, gold)`` for every original with an annotation.
 
     The annotation of ``<dir>/<orig>/<f>`` is ``<dir>/<ann>/<f><suffix>``.
@@ -94,7 +94,7 @@ def read_layout(spark: SparkSession, base_dir: str, layout: str = "Dragnet") ->
                 .select("name", strip_xml_decl("html").alias("html"), "gold"))
 
 
-def missing_gold(spark: SparkSession, base_dir: str, layout: str = "Dragnet") -> DataFrame:
+def missing_gold(spark: SparkSession, base_dir: str, layout: str = "plain_text") -> DataFrame:
     """Originals without an annotation file (left anti join on name)."""
     orig_dir, ann_dir, suffix, _ = LAYOUTS[layout]
     base = base_dir.rstrip("/")

@@ -24,19 +24,19 @@ def test_plain_text_layout(spark, tmp_path):
     _write(f"{base}/HTML/a.html", b'<?xml version="1.0"?><html><body><p>one two</p></body></html>')
     _write(f"{base}/Corrected/a.html.corrected.txt", b"  one\n two  ")
     _write(f"{base}/HTML/b.html", b"<html><body><p>x</p></body></html>")
-    rows = read_layout(spark, base, "Dragnet").collect()
+    rows = read_layout(spark, base, "plain_text").collect()
     assert [(r["name"], r["gold"]) for r in rows] == [("a.html", "one two")]
     assert rows[0]["html"].startswith("<html>")
-    assert [r["name"] for r in missing_gold(spark, base, "Dragnet").collect()] == ["b.html"]
+    assert [r["name"] for r in missing_gold(spark, base, "plain_text").collect()] == ["b.html"]
 
 
 def test_span_layout(spark, tmp_path):
-    base = str(tmp_path / "l3s")
+    base = str(tmp_path / "spans")
     _write(f"{base}/original/p1", b"<html><body><p>alpha beta</p></body></html>")
     _write(f"{base}/annotated/p1",
            b'<html><body><span class="x-nc-sel2"> alpha </span>'
            b'<span class="x-nc-sel2"><span x-text-density="2">beta</span></span></body></html>')
-    rows = read_layout(spark, base, "L3S").collect()
+    rows = read_layout(spark, base, "span_annotations").collect()
     assert [(r["name"], r["gold"]) for r in rows] == [("p1", "alpha beta")]
 
 
