@@ -20,7 +20,9 @@ BROADCAST_KEYS_LIMIT = 1_000_000
 
 
 def _indexed_keys(df: DataFrame, key: str, order) -> DataFrame:
-    keys = df.select(key)
+    # distinct keys: copies of a document share one assignment and the join
+    # back cannot multiply rows
+    keys = df.select(key).distinct()
     return with_global_index(keys, order, "_idx", total="_n", materialize=True)
 
 
