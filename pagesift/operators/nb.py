@@ -20,6 +20,13 @@ from pyspark.sql import functions as F
 # Largest vocabulary inlined into the plan as a constant map (map lookups
 # scan keys, so this stays small; larger models go through a join).
 LITERAL_VOCAB_LIMIT = 1024
+# Largest vocabulary broadcast to the token join (a hot token then costs
+# nothing extra); beyond it the join is sort-merge and AQE splits hot tokens.
+BROADCAST_VOCAB_LIMIT = 2_000_000
+
+
+def _model_side(model: "NBModel", df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if model.n_tokens <= BROADCAST_VOCAB_LIMIT else df
 
 
 def css_long(df: DataFrame, keys=("page_id",)) -> DataFrame:
@@ -132,8 +139,9 @@ def _predict_nested(df, model, out, ln_prior, ln_rest):
 
 def _predict_joined(df, model, out, ln_prior, ln_rest):
     long = css_long(df)
-    scored = (long.join(model.table.select("token", F.ln("pos_prob").alias("lp"),
-                                           F.ln("neg_prob").alias("ln")), "token")
+    side = _model_side(model, model.table.select("token", F.ln("pos_prob").alias("lp"),
+                                                 F.ln("neg_prob").alias("ln")))
+    scored = (long.join(side, "token")
                   .groupBy("page_id", "pos")
                   .agg(F.sum(F.col("cnt") * F.col("lp")).alias("sp"),
                        F.sum(F.col("cnt") * F.col("ln")).alias("sn"))
@@ -152,7 +160,7 @@ def nb_oov(df: DataFrame, model: NBModel) -> DataFrame:
     """J2 report: tokens of ``df``'s blocks missing from the vocabulary,
     with their block counts."""
     long = css_long(df)
-    return (long.join(model.table.select("token"), "token", "left_anti")
+    return (long.join(_model_side(model, model.table.select("token")), "token", "left_anti")
                 .groupBy("token").agg(F.count("*").cast("bigint").alias("n_blocks")))
 
 
