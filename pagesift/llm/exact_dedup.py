@@ -10,100 +10,17 @@ a fuller filter lets more rows through to the shuffle and changes no result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesift.llm.common import U64, join_skewed, mix, read_table, stash
-
-BITS_PER_ROW = 16
-MIN_BITS, MAX_BITS = 1 << 16, 1 << 27  # 16 MB at most
-HASHES = 3
-SLICE_BITS = 1 << 16
+from pagesift.llm.bits import filter_bits, set_bits, tester
+from pagesift.llm.common import join_skewed, read_table, stash
 
 
 def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), " \t\n\x0b\x0c\r", "")
 
 
-def filter_bits(rows: int) -> int:
-    """Bits for ``rows`` rows: a power of two, between fixed bounds."""
-    return min(max(MIN_BITS, 1 << (max(rows, 1) * BITS_PER_ROW - 1).bit_length()), MAX_BITS)
-
-
-def positions(h: np.ndarray, bits: int) -> np.ndarray:
-    """``HASHES`` bit positions for each 64-bit hash, one column a hash."""
-    h = h.view(U64)
-    return np.stack([mix(h + U64(j * 0x9E3779B97F4A7C15 % 2**64)) & U64(bits - 1)
-                     for j in range(HASHES)], axis=1).astype(np.int64)
-
-
-def _count_bits(bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(bits, np.uint8)
-        for batch in batches:
-            h = batch.column(0).to_numpy(zero_copy_only=False)
-            if len(h):
-                # A hash whose positions coincide sets each of them once.
-                p = np.sort(positions(h, bits), axis=1)
-                again = np.zeros(p.shape, bool)
-                again[:, 1:] = p[:, 1:] == p[:, :-1]
-                at, n = np.unique(p[~again], return_counts=True)
-                counts[at] = np.minimum(counts[at] + np.minimum(n, 2), 2)
-        for s in range(0, bits, SLICE_BITS):
-            part = counts[s:s + SLICE_BITS]
-            if part.any():
-                yield pa.RecordBatch.from_pydict({
-                    "slice": pa.array([s // SLICE_BITS], pa.int32()),
-                    "counts": pa.array([_pack(part)], pa.binary())})
-    return run
-
-
-def _pack(counts: np.ndarray) -> bytes:
-    return np.packbits(counts >= 1).tobytes() + np.packbits(counts >= 2).tobytes()
-
-
-def _merge(table: pa.Table) -> pa.Table:
-    once = twice = np.zeros(SLICE_BITS // 8, np.uint8)
-    for raw in table.column("counts"):
-        both = np.frombuffer(raw.as_buffer(), np.uint8)
-        o, t = both[:len(both) // 2], both[len(both) // 2:]
-        twice = twice | t | (once & o)
-        once = once | o
-    return pa.table({"slice": table.column("slice")[:1],
-                     "counts": pa.array([once.tobytes() + twice.tobytes()], pa.binary())})
-
-
-def repeated_bits(hashes: DataFrame, bits: int) -> np.ndarray:
-    """Packed bits that more than one row of ``hashes`` (one long) has set."""
-    slices = hashes.mapInArrow(_count_bits(bits), "slice int, counts binary")
-    merged = (slices.withColumn("part", F.spark_partition_id() % 32)
-              .groupBy("slice", "part")
-              .applyInArrow(lambda key, t: _merge(t.select(["slice", "counts"])),
-                            "slice int, counts binary")
-              .groupBy("slice").applyInArrow(_merge, "slice int, counts binary"))
-    out = np.zeros(bits // 8, np.uint8)
-    for row in merged.toLocalIterator():  # bits / SLICE_BITS rows at most
-        half = len(row.counts) // 2
-        out[row.slice * half:(row.slice + 1) * half] = np.frombuffer(row.counts[half:], np.uint8)
-    return out
-
-
-def tester(spark: SparkSession, packed: np.ndarray):
-    """Column function: may a row with this hash be repeated?"""
-    shared = spark.sparkContext.broadcast(packed)
-
-    @F.pandas_udf("boolean")
-    def maybe(h: pd.Series) -> pd.Series:
-        p = positions(h.to_numpy(np.int64), len(shared.value) * 8)
-        return pd.Series((shared.value[p >> 3] >> (7 - (p & 7)) & 1).all(axis=1))
-    return maybe
-
-
 def _digests(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     clean = normalised(F.col(text))
     return docs.select(F.col(doc_id).alias("id"), F.sha2(clean, 256).alias("sha"),
@@ -115,8 +32,8 @@ def _decide(docs: DataFrame, doc_id: str, text: str):
     """(rows with ``maybe``, groups of the rows that may be repeated, tester)."""
     rows = stash(_digests(docs, doc_id, text), "digests")
     total = rows.count()
-    packed = repeated_bits(rows.select("h"), filter_bits(total))
-    maybe = tester(docs.sparkSession, packed)
+    maybe = tester(docs.sparkSession,
+                   set_bits(rows.select("h"), filter_bits(total), repeated=True))
     rows = stash(rows.withColumn("maybe", maybe("h")), "tested")
     best = F.max(F.struct(F.col("chars"), -F.col("id"), F.col("id").alias("keep"))).alias("best")
     groups = stash(rows.where("maybe").groupBy("sha").agg(best, F.count("*").alias("n"))

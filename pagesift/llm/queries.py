@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pagesift.llm.exact_dedup import EXACT_DEDUP_SQL, op5_exact_dedup
+from pagesift.llm.ngram_join import op7_ngram_jaccard_join
 from pagesift.llm.packing import op1_packing
 
 QUERIES = {f.__name__: f for f in (
-    op1_packing, op5_exact_dedup,
+    op1_packing, op5_exact_dedup, op7_ngram_jaccard_join,
 )}
 ORACLE_SQL = {
     "op5_exact_dedup": EXACT_DEDUP_SQL,
