@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesift.llm.bits import filter_bits, has_bits, set_bits
+from pagesift.llm.bits import filter_bits, has_bits, set_bits, tester
 from pagesift.llm.common import (U64, batch_words, components, join_skewed, mix, pieces,
                                  read_table, shingle_hashes, shuffle_partitions, stash, text_bytes)
 
@@ -338,5 +338,32 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
         "doc_id", F.col("size").alias("n_shingles"), F.col("cls").alias("class_id"), "component_id")
 
 
+def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, unchanged: of each component the one
+    with the smallest doc_id, and all documents without shingles.  Rows that
+    repeat its id are copies too; one of them stays.  Rows with a null id stay.
+    Other cases as in ``ngram_join``.  Only documents of components of more than one row, and few
+    others that a Bloom filter lets through, are shuffled with their texts."""
+    spark = docs.sparkSession
+    found = stash(ngram_join(docs, doc_id, text), "joined")
+    sizes = found.where("n_shingles > 0").groupBy("component_id").agg(F.count("*").alias("n"))
+    sizes = stash(sizes.where("n > 1"), "sizes")
+    total = found.count()
+    near = stash(join_skewed(found.where("n_shingles > 0").select("doc_id", "component_id"),
+                             sizes, "component_id", "n", total)
+                 .select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("stays")), "near")
+    bits = set_bits(near.select("doc_id"), filter_bits(near.count()))
+    maybe = tester(spark, bits)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    held = docs.select(F.col(doc_id).cast("long").alias("_id"), whole.alias("_row"))
+    held = held.withColumn("_maybe", maybe(F.coalesce("_id", F.lit(0))))
+    stays = near.where("stays").select(F.col("doc_id").alias("_id")).distinct()
+    asked = held.where("_maybe")
+    chosen = asked.join(stays, "_id").groupBy("_id").agg(F.first("_row").alias("_row"))
+    others = asked.join(near.select(F.col("doc_id").alias("_id")), "_id", "left_anti")
+    return (held.where("not _maybe").select("_row.*").unionByName(chosen.select("_row.*"))
+            .unionByName(others.select("_row.*")))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(read_table(spark, sf_dir, "documents"))
