@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pagesift.llm.chat import CHAT_SQL, op10_chat_formatting
+from pagesift.llm.edit_counts import op3_token_counts
 from pagesift.llm.exact_dedup import EXACT_DEDUP_SQL, op5_exact_dedup
+from pagesift.llm.license_scan import op2_license_scans
 from pagesift.llm.line_crf import op4_quality_rules
 from pagesift.llm.mixing import op9_mixing
 from pagesift.llm.ngram_join import op7_ngram_jaccard_join
@@ -11,7 +13,7 @@ from pagesift.llm.packing import op1_packing
 from pagesift.llm.quality_fm import op6_quality_classifier
 
 QUERIES = {f.__name__: f for f in (
-    op1_packing, op4_quality_rules, op5_exact_dedup, op6_quality_classifier,
+    op1_packing, op2_license_scans, op3_token_counts, op4_quality_rules, op5_exact_dedup, op6_quality_classifier,
     op7_ngram_jaccard_join, op9_mixing, op10_chat_formatting,
 )}
 ORACLE_SQL = {
