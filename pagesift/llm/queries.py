@@ -10,11 +10,12 @@ from pagesift.llm.line_crf import op4_quality_rules
 from pagesift.llm.mixing import op9_mixing
 from pagesift.llm.ngram_join import op7_ngram_jaccard_join
 from pagesift.llm.packing import op1_packing
+from pagesift.llm.pii_surrogates import op8_pii
 from pagesift.llm.quality_fm import op6_quality_classifier
 
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_license_scans, op3_token_counts, op4_quality_rules, op5_exact_dedup, op6_quality_classifier,
-    op7_ngram_jaccard_join, op9_mixing, op10_chat_formatting,
+    op7_ngram_jaccard_join, op8_pii, op9_mixing, op10_chat_formatting,
 )}
 ORACLE_SQL = {
     "op5_exact_dedup": EXACT_DEDUP_SQL,
