@@ -21,6 +21,11 @@ Rules (walk starts at ``<body>``):
   an empty result emits nothing;
 * the css context of a block is the last ``CSS_DEPTH`` pushed bags.
 
+The body opens at its tag, at the first element that can't be in a head, or at
+the first text outside of the head's elements.  Its end tag and that of the page
+are taken back: what follows them still belongs to the body, and a further
+body tag changes nothing.
+
 Unclosed tags are repaired with a small subset of HTML's implied-end rules
 (``<p>``, ``<li>``, ``<dt>/<dd>``, ``<option>``, table rows and cells); an
 end tag closes every element opened after its matching start tag.
@@ -57,8 +62,11 @@ UNWRAPPED_TAGS = frozenset(
 VOID_TAGS = frozenset(
     "area,base,basefont,br,col,embed,frame,hr,img,input,isindex,keygen,link,"
     "meta,param,source,track,wbr".split(","))
+# Content of a head: it opens no body.
 _HEAD_TAGS = frozenset(
-    {"html", "head", "title", "meta", "link", "style", "script", "base"})
+    "html,head,title,meta,link,style,script,base,noscript,template,bgsound,basefont".split(","))
+# Head elements whose text is no page text.
+_HEAD_TEXT_TAGS = frozenset({"title", "style", "script", "noscript", "template"})
 
 # Implied ends: a start tag closes an open element of the listed kinds when
 # no element of the boundary kinds lies between.
@@ -110,8 +118,7 @@ class BlockWalker(HTMLParser):
     def run(self, html: str):
         self.reset()
         self._in_body = False
-        self._done = False
-        self._in_head = False
+        self._head_text = 0      # depth inside head elements that hold text
         self._kill = 0           # depth inside removed elements
         self._ignore = 0         # depth inside ignored elements
         self._stack: list[_Frame] = []
@@ -207,20 +214,15 @@ class BlockWalker(HTMLParser):
 
     # -- parser callbacks -------------------------------------------------
     def handle_starttag(self, tag, attrs):
-        if self._done:
-            return
         if not self._in_body:
-            if tag == "head":
-                self._in_head = True
-            if tag == "body" or (not self._in_head and tag not in _HEAD_TAGS):
-                self._in_body = True
-                self._mode = "drop"
-                if tag == "body":
-                    self._open(tag, attrs)
-                    return
-                self._open("body", [])
-            else:
+            if tag in _HEAD_TAGS:
+                self._head_text += tag in _HEAD_TEXT_TAGS
+                return
+            self._open_body(attrs if tag == "body" else [])
+            if tag == "body":
                 return
+        elif tag in ("body", "html", "head"):
+            return
         if self._kill:
             if tag in KILLED_TAGS and tag not in VOID_TAGS:
                 self._kill += 1
@@ -236,13 +238,18 @@ class BlockWalker(HTMLParser):
             self._implied_ends(tag)
         self._open(tag, attrs)
 
+    def _open_body(self, attrs):
+        self._in_body = True
+        self._mode = "drop"
+        self._open("body", attrs)
+
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
         if not self._in_body:
-            if tag == "head":
-                self._in_head = False
+            if tag in _HEAD_TEXT_TAGS and self._head_text:
+                self._head_text -= 1
             return
         if self._kill:
             if tag in KILLED_TAGS:
@@ -251,10 +258,6 @@ class BlockWalker(HTMLParser):
         if tag in UNWRAPPED_TAGS:
             return
         if tag in ("body", "html"):
-            self._finish_node()
-            self._pop_to(0)
-            self._in_body = False
-            self._done = True
             return
         i = self._find({tag}, ())
         if i < 0:
@@ -263,7 +266,11 @@ class BlockWalker(HTMLParser):
         self._pop_to(i)
 
     def handle_data(self, data):
-        if not self._in_body or self._kill:
+        if not self._in_body:
+            if self._head_text or not data.strip():
+                return
+            self._open_body([])
+        if self._kill:
             return
         self._body.append(data)
         self._frags.append(data)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagesift.functions.exprs import let
+from pagesift.session import ensure_checkpoint_dir
 from pagesift.functions.text import whitespace_tokens
 
 METRICS = ["precision", "recall", "f1", "lcs_precision", "lcs_recall", "lcs_f1"]
@@ -134,8 +135,9 @@ def eval_report(metrics: DataFrame, round_col: str = "round") -> DataFrame:
         F.count("*").cast("bigint").alias("n_docs"),
         F.count_if(F.col(present[0]).isNull()).cast("bigint").alias("n_skipped"),
         *[F.avg(c).alias(c) for c in present])
-    # one row per round: cached so the final row does not recompute the rounds
-    per_round = per_round.persist()
+    # one row per round: checkpointed so the final row does not recompute the rounds
+    ensure_checkpoint_dir(metrics.sparkSession)
+    per_round = per_round.checkpoint()
     final = per_round.agg(
         F.lit(-1).cast("int").alias(round_col),
         F.sum("n_docs").cast("bigint").alias("n_docs"),

@@ -41,10 +41,6 @@ class ScalerModel:
             s["nn"], F.when(s["rg"] > 0, (x - s["mn"]) / s["rg"]).otherwise(x))
             .otherwise(F.when(s["ab"] > 0, x / s["ab"]).otherwise(x)))
 
-    def to_rows(self):
-        return [(k, self.non_negative[k], self.minimum[k], self.minimum[k] + self.rng[k],
-                 self.rng[k], self.max_abs[k]) for k in range(self.dim)]
-
 
 def _aggregates(f: Column, dim: int):
     out = []

@@ -1,35 +1,41 @@
-"""Document sampling and splits (K3, K4, M5/W4), all distributed.
+"""Document sampling and splits.
 
-Positions come from ``ordering.with_global_index`` computed on the narrow key
-column only (checkpointed, so the ordering passes do not recompute the
-pages); the assignment is then joined back on the key -- broadcast when the
-key table is within a checked size, a shuffle join otherwise.  Fold and
-split rules only compare a row's position with the total count.
+A split into contiguous ranges of an order is given by the keys at its cuts.
+Those few keys are looked up in an index of the narrow key column; every row
+then finds its part by comparing its own key with them, so the rows are
+neither joined nor shuffled, and copies of a document share one part.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagesift.operators.ordering import with_global_index
+from pagesift.operators.ordering import rows_at, with_global_index
 
 DEFAULT_SEED = 42
-# Largest key -> assignment table broadcast back to the rows.
-BROADCAST_KEYS_LIMIT = 1_000_000
 
 
-def _indexed_keys(df: DataFrame, key: str, order) -> DataFrame:
-    # distinct keys: copies of a document share one assignment and the join
-    # back cannot multiply rows
-    keys = df.select(key).distinct()
-    return with_global_index(keys, order, "_idx", total="_n", materialize=True)
+def _cut_keys(df: DataFrame, key: Column, positions) -> list:
+    """The distinct values of ``key`` at the positions that ``positions``
+    (function of their number) asks for, in order; fewer if it has fewer."""
+    keys = df.select(key.alias("_k")).where(F.col("_k").isNotNull()).distinct()
+    indexed = with_global_index(keys, [F.col("_k")], "_idx")
+    n = indexed.count()
+    return [r["_k"] for r in rows_at(indexed, [p for p in positions(n) if p < n], "_idx")]
 
 
-def _attach(df: DataFrame, assigned: DataFrame, key: str) -> DataFrame:
-    n = assigned.count()
-    side = F.broadcast(assigned) if n <= BROADCAST_KEYS_LIMIT else assigned
-    return df.join(side, key, "inner")
+def _cuts_passed(key: Column, cuts: list) -> Column:
+    """How many of the ascending ``cuts`` are at or before ``key``."""
+    passed = F.lit(0)
+    for i, cut in enumerate(cuts, 1):
+        passed = F.when(key >= F.lit(cut), F.lit(i)).otherwise(passed)
+    return passed
+
+
+def _digest(seed: int, *cols: str) -> Column:
+    """Hex MD5 of ``'<seed>:<col>:<col>...'``."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]))
 
 
 def sample_docs(df: DataFrame, limit: int, key: str = "page_id",
@@ -39,57 +45,54 @@ def sample_docs(df: DataFrame, limit: int, key: str = "page_id",
     a limit above the count keeps all."""
     if limit <= 0:
         return df
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    order = [digest, F.col(key)]
-    chosen = _indexed_keys(df, key, order).filter(F.col("_idx") < limit).select(key)
-    return _attach(df, chosen, key)
+    rank = F.struct(_digest(seed, key).alias("d"), F.col(key).alias("k"))
+    cut = _cut_keys(df, rank, lambda n: [limit])
+    if not cut:
+        return df
+    return df.where(rank < F.struct(F.lit(cut[0]["d"]).alias("d"), F.lit(cut[0]["k"]).alias("k")))
 
 
 def holdout_split(df: DataFrame, ratio: float = 0.7, key: str = "page_id") -> DataFrame:
     """K4: the first ``int(n * ratio)`` documents in ``key`` order train, the
     rest test.  Adds ``split`` ('train' / 'test')."""
-    idx = _indexed_keys(df, key, [F.col(key)])
-    cut = F.floor(F.col("_n").cast("double") * float(ratio))
-    assigned = idx.select(key, F.when(F.col("_idx") < cut, "train").otherwise("test")
-                          .alias("split"))
-    return _attach(df, assigned, key)
+    cut = _cut_keys(df, F.col(key), lambda n: [int(n * float(ratio))])
+    return df.withColumn("split", F.when(_cuts_passed(F.col(key), cut) == 0, "train").otherwise("test"))
 
 
 def kfold_assign(df: DataFrame, k: int = 5, key: str = "page_id") -> DataFrame:
     """Contiguous folds in ``key`` order, ``round_size = n div k``;
     fold ``i`` holds positions ``[i*round_size, (i+1)*round_size)`` and the
-    remainder documents get ``fold`` NULL (they only ever train)."""
+    remainder documents get ``fold`` NULL (they only ever train).  With fewer
+    documents than folds all of them are remainder."""
     if k < 1:
         raise ValueError("k must be positive")
-    idx = _indexed_keys(df, key, [F.col(key)])
-    size = F.floor(F.col("_n") / k)
-    fold = F.when((size > 0) & (F.col("_idx") < size * k),
-                  F.floor(F.col("_idx") / size).cast("int"))
-    return _attach(df, idx.select(key, fold.alias("fold")), key)
-
-
-def hash_folds(df: DataFrame, k: int = 10, cols=("page_id",),
-               seed: int = DEFAULT_SEED) -> DataFrame:
-    """Fold by seeded hash: no ordering pass, every row tested once."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(*[F.col(c) for c in cols], F.lit(seed)),
-                                        F.lit(k)).cast("int"))
+    cuts = _cut_keys(df, F.col(key), lambda n: [i * (n // k) for i in range(k + 1)] if n >= k else [])
+    if not cuts:
+        return df.withColumn("fold", F.lit(None).cast("int"))
+    fold = _cuts_passed(F.col(key), cuts) - 1
+    return df.withColumn("fold", F.when(fold < k, fold).cast("int"))
 
 
 def stratified_folds(df: DataFrame, k: int = 10, label: str = "label",
                      cols=("page_id", "pos"), seed: int = DEFAULT_SEED) -> DataFrame:
-    """Stratified folds: rows are ranked by ``(label, seeded hash of cols)``
-    with the distributed global index, and fold = rank within the class
-    mod ``k`` -- every fold gets floor or ceil of ``n_class / k`` rows of
-    each class.  A per-label window would send a whole class through one
-    task; here the only per-class state is its first rank (one row per
-    class, a bounded broadcast)."""
-    key_cols = [F.col(c) for c in cols]
-    order = [F.col(label), F.xxhash64(*key_cols, F.lit(seed)), *key_cols]
-    idx = with_global_index(df, order, "_si", materialize=True)
-    firsts = idx.groupBy(label).agg(F.min("_si").alias("_first"))
-    n_classes = firsts.count()
-    side = F.broadcast(firsts) if n_classes <= BROADCAST_KEYS_LIMIT else firsts
-    return (idx.join(side, label)
-               .withColumn("fold", F.pmod(F.col("_si") - F.col("_first"), F.lit(k)).cast("int"))
-               .drop("_si", "_first"))
-
+    """M6: stratified folds.  The rows of a class are ranked by the seeded MD5
+    of ``cols``; fold ``i`` holds the ranks from ``i*n/k`` up to ``(i+1)*n/k``,
+    so every fold has floor or ceil of ``n/k`` rows of each class.  Rows with
+    equal ``cols`` share a fold.  Adds ``fold``."""
+    digest = _digest(seed, *cols)
+    narrow = df.select(F.col(label).alias("_c"), digest.alias("_d"))
+    indexed = with_global_index(narrow, [F.col("_c"), F.col("_d")], "_idx")
+    firsts = indexed.groupBy("_c").agg(F.min("_idx").alias("a"), F.count("*").alias("n")).collect()
+    spots = {r["a"] + -(-i * r["n"] // k): None for r in firsts for i in range(1, k)}
+    cuts: dict = {r["_c"]: [] for r in firsts}
+    last = {r["_c"]: r["a"] + r["n"] for r in firsts}
+    found = {r["_idx"]: r for r in rows_at(indexed, list(spots), "_idx")}
+    for r in firsts:
+        for i in range(1, k):
+            at = r["a"] + -(-i * r["n"] // k)
+            # a cut at the class's end lies behind all of its rows
+            cuts[r["_c"]].append(found[at]["_d"] if at < last[r["_c"]] else "~")
+    fold = F.lit(0)
+    for c, keys in cuts.items():
+        fold = F.when(F.col(label).eqNullSafe(F.lit(c)), _cuts_passed(digest, keys)).otherwise(fold)
+    return df.withColumn("fold", fold.cast("int"))

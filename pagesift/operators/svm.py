@@ -16,6 +16,7 @@ pages; the model it needs is bounded (D x d weights, D + 1 coefficients).
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,6 +34,11 @@ DEFAULT_SEED = 42
 # Training partitions are sized by rows (128 doubles each): small inputs are
 # merged so each optimizer iteration is one task wave, not a tree of shuffles.
 ROWS_PER_TRAINING_PARTITION = 200_000
+# Blocks whose Fourier features are held at once while predicting.
+ROWS_PER_PRODUCT = 8_192
+# The optimizer stops at its tolerance; this only guards against a run that
+# never gets there, which is reported.
+MAX_ITERATIONS = 2_000
 
 
 @dataclass
@@ -49,17 +55,14 @@ class FourierMap:
         b = rng.uniform(0.0, 2.0 * np.pi, size=components)
         return cls(w, b)
 
-    def map_matrix(self, x: np.ndarray) -> np.ndarray:
-        d = self.weights.shape[0]
-        return np.sqrt(2.0 / d) * np.cos(x @ self.weights.T + self.offsets)
-
     def udf(self):
         w, b = self.weights, self.offsets
         d, dim = w.shape
 
         @F.arrow_udf(T.ArrayType(T.DoubleType()))
         def fourier(col: pa.Array) -> pa.Array:
-            # rows are fixed-width feature arrays: one reshape, one matmul
+            # rows are fixed-width feature arrays: one reshape, one product
+            # (batches are capped by rows, and a row is one block here)
             x = col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), dim)
             z = np.sqrt(2.0 / d) * np.cos(x @ w.T + b)
             offsets = pa.array(np.arange(0, (len(col) + 1) * d, d, dtype=np.int32))
@@ -73,6 +76,8 @@ class SVMModel:
     fourier: FourierMap
     coefficients: np.ndarray
     intercept: float
+    iterations: int = 0
+    converged: bool = True
 
     def page_udf(self, out_type=T.ArrayType(T.IntegerType())):
         """Arrow UDF: a page's ``ARRAY<ARRAY<DOUBLE>>`` raw features -> 0/1
@@ -93,9 +98,12 @@ class SVMModel:
             # all blocks of the batch at once; page boundaries from the offsets
             blocks = pages.flatten()
             x = blocks.flatten().to_numpy(zero_copy_only=False).reshape(len(blocks), dim)
-            x = (x - sub) / div
-            z = np.sqrt(2.0 / w.shape[0]) * np.cos(x @ w.T + b)
-            decision = (z @ coef + icpt > 0).astype(np.int32)
+            decision = np.empty(len(x), np.int32)
+            # a page may have any number of blocks: fixed-size products
+            for at in range(0, len(x), ROWS_PER_PRODUCT):
+                part = (x[at:at + ROWS_PER_PRODUCT] - sub) / div
+                z = np.sqrt(2.0 / w.shape[0]) * np.cos(part @ w.T + b)
+                decision[at:at + ROWS_PER_PRODUCT] = z @ coef + icpt > 0
             offsets = pa.array(np.asarray(pages.offsets, dtype=np.int32)
                                - np.int32(pages.offsets[0].as_py()))
             return pa.ListArray.from_arrays(offsets, pa.array(decision, pa.int32()))
@@ -103,9 +111,10 @@ class SVMModel:
 
 
 def svm_fit(examples: DataFrame, dim: int, components: int = DEFAULT_COMPONENTS,
-            c: float = 1.0, seed: int = DEFAULT_SEED, max_iter: int = 30,
+            c: float = 1.0, seed: int = DEFAULT_SEED, max_iter: int = MAX_ITERATIONS,
             tol: float = 1e-4) -> SVMModel:
-    """M1: fit scaler, random Fourier map and LinearSVC on ``(label, f)``."""
+    """M1: fit scaler, random Fourier map and LinearSVC on ``(label, f)``, to
+    the tolerance.  The model tells the iterations and whether it got there."""
     scaler = scaler_fit(examples, dim)
     fourier = FourierMap.draw(dim, components, seed=seed)
     mapped = (scale(examples.select("label", "f"), scaler)
@@ -119,7 +128,11 @@ def svm_fit(examples: DataFrame, dim: int, components: int = DEFAULT_COMPONENTS,
                     regParam=1.0 / (c * max(n, 1)), standardization=False)
     model = svc.fit(train)
     mapped.unpersist()
-    return SVMModel(scaler, fourier, model.coefficients.toArray(), float(model.intercept))
+    iterations = int(model.summary().totalIterations)
+    if iterations >= max_iter:
+        warnings.warn(f"the SVM fit has not converged in {max_iter} iterations", stacklevel=2)
+    return SVMModel(scaler, fourier, model.coefficients.toArray(), float(model.intercept),
+                    iterations, iterations < max_iter)
 
 
 def svm_predict_blocks(df: DataFrame, model: SVMModel, out: str = "prediction") -> DataFrame:
@@ -128,8 +141,3 @@ def svm_predict_blocks(df: DataFrame, model: SVMModel, out: str = "prediction")
     with_preds = df.withColumn("_svm", preds)
     return with_preds.withColumn("blocks", F.transform(
         "blocks", lambda b, i: b.withField(out, F.get(F.col("_svm"), i)))).drop("_svm")
-
-
-def accuracy(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """Share of rows whose prediction equals the label (one row)."""
-    return df.agg(F.avg((F.col(label) == F.col(prediction)).cast("double")).alias("accuracy"))

@@ -8,6 +8,7 @@ evaluation; only model fitting works on the long example table.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -19,10 +20,12 @@ from pagesift.operators.evaluate import eval_report, evaluate
 from pagesift.operators.features import (INDICATIVE_TOKENS, RELATIVE_POSITION, SHALLOW_TEXT,
                                          feature_dim, feature_vectors, training_examples,
                                          unique_examples)
-from pagesift.operators.nb import learned_tokens, nb_fit, nb_predict
+from pagesift.operators.curve import score_curve
+from pagesift.operators.nb import learned_tokens, nb_fit, nb_fit_folds, nb_predict
 from pagesift.operators.segment import segment_blocks
-from pagesift.operators.split import holdout_split, kfold_assign, stratified_folds
+from pagesift.operators.split import holdout_split, kfold_assign, sample_docs, stratified_folds
 from pagesift.operators.svm import SVMModel, svm_fit, svm_predict_blocks
+from pagesift.session import ensure_checkpoint_dir
 from pagesift.sources.corpus import gold_key, read_table
 from pagesift.functions.text import normalize_text, strip_xml_decl
 
@@ -59,6 +62,13 @@ def materialize_pages(pages: DataFrame, path: str, mode: str = "overwrite") -> D
     return pages.sparkSession.read.parquet(path)
 
 
+def stored(df: DataFrame, name: str = "pages") -> DataFrame:
+    """``materialize_pages`` into a fresh table below the checkpoint folder,
+    for frames that a job reads several times."""
+    base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
+    return materialize_pages(df, f"{base}/{name}-{uuid.uuid4().hex}")
+
+
 @dataclass
 class ContentModel:
     spec: tuple
@@ -97,10 +107,11 @@ def score_pages(predicted: DataFrame, lcs: bool = True) -> DataFrame:
 
 
 def holdout_eval(pages: DataFrame, spec: Sequence = (SHALLOW_TEXT,), ratio: float = 0.7,
-                 unique: bool = False) -> DataFrame:
+                 unique: bool = False, limit: int = 0) -> DataFrame:
     """M7: train on the first ``int(n * ratio)`` pages (page_id order), score
-    the rest; returns the one-round report."""
-    split = holdout_split(pages, ratio).persist()
+    the rest; returns the one-round report.  ``limit`` > 0 takes a sample of
+    as many pages first (K3), here and in the other protocols."""
+    split = stored(holdout_split(sample_docs(pages, limit), ratio))
     model = train_content_model(split.filter("split = 'train'").drop("split"), spec, unique)
     test = split.filter("split = 'test'").drop("split")
     metrics = score_pages(predict_pages(model, test)).withColumn("round", F.lit(0))
@@ -108,72 +119,94 @@ def holdout_eval(pages: DataFrame, spec: Sequence = (SHALLOW_TEXT,), ratio: floa
 
 
 def resub_eval(pages: DataFrame, spec: Sequence = (SHALLOW_TEXT,),
-               unique: bool = False) -> DataFrame:
-    """M8: train and test on all pages; per-page metrics (feeds the curve)."""
+               unique: bool = False, limit: int = 0) -> DataFrame:
+    """M8: train and test on all pages; per-page metrics."""
+    pages = stored(sample_docs(pages, limit))
     model = train_content_model(pages, spec, unique)
     return score_pages(predict_pages(model, pages))
 
 
+def resub_curve(pages: DataFrame, spec: Sequence = (SHALLOW_TEXT,), unique: bool = False,
+                limit: int = 0) -> DataFrame:
+    """M8 into A16: the cumulative curve of the resubstitution F1."""
+    return score_curve(resub_eval(pages, spec, unique, limit), "f1")
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def cv_eval(pages: DataFrame, k: int = 5, spec: Sequence = FULL_SPEC,
-            unique: bool = True) -> DataFrame:
+            unique: bool = True, limit: int = 0) -> DataFrame:
     """M5: contiguous K-fold CV over pages; remainder pages only train.
     Returns per-round and final averages."""
-    folded = kfold_assign(pages, k).persist()
+    folded = stored(kfold_assign(sample_docs(pages, limit), k))
     rounds = []
     for i in range(k):
         train = folded.filter(F.col("fold").isNull() | (F.col("fold") != i)).drop("fold")
         test = folded.filter(F.col("fold") == i).drop("fold")
         model = train_content_model(train, spec, unique)
         rounds.append(score_pages(predict_pages(model, test)).withColumn("round", F.lit(i)))
-    metrics = rounds[0]
-    for r in rounds[1:]:
-        metrics = metrics.unionByName(r)
-    return eval_report(metrics)
+    return eval_report(_union(rounds))
 
 
-def nb_cv_eval(pages: DataFrame, k: int = 5, lcs: bool = False) -> DataFrame:
+def nb_cv_eval(pages: DataFrame, k: int = 5, lcs: bool = False, limit: int = 0) -> DataFrame:
     """M5 with the naive-Bayes block classifier (fully SQL-expressible when
-    ``lcs`` is off): per-page metrics with their ``round``."""
-    folded = kfold_assign(pages, k).persist()
-    rounds = []
-    for i in range(k):
-        train = folded.filter(F.col("fold").isNull() | (F.col("fold") != i)).drop("fold")
-        test = folded.filter(F.col("fold") == i).drop("fold")
-        model = nb_fit(train)
-        scored = score_pages(nb_predict(test, model), lcs=lcs)
-        rounds.append(scored.withColumn("round", F.lit(i)))
-    metrics = rounds[0]
-    for r in rounds[1:]:
-        metrics = metrics.unionByName(r)
-    return metrics
+    ``lcs`` is off): per-page metrics with their ``round``.  The counts of all
+    rounds come from one aggregate."""
+    folded = stored(kfold_assign(sample_docs(pages, limit), k))
+    models = nb_fit_folds(folded, k)
+    return _union([
+        score_pages(nb_predict(folded.filter(F.col("fold") == i).drop("fold"), model), lcs=lcs)
+        .withColumn("round", F.lit(i)) for i, model in enumerate(models)])
+
+
+# Scores of block predictions from (label, prediction); a score without a
+# denominator is 0.
+def _tp():
+    return F.sum(F.col("label") * F.col("prediction"))
+
+
+_SCORES = {
+    "accuracy": lambda: F.avg((F.col("label") == F.col("prediction")).cast("double")),
+    "precision": lambda: F.coalesce(_tp() / F.nullif(F.sum("prediction"), F.lit(0)), F.lit(0.0)),
+    "recall": lambda: F.coalesce(_tp() / F.nullif(F.sum("label"), F.lit(0)), F.lit(0.0)),
+    "f1": lambda: F.coalesce(2 * _tp() / F.nullif(F.sum("prediction") + F.sum("label"), F.lit(0)),
+                             F.lit(0.0)),
+}
+
+
+def block_folds(pages: DataFrame, folds: int = 10, seed: int = 42) -> DataFrame:
+    """(page_id, pos, label, fold): the stratified folds of all blocks."""
+    blocks = training_examples(feature_vectors(pages, (SHALLOW_TEXT,)))
+    return stratified_folds(blocks.select("page_id", "pos", "label"), folds, seed=seed)
 
 
 def block_cv(pages: DataFrame, folds: int = 10, spec: Sequence = (SHALLOW_TEXT,),
-             unique: bool = False, seed: int = 42) -> DataFrame:
+             unique: bool = False, seed: int = 42, scoring: str = "accuracy",
+             limit: int = 0) -> DataFrame:
     """M6: block-level CV with stratified folds (seeded order within each
-    class); the scaler is fitted inside each fold.  Returns
-    ``(fold, accuracy)`` rows."""
-    feats = feature_vectors(pages, spec)
+    class); the scaler is fitted inside each fold.  ``scoring`` is one of
+    accuracy, precision, recall, f1.  Returns ``(fold, <scoring>)`` rows."""
+    feats = feature_vectors(sample_docs(pages, limit), spec)
     examples = training_examples(feats)
     if unique:
         examples = unique_examples(examples)
-    examples = stratified_folds(examples, folds, "label",
-                                cols=("f",) if unique else ("page_id", "pos"),
-                                seed=seed).persist()
+    examples = stored(stratified_folds(examples, folds, "label",
+                                       cols=("f",) if unique else ("page_id", "pos"),
+                                       seed=seed), "examples")
     dim = feature_dim(spec)
-    spark = pages.sparkSession
-    rows = []
+    rounds = []
     for i in range(folds):
-        train = examples.filter(F.col("fold") != i)
-        test = examples.filter(F.col("fold") == i)
-        model = svm_fit(train, dim, seed=seed)
+        model = svm_fit(examples.filter(F.col("fold") != i), dim, seed=seed)
         # page_udf scales, maps and decides; a block is scored as a one-block page
+        test = examples.filter(F.col("fold") == i)
         with_p = test.withColumn("prediction", model.page_udf()(F.array("f"))[0])
-        acc = with_p.agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))
-                         .alias("accuracy")).first()["accuracy"]
-        rows.append((i, float(acc) if acc is not None else None))
-    examples.unpersist()
-    return spark.createDataFrame(rows, "fold int, accuracy double")
+        rounds.append(with_p.agg(F.lit(i).alias("fold"), _SCORES[scoring]().alias(scoring)))
+    return _union(rounds)
 
 
 def evaluate_external(predictions: DataFrame, pages: DataFrame, lcs: bool = True,

@@ -7,6 +7,7 @@ compare value-for-value with the DuckDB oracles in ``plans.oracle_sql``.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,7 @@ from pagesift.operators.features import (INDICATIVE_TOKENS, RELATIVE_POSITION,
                                          relative_position, training_examples,
                                          unique_examples)
 from pagesift.operators.scale import scale, scaler_factors, scaler_fit
+from pagesift.operators.svm import FourierMap, SVMModel, svm_predict_blocks
 from pagesift.operators.split import holdout_split, kfold_assign, sample_docs
 from pagesift.operators.curve import score_curve, score_summary, cv_summary
 from pagesift.plans import jobs
@@ -64,9 +66,14 @@ def q_load_pairs(spark, sf):
 
 
 def q_strip_xml_decl(spark, sf):
+    # the given pages have no declaration: every page gets one, after some
+    # white space and in either case
     p = read_table(spark, sf, "pages")
-    return p.select("page_id", F.length("html").cast("bigint").alias("n_chars"),
-                    F.length(strip_xml_decl("html")).cast("bigint").alias("n_chars_stripped"))
+    declared = F.concat(
+        F.expr("repeat(' ', cast(page_id % 3 as int))"),
+        F.when(F.col("page_id") % 2 == 0, '<?xml version="1.0" encoding="utf-8"?>')
+        .otherwise('<?XML version="1.0"?>'), "html")
+    return p.select("page_id", strip_xml_decl(declared).alias("html"))
 
 
 def q_pages_without_gold(spark, sf):
@@ -82,8 +89,21 @@ def q_decode_pages(spark, sf):
 
 
 def q_gold_from_spans(spark, sf):
-    p = read_table(spark, sf, "pages")
-    return p.select("page_id", gold_from_spans("html").alias("gold"))
+    # the given pages have no annotations: the lines of the documents are
+    # annotated by turns as a gold span, a gold span around a density span, and
+    # a span of another class, with text between them
+    d = read_table(spark, sf, "documents")
+    plain = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+
+    def annotated(line, i):
+        gold = F.concat(F.lit('<span class="x-nc-sel2">'), line, F.lit("</span>"))
+        nested = F.concat(F.lit('<span class="x-nc-sel2"><span x-text-density="1">'), line,
+                          F.lit("</span></span>"))
+        other = F.concat(F.lit('<span class="x-nc-sel2 z">'), line, F.lit("</span>"))
+        return F.concat(F.when(i % 3 == 0, gold).when(i % 3 == 1, nested).otherwise(other),
+                        F.lit("<p>between</p>"))
+    html = F.array_join(F.transform(F.split(plain, "\n"), annotated), "")
+    return d.select("doc_id", html.alias("html")).select("doc_id", gold_from_spans("html").alias("gold"))
 
 
 # -- text functions --------------------------------------------------------
@@ -96,8 +116,8 @@ def q_segment_blocks(spark, sf):
     return _long(_pages(spark, sf), "pos", "text")
 
 
-def q_block_css(spark, sf):
-    b = _long(_pages(spark, sf), "pos", "css")
+def q_block_css(spark, sf, source=_pages):
+    b = _long(source(spark, sf), "pos", "css")
     return b.select("page_id", "pos", F.explode("css").alias("token", "cnt"))
 
 
@@ -165,15 +185,15 @@ def _indicative_model(pages):
 
 
 def q_feature_vectors(spark, sf):
-    pages = _pages(spark, sf).persist()
+    pages = jobs.stored(_pages(spark, sf))
     feats = feature_vectors(pages, IND_SPEC, _indicative_model(pages))
     b = _long(feats, "pos", "f")
     dim = feature_dim(IND_SPEC)
     return b.select("page_id", "pos", *[_r(F.get("f", k)).alias(f"f{k:02d}") for k in range(dim)])
 
 
-def q_indicative_features(spark, sf):
-    pages = _pages(spark, sf).persist()
+def q_indicative_features(spark, sf, source=_pages):
+    pages = jobs.stored(source(spark, sf))
     feats = feature_vectors(pages, ((INDICATIVE_TOKENS, TOP_N),), _indicative_model(pages))
     b = _long(feats, "pos", "f")
     return b.select("page_id", "pos", *[F.get("f", k).alias(f"i{k:02d}") for k in range(TOP_N)])
@@ -211,14 +231,14 @@ def q_scaler_fit(spark, sf):
 
 
 def q_scaled_features(spark, sf):
-    ex = training_examples(feature_vectors(_pages(spark, sf), _SCALE_SPEC)).persist()
+    ex = jobs.stored(training_examples(feature_vectors(_pages(spark, sf), _SCALE_SPEC)), "examples")
     dim = feature_dim(_SCALE_SPEC)
     sc = scale(ex, scaler_fit(ex, dim))
     return sc.select("page_id", "pos", *[_r(F.get("f", k)).alias(f"s{k}") for k in range(dim)])
 
 
 def q_libsvm_lines(spark, sf):
-    ex = training_examples(feature_vectors(_pages(spark, sf), (SHALLOW_TEXT,))).persist()
+    ex = jobs.stored(training_examples(feature_vectors(_pages(spark, sf), (SHALLOW_TEXT,))), "examples")
     sc = scale(ex, scaler_fit(ex, 7))
     return libsvm_lines(sc).select("page_id", "pos", "line")
 
@@ -268,11 +288,11 @@ def q_eval_external(spark, sf):
 
 
 def q_diagnostics(spark, sf):
-    art = block_features(_gold_articles(spark, sf)).persist()
+    art = jobs.stored(block_features(_gold_articles(spark, sf)))
     base = diagnostics(_long(art, "words_raw", "wps_raw"), art)
     # model warnings: out-of-vocabulary tokens met on held-out pages, and how
     # many of the requested indicative tokens the vocabulary cannot supply
-    split = holdout_split(art, HOLDOUT_RATIO).persist()
+    split = holdout_split(art, HOLDOUT_RATIO)
     model = nbm.nb_fit(split.filter("split = 'train'").drop("split"))
     oov = nbm.nb_oov(split.filter("split = 'test'").drop("split"), model).agg(
         F.lit("oov_block_tokens").alias("metric"),
@@ -320,13 +340,27 @@ def q_sample_docs(spark, sf):
 
 
 # -- naive Bayes -----------------------------------------------------------
-def _nb(spark, sf):
-    pages = _pages(spark, sf).persist()
+def _text_pages(spark, sf):
+    """Pages whose bags hold the words of the blocks' own text: thousands of
+    tokens, where the class and id bags of the given pages have one."""
+    return nbm.with_text_bags(_pages(spark, sf))
+
+
+def _with_text(fn):
+    """The query over word bags."""
+    def run(spark, sf):
+        return fn(spark, sf, _text_pages)
+    run.__name__, run.__doc__ = fn.__name__ + "_text", fn.__doc__
+    return run
+
+
+def _nb(spark, sf, source=_pages):
+    pages = jobs.stored(source(spark, sf))
     return pages, nbm.nb_fit(pages)
 
 
-def q_nb_vocab(spark, sf):
-    return nbm.nb_vocab(_pages(spark, sf))
+def q_nb_vocab(spark, sf, source=_pages):
+    return nbm.nb_vocab(source(spark, sf))
 
 
 def q_nb_prior(spark, sf):
@@ -335,14 +369,14 @@ def q_nb_prior(spark, sf):
                     _r(F.col("n_positive") / F.col("n_blocks")).alias("prior"))
 
 
-def q_nb_model(spark, sf):
-    _, model = _nb(spark, sf)
+def q_nb_model(spark, sf, source=_pages):
+    _, model = _nb(spark, sf, source)
     return model.table.select("token", *[_r(F.col(c)).alias(c) for c in
                                          ("pos_cnt", "neg_cnt", "pos_prob", "neg_prob")])
 
 
-def q_nb_sparseness(spark, sf):
-    pages = _pages(spark, sf)
+def q_nb_sparseness(spark, sf, source=_pages):
+    pages = source(spark, sf)
     # one row per block and bag entry; a token-less block keeps one NULL row
     cells = pages.select(F.explode_outer("blocks").alias("b")).filter(
         F.col("b").isNotNull()).select(
@@ -357,33 +391,33 @@ def q_nb_sparseness(spark, sf):
                       .alias("sparseness"))
 
 
-def q_nb_predict(spark, sf):
-    pages, model = _nb(spark, sf)
+def q_nb_predict(spark, sf, source=_pages):
+    pages, model = _nb(spark, sf, source)
     b = _long(nbm.nb_predict(pages, model), "pos", "prediction", "nb_pos", "nb_neg")
     return b.select("page_id", "pos", F.col("prediction").cast("int"),
                     _r(F.col("nb_pos")).alias("nb_pos"), _r(F.col("nb_neg")).alias("nb_neg"))
 
 
-def q_nb_oov(spark, sf):
-    split = holdout_split(_pages(spark, sf), HOLDOUT_RATIO).persist()
+def q_nb_oov(spark, sf, source=_pages):
+    split = holdout_split(jobs.stored(source(spark, sf)), HOLDOUT_RATIO)
     model = nbm.nb_fit(split.filter("split = 'train'").drop("split"))
     return nbm.nb_oov(split.filter("split = 'test'").drop("split"), model)
 
 
-def q_nb_indicative(spark, sf):
-    _, model = _nb(spark, sf)
+def q_nb_indicative(spark, sf, source=_pages):
+    _, model = _nb(spark, sf, source)
     return nbm.nb_indicative(model, TOP_N).select("kind", "rank", "token",
                                                    _r(F.col("score")).alias("score"))
 
 
-def q_nb_weighted_negative(spark, sf):
-    _, model = _nb(spark, sf)
+def q_nb_weighted_negative(spark, sf, source=_pages):
+    _, model = _nb(spark, sf, source)
     return nbm.nb_weighted_negative(model, TOP_N).select("kind", "rank", "token",
                                                           _r(F.col("score")).alias("score"))
 
 
-def q_nb_report(spark, sf):
-    pages, model = _nb(spark, sf)
+def q_nb_report(spark, sf, source=_pages):
+    pages, model = _nb(spark, sf, source)
     return nb_report(pages, model, TOP_N)
 
 
@@ -408,44 +442,74 @@ def nb_report(pages: DataFrame, model, n: int) -> DataFrame:
 
 # -- models (rows-only checks) ---------------------------------------------
 def q_svm_score(spark, sf):
-    pages = _pages(spark, sf).persist()
+    pages = jobs.stored(_pages(spark, sf))
     model = jobs.train_content_model(pages, (SHALLOW_TEXT,), unique=False)
     return _long(jobs.predict_pages(model, pages), "pos", "label", "prediction")
 
 
 def q_holdout_eval(spark, sf):
-    return jobs.holdout_eval(_pages(spark, sf).persist(), (SHALLOW_TEXT,), HOLDOUT_RATIO)
+    return jobs.holdout_eval(_pages(spark, sf), (SHALLOW_TEXT,), HOLDOUT_RATIO)
 
 
 def q_resub_eval(spark, sf):
-    return jobs.resub_eval(_pages(spark, sf).persist(), (SHALLOW_TEXT,))
+    return jobs.resub_eval(_pages(spark, sf), (SHALLOW_TEXT,))
 
 
 def q_cv_eval(spark, sf):
-    return jobs.cv_eval(_pages(spark, sf).persist(), K_FOLDS, IND_SPEC, unique=True)
+    return jobs.cv_eval(_pages(spark, sf), K_FOLDS, IND_SPEC, unique=True)
 
 
 def q_nb_cv_eval(spark, sf):
-    return eval_report(jobs.nb_cv_eval(_pages(spark, sf).persist(), K_FOLDS, lcs=True))
+    return eval_report(jobs.nb_cv_eval(_pages(spark, sf), K_FOLDS, lcs=True))
 
 
 def q_nb_cv_tokens(spark, sf):
-    rep = eval_report(jobs.nb_cv_eval(_pages(spark, sf).persist(), K_FOLDS, lcs=False))
+    rep = eval_report(jobs.nb_cv_eval(_pages(spark, sf), K_FOLDS, lcs=False))
     return rep.select("scope", "round", "n_docs", "n_skipped",
                       *[_r(F.col(c)).alias(c) for c in ("precision", "recall", "f1")])
 
 
 def q_block_cv(spark, sf):
-    folds = jobs.block_cv(_pages(spark, sf).persist(), 10, (SHALLOW_TEXT,))
-    return folds
+    return jobs.block_cv(_pages(spark, sf), 10, (SHALLOW_TEXT,))
+
+
+def q_block_cv_f1(spark, sf):
+    return jobs.block_cv(_pages(spark, sf), 10, (SHALLOW_TEXT,), scoring="f1")
+
+
+def q_block_folds(spark, sf):
+    return jobs.block_folds(_pages(spark, sf), 10).select(
+        "page_id", "pos", F.col("label").cast("int").alias("label"), "fold")
+
+
+def q_resub_curve(spark, sf):
+    c = jobs.resub_curve(_pages(spark, sf), (SHALLOW_TEXT,))
+    return c.select("x", _r(F.col("y")).alias("y"))
+
+
+# Fixed numbers in place of fitted ones: what a model computes from them is
+# checked against SQL.
+FIXED_MAP = [[((7 * j + i) % 5 - 2) / 2 for i in range(7)] for j in range(4)]
+FIXED_OFFSETS = [0.0, 0.5, 1.0, 1.5]
+FIXED_COEFFICIENTS, FIXED_INTERCEPT = [1.0, -1.0, 0.5, -0.5], 0.1
+
+
+def q_svm_decision(spark, sf):
+    """M2 for fixed weights: scaling, Fourier map and the sign of the margin."""
+    pages = jobs.stored(feature_vectors(_pages(spark, sf), (SHALLOW_TEXT,)))
+    model = SVMModel(scaler_fit(training_examples(pages), 7),
+                     FourierMap(np.array(FIXED_MAP), np.array(FIXED_OFFSETS)),
+                     np.array(FIXED_COEFFICIENTS), FIXED_INTERCEPT)
+    return _long(svm_predict_blocks(pages, model), "pos", "prediction")
 
 
 def q_stream_extract(spark, sf):
     """Pages streamed from the pages table through segmentation, a batch-fitted
     naive-Bayes model and article assembly (availableNow trigger)."""
-    from pagesift.streaming.scoring import page_stream, run_to_table, score_pages_stream
+    from pagesift.streaming.scoring import page_stream, run_to_table, score_new_pages
     _, model = _nb(spark, sf)
-    path = run_to_table(score_pages_stream(page_stream(spark, sf, "pages.parquet"), model))
+    path = run_to_table(page_stream(spark, f"{sf}/pages.parquet"),
+                        lambda batch: score_new_pages(batch, model))
     return spark.read.parquet(path).select("page_id", "extracted", "fallback")
 
 
@@ -499,6 +563,20 @@ _REGISTRY = {
     "nb_indicative": q_nb_indicative,
     "nb_weighted_negative": q_nb_weighted_negative,
     "nb_report": q_nb_report,
+    "text_bags": _with_text(q_block_css),
+    "nb_text_vocab": _with_text(q_nb_vocab),
+    "nb_text_model": _with_text(q_nb_model),
+    "nb_text_sparseness": _with_text(q_nb_sparseness),
+    "nb_text_predict": _with_text(q_nb_predict),
+    "nb_text_oov": _with_text(q_nb_oov),
+    "nb_text_indicative": _with_text(q_nb_indicative),
+    "nb_text_weighted_negative": _with_text(q_nb_weighted_negative),
+    "nb_text_report": _with_text(q_nb_report),
+    "indicative_text_features": _with_text(q_indicative_features),
+    "svm_decision": q_svm_decision,
+    "block_folds": q_block_folds,
+    "block_cv_f1": q_block_cv_f1,
+    "resub_curve": q_resub_curve,
     "svm_score": q_svm_score,
     "holdout_eval": q_holdout_eval,
     "resub_eval": q_resub_eval,

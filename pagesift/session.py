@@ -4,6 +4,7 @@ shared checkpoint folder the cluster names in ``spark.checkpoint.dir``."""
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 
@@ -38,12 +39,20 @@ def get_spark(master: str | None = None, app: str = "pagesift",
     return spark
 
 
+_TUNED: set[str] = set()
+
+
 def tune(spark: SparkSession) -> None:
-    """Session settings the jobs rely on; only fills in what is unset."""
-    conf = spark.conf
-    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_BATCH_ROWS))
-    ensure_checkpoint_dir(spark)
+    """What the jobs rely on, once per application: bounded Arrow batches and
+    the package on the executors.  A batch size that the application was
+    started with is kept, and so is one set later."""
+    app = spark.sparkContext.applicationId
+    if app in _TUNED:
+        return
+    _TUNED.add(app)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.sparkContext.getConf().get(name) is None and spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(ARROW_BATCH_ROWS))
     ship_package(spark)
 
 
@@ -75,17 +84,19 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this is set by the deployment (a shared file system path).
-    Only when it is unset -- local tests -- a fresh scratch folder is created.
-    """
+    A cluster's deployment sets it (a path that all executors share); without
+    it a cluster job fails here rather than writing to one machine's disk.
+    Only a local master gets a scratch folder of its own."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     path = sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^-]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="pagesift-ckpt-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path

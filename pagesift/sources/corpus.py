@@ -39,8 +39,3 @@ def pages_without_gold(pages: DataFrame, documents: DataFrame) -> DataFrame:
     """S1 report: pages whose gold document is missing (left anti join)."""
     p = pages.select("page_id", "url", gold_key("url").alias("doc_id"))
     return p.join(documents.select("doc_id"), "doc_id", "left_anti")
-
-
-def load_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load_pairs(read_table(spark, sf_dir, "pages"),
-                      read_table(spark, sf_dir, "documents"))

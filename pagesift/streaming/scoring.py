@@ -1,15 +1,12 @@
 """Structured Streaming: score pages as they arrive.
 
-The batch operators are per-row (segmentation UDF, nested features, inlined
-model constants), so the same plan runs on a stream unchanged:
-
     readStream(pages) -> segment -> css bags -> NB decision -> article
 
-A naive-Bayes model fitted in batch is applied to every micro-batch; the
-model is a bounded constant (the vocabulary limit of ``nb_predict``).  The
-sink is a parquet table in the shared checkpoint folder; the query state
-(offsets, commits) lives next to it, so a restarted query resumes and a
-lost executor only re-runs its micro-batch.
+A naive-Bayes model fitted in batch is applied to every micro-batch by the
+batch operators themselves, so a stream and a table get the same articles.
+Each micro-batch is written to its own folder of the output table; a batch that
+is run again after a failure replaces its folder, so rows are neither lost nor
+doubled.  Table and query state lie in the shared checkpoint folder.
 """
 
 from __future__ import annotations
@@ -27,17 +24,21 @@ from pagesift.sources.corpus import gold_key
 from pagesift.functions.text import strip_xml_decl
 
 
-def page_stream(spark: SparkSession, directory: str, pattern: str = "*.parquet",
-                max_files: int = 1) -> DataFrame:
-    """Pages arriving as parquet files in ``directory`` whose names match
-    ``pattern`` (schema fixed, no inference)."""
-    schema = "page_id BIGINT, url STRING, html STRING"
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-            .option("pathGlobFilter", pattern).parquet(directory))
+def page_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """Pages arriving as parquet files in the table folder ``path``, or in the
+    one file of that name; the schema is fixed, nothing is inferred.  ``max_files`` bounds
+    the files of a micro-batch; unset, a micro-batch takes all that are new."""
+    reader = spark.readStream.schema("page_id BIGINT, url STRING, html STRING")
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    # as a pattern the path may be a folder or a file
+    folder, _, name = path.rpartition("/")
+    return reader.parquet(f"{folder}/{{{name}}}")
 
 
-def score_pages_stream(pages: DataFrame, model: nbm.NBModel) -> DataFrame:
-    """Streaming (or batch) pages -> ``page_id, doc_id, extracted, fallback``."""
+def score_new_pages(pages: DataFrame, model: nbm.NBModel) -> DataFrame:
+    """Pages of a micro-batch (or a table) -> ``page_id, doc_id, extracted,
+    fallback``; no labels are needed."""
     keyed = pages.select("page_id", gold_key("url").alias("doc_id"),
                          strip_xml_decl("html").alias("html"))
     scored = nbm.nb_predict(segment_blocks(keyed), model)
@@ -45,17 +46,17 @@ def score_pages_stream(pages: DataFrame, model: nbm.NBModel) -> DataFrame:
         "page_id", "doc_id", "extracted", "fallback")
 
 
-def run_to_table(df: DataFrame, name: str = "stream_articles") -> str:
-    """Run a streaming frame until its input is drained (``availableNow``)
-    into a parquet table under the checkpoint folder; returns the path."""
-    spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/") + f"/{name}-{uuid.uuid4().hex}"
-    query = (df.writeStream.format("parquet")
-             .option("path", f"{base}/data")
-             .option("checkpointLocation", f"{base}/state")
-             .outputMode("append")
-             .trigger(availableNow=True)
-             .start())
+def run_to_table(pages: DataFrame, score, name: str = "stream_articles") -> str:
+    """Run a stream of pages until its input is drained (``availableNow``),
+    ``score`` applied to each micro-batch, into a parquet table below the
+    checkpoint folder; returns its path.  The table has a column ``batch``."""
+    base = ensure_checkpoint_dir(pages.sparkSession).rstrip("/") + f"/{name}-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        score(batch).write.mode("overwrite").parquet(f"{base}/data/batch={number}")
+
+    query = (pages.writeStream.foreachBatch(write).trigger(availableNow=True)
+             .option("checkpointLocation", f"{base}/state").start())
     query.awaitTermination()
     return f"{base}/data"
 

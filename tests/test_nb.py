@@ -2,6 +2,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from pagesift.operators import nb
 from _helpers import pages_df
@@ -31,8 +32,8 @@ def test_predict(spark, fitted, path):
     _, model = fitted
     probe = pages_df(spark, [(2, [("x", {"content": 1}, 0), ("y", {"ad": 1}, 0),
                                   ("z", {}, 0), ("w", {"unseen": 3}, 0)], "", "")])
-    limit = 1024 if path == "nested" else 0
-    blocks = nb.nb_predict(probe, model, literal_limit=limit).first()["blocks"]
+    limit = nb.BROADCAST_BYTES if path == "nested" else 0
+    blocks = nb.nb_predict(probe, model, broadcast_bytes=limit).first()["blocks"]
     got = [(round(b["nb_pos"], 6), round(b["nb_neg"], 6), b["prediction"]) for b in blocks]
     assert got[0] == (-1.609438, -2.351375, 1)
     assert got[1] == (-2.70805, -0.965081, 0)
@@ -59,3 +60,49 @@ def test_oov(spark, fitted):
 def test_zero_prior_is_minus_infinity():
     assert nb._ln(0.0) == float("-inf")
     assert nb._ln(0.5) == math.log(0.5)
+
+
+def _many_tokens(spark, n=1500):
+    blocks = [(f"b{i}", {f"t{i}": 1 + i % 3, f"t{(i * 7) % n}": 2}, i % 2) for i in range(n)]
+    return pages_df(spark, [(1, blocks, "", ""), (1, blocks[:10], "", ""), (2, blocks[5:20], "", "")])
+
+
+def test_large_vocabulary_copies_and_missing_labels(spark):
+    """Scores are the same on both paths, for pages that share an id, and for
+    pages without labels."""
+    df = _many_tokens(spark)
+    model = nb.nb_fit(df)
+    assert model.n_tokens == 1500
+    bare = df.withColumn("blocks", F.transform("blocks", lambda b: b.dropFields("label")))
+
+    def scores(limit):
+        rows = nb.nb_predict(bare, model, broadcast_bytes=limit).collect()
+        return sorted((r["page_id"], len(r["blocks"]), [(round(b["nb_pos"], 9), round(b["nb_neg"], 9),
+                                                         b["prediction"]) for b in r["blocks"]])
+                      for r in rows)
+    near, joined = scores(nb.BROADCAST_BYTES), scores(0)
+    assert near == joined and [x[:2] for x in near] == [(1, 10), (1, 1500), (2, 15)]
+    assert nb.nb_oov(bare, model).count() == 0
+
+
+def test_fold_models_equal_separate_fits(spark):
+    df = _many_tokens(spark, 60).withColumn("fold", F.when(F.col("page_id") == 1, 0).otherwise(1))
+    for i, model in enumerate(nb.nb_fit_folds(df, 2)):
+        alone = nb.nb_fit(df.where(F.col("fold") != i).drop("fold"))
+        assert sorted(model.table.collect()) == sorted(alone.table.collect())
+        assert (model.prior, model.n_blocks, model.n_tokens, model.nnz) == (
+            alone.prior, alone.n_blocks, alone.n_tokens, alone.nnz)
+
+
+def test_stream_of_a_table_folder(spark, tmp_path):
+    from pagesift.streaming.scoring import page_stream, run_to_table, score_new_pages
+    words = [f"w{i}" for i in range(1500)]
+    df = pages_df(spark, [(1, [(w, {w: 1}, 1) for w in words] + [("x", {"ad": 1}, 0)] * 1500, "", "")])
+    model = nb.nb_fit(df)
+    rows = [(i, f"http://h/en/{i}", f"<body><p class='w{i}'>page {i} text</p><p class='ad'>ad</p></body>")
+            for i in range(9)]
+    path = str(tmp_path / "pages.parquet")
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).write.parquet(path)
+    out = run_to_table(page_stream(spark, path, max_files=1), lambda b: score_new_pages(b, model))
+    got = {r["page_id"]: r["extracted"] for r in spark.read.parquet(out).collect()}
+    assert got == {i: f"page {i} text" for i in range(9)}

@@ -88,3 +88,21 @@ def test_gold_spans():
             '<span class="x-nc-sel2 z">no</span>'
             '<span class="x-nc-sel2"><b>p</b><i>q</i></span></body></html>')
     assert read_gold_spans(html) == "a b c d"
+
+
+@pytest.mark.parametrize("html, blocks, body", [
+    ("<html><body><p>one</p></body><p>after the end</p></html>tail", ["one", "after the end", "tail"],
+     "oneafter the endtail"),
+    ("<head><title>t</title><div>main text of the page</div>", ["main text of the page"],
+     "main text of the page"),
+    ("bare text only", ["bare text only"], "bare text only"),
+    ("<title>t</title>bare text<p>b</p>", ["bare text", "b"], "bare textb"),
+    ("<body><p>a</p></body><body class='x'><p>b</p></body>", ["a", "b"], "ab"),
+    ("<html><head><meta charset='x'><style>p {}</style></head><p>no body tag</p></html>",
+     ["no body tag"], "no body tag"),
+    ("", [], ""),
+])
+def test_no_content_is_lost_around_head_and_body(html, blocks, body):
+    got, text = segment_page(html)
+    assert [t for t, _ in got] == blocks
+    assert text == body

@@ -51,3 +51,47 @@ def test_prefix_sum_and_index_agree(spark):
     a = {r["id"]: r["cum"] for r in with_prefix_sum(df, [F.col("id")], "w", "cum").collect()}
     b = {r["id"]: r["idx"] for r in with_global_index(df, [F.col("id")], "idx").collect()}
     assert all(a[k] == b[k] + 1 for k in a) and len(a) == 500
+
+
+@pytest.mark.parametrize("reuse", ["true", "false"])
+def test_index_of_wide_rows_is_a_permutation(spark, reuse):
+    spark.conf.set("spark.sql.exchange.reuse", reuse)
+    try:
+        df = spark.range(0, 60_000, 1, 11).select(
+            F.xxhash64("id").alias("k"), F.array_repeat(F.col("id"), 20).alias("wide"),
+            F.concat(F.lit("text "), F.col("id")).alias("text"))
+        first, second = (
+            {r["k"]: r["idx"] for r in
+             with_global_index(df, [F.col("k")], "idx", partitions=7).select("k", "idx").collect()}
+            for _ in range(2))
+        assert first == {k: i for i, k in enumerate(sorted(first))} and len(first) == 60_000
+        assert first == second
+        sums = with_prefix_sum(df.withColumn("w", F.lit(2)), [F.col("k")], "w", "cum", partitions=7)
+        assert {r["k"]: r["cum"] for r in sums.select("k", "cum").collect()} == {
+            k: 2 * (i + 1) for k, i in first.items()}
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+
+
+def test_splits_of_many_wide_rows(spark):
+    from pagesift.operators.split import holdout_split, kfold_assign, sample_docs, stratified_folds
+    n = 50_000
+    df = spark.range(0, n, 1, 9).select(
+        (F.col("id") * 7).alias("page_id"), F.array_repeat(F.col("id"), 10).alias("wide"),
+        (F.col("id") % 3 == 0).cast("int").alias("label"), F.lit(1).alias("pos"))
+    copies = df.unionByName(df.where("page_id % 2 = 0"))
+    split = holdout_split(copies, 0.7)
+    assert split.where("split = 'train'").select("page_id").distinct().count() == int(n * 0.7)
+    assert split.agg(F.max(F.when(F.col("split") == "train", F.col("page_id")))
+                     < F.min(F.when(F.col("split") == "test", F.col("page_id")))).first()[0]
+    sizes = {r["fold"]: r["n"] for r in kfold_assign(copies, 7).groupBy("fold").agg(
+        F.count_distinct("page_id").alias("n")).collect()}
+    assert sizes == {**{i: n // 7 for i in range(7)}, None: n % 7}
+    one, two = (sorted(r["page_id"] for r in sample_docs(df, 15_000).select("page_id").collect())
+                for _ in range(2))
+    assert one == two and len(one) == 15_000
+    folds = stratified_folds(df, 10).groupBy("label", "fold").count().collect()
+    for label in (0, 1):
+        part = [r["count"] for r in folds if r["label"] == label]
+        total = sum(part)
+        assert len(part) == 10 and set(part) <= {total // 10, -(-total // 10)}
