@@ -2,9 +2,9 @@
 
 A document's text is cut into leaves that begin at a word; a binary tree over
 the leaves holds the sums of their characters and tokens.  An edit finds its
-leaves by descending the tree, encodes again only the leaves it touches and
-those beside them that are no longer parted by white space, and updates the
-sums above.  The vocabulary joins nothing across white space, so the counts
+leaves by descending the tree; only the leaves it touches, and those beside them
+that are no longer parted by white space, are encoded again, and the sums above
+them are updated.  The vocabulary joins nothing across white space, so the counts
 equal those of encoding the whole text.
 
 ``build_counts`` makes the trees, ``apply_edits`` applies lists of edits to
@@ -14,19 +14,18 @@ them; both keep the state in columns, so it can be stored between the two.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesift.llm.common import SPACE_BYTES, pieces, read_table
-from pagesift.llm.tokens import default_vocabulary, encode_all, encoder
+from pagesift.llm.common import SPACE_BYTES, read_table
+from pagesift.llm.tokens import default_vocabulary, encode_all
 
 LEAF_CHARS = 256
 SPACES = "".join(map(chr, SPACE_BYTES))
 _START = re.compile(rf"(?<=[{SPACES}])[^{SPACES}]")
-Count = Callable[[list[str]], list[int]]
 
 
 def cut_leaves(text: str, size: int = LEAF_CHARS) -> list[str]:
@@ -43,27 +42,33 @@ def cut_leaves(text: str, size: int = LEAF_CHARS) -> list[str]:
 
 class CountTree:
     """Sums of characters and tokens over a document's leaves, as arrays of a
-    complete binary tree: node 1 is the root, the children of i are 2i, 2i+1."""
+    complete binary tree: node 1 is the root, the children of i are 2i, 2i+1.
+
+    ``edit`` changes texts and character sums and notes the leaves that it
+    touches; ``set_tokens`` takes the counts of those leaves, so a leaf that
+    several edits touch is encoded once."""
 
     def __init__(self, leaves: list[str], tokens: list[int]):
+        self.stale: set[int] = set()
+        self._grow(leaves, tokens)
+
+    def _grow(self, leaves: list[str], tokens: list[int]) -> None:
         self.leaves = list(leaves)
         self.width = 1 << (len(leaves) - 1).bit_length()
         pad = [0] * (self.width - len(leaves))
         self.chars = [0] * self.width + [len(x) for x in leaves] + pad
         self.tokens = [0] * self.width + list(tokens) + pad
-        for i in range(self.width - 1, 0, -1):
-            self._sum(i)
-        self.encoded = 0  # characters that were encoded for edits
+        for sums in (self.chars, self.tokens):
+            for i in range(self.width - 1, 0, -1):
+                sums[i] = sums[2 * i] + sums[2 * i + 1]
 
-    def _sum(self, i: int) -> None:
-        self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
-        self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
+    def leaf_tokens(self) -> list[int]:
+        return self.tokens[self.width:self.width + len(self.leaves)]
 
     def find(self, at: int) -> tuple[int, int]:
         """The leaf that holds character ``at``, and its place there; the end
         of the text is in the last leaf that is not empty."""
         i = 1
-        at = min(at, max(self.chars[1] - 1, 0)) if at < self.chars[1] else self.chars[1]
         while i < self.width:
             left = self.chars[2 * i]
             if at < left or at == left and not self.chars[2 * i + 1]:
@@ -72,57 +77,63 @@ class CountTree:
                 at, i = at - left, 2 * i + 1
         return min(i - self.width, len(self.leaves) - 1), at
 
-    def _set(self, leaf: int, text: str, tokens: int) -> None:
+    def _set(self, leaf: int, text: str) -> None:
         i = self.width + leaf
-        self.leaves[leaf], self.chars[i], self.tokens[i] = text, len(text), tokens
-        while i := i // 2:
-            self._sum(i)
-
-    def _parted(self, before: str, after: str) -> bool:
-        return not before or not after or before[-1] in SPACES or after[0] in SPACES
-
-    def edit(self, at: int, delete: int, insert: str, count: Count) -> None:
+        change = len(text) - self.chars[i]
+        self.leaves[leaf] = text
+        self.stale.add(leaf)
+        while i:
+            self.chars[i] += change
+            i //= 2
+
+    def edit(self, at: int, delete: int, insert: str) -> None:
         """Replace ``delete`` characters from ``at``; both are cut to the text."""
         at = max(0, min(at, self.chars[1]))
         delete = max(0, min(delete, self.chars[1] - at))
-        first, a = self.find(at)
-        last, b = self.find(at + delete) if delete else (first, a)
-        text = self.leaves[first][:a] + insert + self.leaves[last][b:]
+        lo, a = self.find(at)
+        hi, b = self.find(at + delete) if delete else (lo, a)
+        text = self.leaves[lo][:a] + insert + self.leaves[hi][b:]
         # Leaves beside the edit, as far as no white space parts them from it.
-        lo, hi = first, last
         while lo > 0 and not (text and text[0] in SPACES):
-            if self.leaves[lo - 1] and self._parted(self.leaves[lo - 1], text) and text:
-                break
-            lo -= 1
-            text = self.leaves[lo] + text
-            if text and (lo == 0 or text[0] in SPACES):
+            before = self.leaves[lo - 1]
+            if text and before and before[-1] in SPACES:
                 break
+            lo, text = lo - 1, before + text
         while hi < len(self.leaves) - 1:
             after = self.leaves[hi + 1]
-            if after and self._parted(text, after):
+            if after and (not text or text[-1] in SPACES or after[0] in SPACES):
                 break
-            hi += 1
-            text += after
+            hi, text = hi + 1, text + after
         parts = cut_leaves(text)
-        room = hi - lo + 1
-        if len(parts) > room:  # the last leaf takes what is left; a much longer text is cut anew
-            parts = parts[:room - 1] + ["".join(parts[room - 1:])]
-        self.encoded += len(text)
-        for leaf, (part, n) in enumerate(zip(parts, count(parts)), lo):
-            self._set(leaf, part, n)
-        for leaf in range(lo + len(parts), hi + 1):
-            self._set(leaf, "", 0)
+        if len(parts) > hi - lo + 1:  # the last leaf takes what is left
+            parts = parts[:hi - lo] + ["".join(parts[hi - lo:])]
+        for leaf in range(lo, hi + 1):
+            self._set(leaf, parts[leaf - lo] if leaf - lo < len(parts) else "")
         if len(parts[-1]) > 8 * LEAF_CHARS:
-            self._cut_anew(lo + len(parts) - 1, count)
-
-    def _cut_anew(self, leaf: int, count: Count) -> None:
-        parts = cut_leaves(self.leaves[leaf])
-        if len(parts) > 1:
-            encoded = self.encoded + len(self.leaves[leaf])
-            tokens = self.tokens[self.width:self.width + len(self.leaves)]
-            self.__init__(self.leaves[:leaf] + parts + self.leaves[leaf + 1:],
-                          tokens[:leaf] + count(parts) + tokens[leaf + 1:])
-            self.encoded = encoded
+            self._cut_anew(lo + len(parts) - 1)
+
+    def _cut_anew(self, leaf: int) -> None:
+        """Give a long leaf's parts leaves of their own."""
+        parts, tokens = cut_leaves(self.leaves[leaf]), self.leaf_tokens()
+        more = len(parts) - 1
+        self.stale = ({x if x < leaf else x + more for x in self.stale if x != leaf}
+                      | set(range(leaf, leaf + more + 1)))
+        self._grow(self.leaves[:leaf] + parts + self.leaves[leaf + 1:],
+                   tokens[:leaf] + [0] * len(parts) + tokens[leaf + 1:])
+
+    def stale_texts(self) -> list[str]:
+        """The leaves that have to be encoded again."""
+        return [self.leaves[x] for x in sorted(self.stale)]
+
+    def set_tokens(self, counts: list[int]) -> None:
+        """Take the counts of ``stale_texts`` and update the sums above them."""
+        for leaf, n in zip(sorted(self.stale), counts):
+            i = self.width + leaf
+            change = n - self.tokens[i]
+            while i:
+                self.tokens[i] += change
+                i //= 2
+        self.stale = set()
 
 
 STATE = "doc_id long, leaves array<string>, leaf_tokens array<long>, n_tokens long"
@@ -163,20 +174,23 @@ def apply_edits(state: DataFrame, path: str | None = None, edits: str = "edits")
     beyond the text as its end."""
     path = path or default_vocabulary()
 
-    def count(parts: list[str]) -> list[int]:
-        return [len(x) for x in encoder(path).encode([p.encode() for p in parts])]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for row in batch.to_pylist():
+            trees, todo, rows = [], [], batch.to_pylist()
+            for row in rows:
                 tree = CountTree(row["leaves"] or [""], row["leaf_tokens"] or [0])
-                todo = [e for e in row["_edits"] or [] if e is not None]
-                for e in todo:
-                    tree.edit(e["at"] or 0, e["n_delete"] or 0, e["insert"] or "", count)
-                n = len(tree.leaves)
-                rows.append((row["doc_id"], tree.leaves, tree.tokens[tree.width:tree.width + n],
-                             tree.tokens[1], row["n_tokens"], len(todo), tree.chars[1], tree.encoded))
+                todo.append([e for e in row["_edits"] or [] if e is not None])
+                for e in todo[-1]:
+                    tree.edit(e["at"] or 0, e["n_delete"] or 0, e["insert"] or "")
+                trees.append(tree)
+            stale = [tree.stale_texts() for tree in trees]
+            counts = iter([len(x) for x in encode_all(path, [x.encode() for part in stale for x in part])])
+            out = []
+            for row, tree, edits_, part in zip(rows, trees, todo, stale):
+                tree.set_tokens([next(counts) for _ in part])
+                out.append((row["doc_id"], tree.leaves, tree.leaf_tokens(), tree.tokens[1],
+                            row["n_tokens"], len(edits_), tree.chars[1], sum(map(len, part))))
+            rows = out
             columns = list(zip(*rows)) if rows else [()] * 8
             kinds = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())] + [pa.int64()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
