@@ -66,7 +66,7 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at = np.cumsum([0] + [len(t) + 1 for t in texts])
     docs = len(texts)
     if not len(buf):
-        buf = np.zeros(1, np.uint8)  # one empty text
+        buf = np.full(1, 0x20, np.uint8)  # one empty text
 
     def per_text(flags: np.ndarray) -> np.ndarray:
         total = np.r_[0, np.cumsum(flags)]
