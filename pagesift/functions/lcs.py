@@ -8,6 +8,8 @@ O(len(y) * len(x) / 64) word operations instead of the quadratic table.
 
 from __future__ import annotations
 
+import math
+
 
 def _match_masks(x):
     positions: dict = {}
@@ -16,29 +18,54 @@ def _match_masks(x):
     return {tok: sum(1 << i for i in idx) for tok, idx in positions.items()}
 
 
-def _columns(x, y, keep: bool):
-    full = (1 << len(x)) - 1
-    masks = _match_masks(x)
-    v = full
-    cols = [v] if keep else None
-    for tok in y:
-        m = masks.get(tok)
-        if m:
-            u = v & m
-            v = ((v + u) | (v - u)) & full
-        if keep:
-            cols.append(v)
-    return v, cols
+def _advance(v: int, mask: int, full: int) -> int:
+    """The column after one more token of ``y`` that ``mask`` places in ``x``."""
+    u = v & mask
+    return ((v + u) | (v - u)) & full
 
 
 def lcs_length(x, y) -> int:
     """Length of the longest common subsequence of sequences ``x`` and ``y``."""
     if len(x) == 0 or len(y) == 0:
         return 0
-    v, _ = _columns(x, y, keep=False)
+    full = v = (1 << len(x)) - 1
+    masks = _match_masks(x)
+    for tok in y:
+        if m := masks.get(tok):
+            v = _advance(v, m, full)
     return len(x) - v.bit_count()
 
 
+class _Columns:
+    """The column after each token of ``y``, from about sqrt(len(y)) stored
+    ones; the stretch of columns in use, and the one before, are recomputed
+    from the stored column they begin at."""
+
+    def __init__(self, x, y):
+        self.y, self.masks = y, _match_masks(x)
+        self.full = v = (1 << len(x)) - 1
+        self.step = math.isqrt(len(y)) + 1
+        self.stored = [v]
+        for j, tok in enumerate(y, 1):
+            if m := self.masks.get(tok):
+                v = _advance(v, m, self.full)
+            if j % self.step == 0:
+                self.stored.append(v)
+        self.stretches: dict[int, list[int]] = {}
+
+    def __getitem__(self, j: int) -> int:
+        k, at = divmod(j, self.step)
+        if k not in self.stretches:
+            v = self.stored[k]
+            cols = [v]
+            for tok in self.y[k * self.step:(k + 1) * self.step - 1]:
+                if m := self.masks.get(tok):
+                    v = _advance(v, m, self.full)
+                cols.append(v)
+            self.stretches = {i: c for i, c in self.stretches.items() if i == k + 1} | {k: cols}
+        return self.stretches[k][at]
+
+
 def lcs_flags(x, y) -> list[bool]:
     """Which positions of ``x`` belong to the LCS found by walking back from
     the end: a match is taken when the tokens agree, otherwise the walk
@@ -48,7 +75,7 @@ def lcs_flags(x, y) -> list[bool]:
     flags = [False] * m
     if m == 0 or n == 0:
         return flags
-    _, cols = _columns(x, y, keep=True)
+    cols = _Columns(x, y)
 
     def c(i, j):  # LCS length of x[:i] and y[:j]
         return i - (cols[j] & ((1 << i) - 1)).bit_count()

@@ -45,23 +45,14 @@ def _walk_pages(html: pa.Array) -> pa.Array:
                                       names=["raw_blocks", "body_text"])
 
 
-# Inputs estimated above this size are never reshuffled before the walk.
-SPREAD_MAX_BYTES = 1 << 30
-
-
 def spread_for_python(df: DataFrame) -> DataFrame:
-    """Round-robin a small batch input that has fewer partitions than the
-    cluster has cores, so the Python stage uses them all.  Only inputs the
-    optimizer estimates at most ``SPREAD_MAX_BYTES`` qualify: a large input
-    already scans as many splits (one per parquet row group), and
-    reshuffling raw HTML at scale would cost far more than it gains."""
+    """Deal out a batch input that fills less than half of the cores, so the
+    Python stage uses them all.  A large input has a split for every core
+    already and is never reshuffled before the walk."""
     if df.isStreaming:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size <= SPREAD_MAX_BYTES else df
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
 
 
 def segment_blocks(docs: DataFrame, html_col: str = "html", spread: bool = True) -> DataFrame:

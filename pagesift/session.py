@@ -13,6 +13,8 @@ from pyspark.sql import SparkSession
 # Arrow batches carry whole pages into the segmentation worker; a page can be
 # tens of KB, so batches are capped by rows to keep worker memory flat.
 ARROW_BATCH_ROWS = 256
+ARROW_BATCH_BYTES = 64 << 20
+ARROW_BYTES_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def get_spark(master: str | None = None, app: str = "pagesift",
@@ -53,6 +55,9 @@ def tune(spark: SparkSession) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.sparkContext.getConf().get(name) is None and spark.conf.get(name) == "10000":
         spark.conf.set(name, str(ARROW_BATCH_ROWS))
+    # a batch of long pages is cut by bytes as well
+    if spark.sparkContext.getConf().get(ARROW_BYTES_CONF) is None:
+        spark.conf.set(ARROW_BYTES_CONF, str(ARROW_BATCH_BYTES))
     ship_package(spark)
 
 

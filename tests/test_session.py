@@ -1,16 +1,33 @@
 """Session helpers and the pre-UDF spreading gate."""
+import pytest
+
 from pagesift import session
 from pagesift.operators import segment
 
 
-def test_spread_only_small_inputs(spark, sf_small, monkeypatch):
+def test_spread_only_inputs_of_few_splits(spark, sf_small):
     pages = spark.read.parquet(f"{sf_small}/pages.parquet")
     cores = spark.sparkContext.defaultParallelism
-    if pages.rdd.getNumPartitions() >= cores:
-        return
-    assert segment.spread_for_python(pages).rdd.getNumPartitions() == cores
-    monkeypatch.setattr(segment, "SPREAD_MAX_BYTES", 0)
-    assert segment.spread_for_python(pages).rdd.getNumPartitions() == pages.rdd.getNumPartitions()
+    assert segment.spread_for_python(pages.coalesce(1)).rdd.getNumPartitions() == cores
+    many = pages.repartition(cores)
+    assert segment.spread_for_python(many) is many
+
+
+def test_no_scratch_folder_off_a_local_master():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Session())
 
 
 def test_checkpoint_dir_and_shipping_are_idempotent(spark):
