@@ -3,16 +3,18 @@
 Two documents can only reach the threshold if, in one order of all shingles,
 the first ``n - ceil(t * n) + l`` shingles of both share at least ``l``.  The
 order puts rare shingles first: a bounded table holds the heaviest ones with
-their counts, all others come before them by hash.  Each document takes the
-``l`` of the least estimated cost, so a document whose prefix would meet long
-lists lengthens it and asks for as many more shared shingles; a pair needs the
-smaller ``l`` of the two.
-
-Equal sets count as one class.  Components are found in two rounds.  In the
-first every class is held against the leader it shares most prefix shingles
-with.  The second takes the shingles whose classes are still in different
-components, and holds all pairs between those against each other that share
-enough; so copies by the thousand cost a star, not all of their pairs.
+their counts, all others come before them by hash.  ``l`` begins at a twentieth
+of the set; a document whose prefix would still meet long lists, by those
+counts, lengthens it to its whole set and asks for as many more shared shingles.
+A pair needs the smaller ``l`` of the two.
+
+Equal sets count as one class.  Lists of few classes give all of their pairs.
+For long lists components grow in rounds: every class is held against leaders
+of the lists it is in, others each round, as long as that joins components; so
+copies by the thousand cost stars, not all of their pairs.  At last the long
+lists whose classes are still in different components are joined, but for the
+longest ones of each class, of which it can do without as many as it needs
+shared shingles less one, and all pairs that share enough are verified.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagesift.llm.bits import filter_bits, has_bits, set_bits, tester
@@ -30,11 +32,17 @@ from pagesift.llm.common import (U64, batch_words, components, join_skewed, mix,
 
 WIDTH = 5
 PERCENT = 75
-HEAVY_SHINGLES = 1 << 17   # of the order's table, which is broadcast (1.5 MB)
-MOST_EXTRA = 4             # greatest l
-CHECK_COST = 20            # of verifying a candidate, in units of reading a list entry
+HEAVY_SHINGLES = 1 << 19   # of the order's table, which is broadcast (8 MB)
+BASE_EXTRA = 20            # l is 1 and a shingle for each so many, or all that it can be
+SHORT_LIST = 8             # classes of a list that gives all of its pairs
+MOST_ROUNDS = 10           # of leaders, before the rest is joined
+LEADERS = 4                # of a list in a round, and that a class tries
+BLUR = 0.2                 # of the order of leaders, for other ones each round
+LEAST_YIELD = 0.02         # links of a round for each pair it tried, else it is the last
+RATIOS = (1.007, 1.02, 1.06, 1.15, 1.34)  # bands of two sizes' ratio; the last holds all that fit
 BLOCK_SHINGLES = 1 << 21   # that a task gathers before it passes them on
-ENTRY = np.dtype([("shingle", "<u4"), ("cls", "<i8"), ("size", "<u4"), ("extra", "u1")])
+# A shingle's 48 bits after those of its bucket, in two fields.
+ENTRY = np.dtype([("high", "<u4"), ("low", "<u2"), ("cls", "<i8"), ("size", "<u4"), ("extra", "<u4")])
 
 
 def bucket_bits(spark: SparkSession) -> int:
@@ -152,9 +160,10 @@ def prefix(shingles: np.ndarray, heavy: np.ndarray, counts: np.ndarray) -> tuple
     if weight.any():
         order = np.lexsort((shingles, weight))
         ordered, weight = shingles[order], weight[order]
-    extras = np.arange(1, min(MOST_EXTRA, least) + 1)
-    lists = np.cumsum(weight)[n - least + extras - 1]
-    extra = int(extras[np.argmin(lists + CHECK_COST * lists / extras)])
+    base = min(1 + n // BASE_EXTRA, least)
+    # The heaviest shingle is the prefix's last: if its list is long, the whole
+    # set is taken, as every shorter prefix would read such lists as well.
+    extra = least if n and weight[n - least + base - 1] > SHORT_LIST else base
     return ordered[:n - least + extra], extra
 
 
@@ -166,7 +175,8 @@ def _post(bits: int, seed: int, shared):
         sizes = [len(e[0]) for e in entries]
         order = np.argsort(shingles)
         out = np.empty(len(shingles), ENTRY)
-        out["shingle"] = (shingles[order] << U64(bits)) >> U64(32)
+        rest = shingles[order] << U64(bits)
+        out["high"], out["low"] = rest >> U64(32), (rest >> U64(16)) & U64(0xFFFF)
         for k, name in enumerate(("cls", "size", "extra"), 1):
             out[name] = np.repeat(np.array([e[k] for e in entries], ENTRY[name]), sizes)[order]
         cuts = list(_by_bucket(shingles[order], bits))
@@ -193,29 +203,51 @@ def _post(bits: int, seed: int, shared):
     return run
 
 
-MET = "shingle long, cls long, size long, extra int, lead long, lead_size long, lead_extra int"
+MET = ("shingle long, cls long, size long, extra long, "
+       "b_cls long, b_size long, b_extra long, shared long")
 
 
 def _lists(bits: int):
-    """Entries of the shingles that two classes or more have, each with the
-    leader of its list, the class of the smallest id."""
+    """Entries of the long lists, and the pairs of all short ones that two
+    classes or more have, with the number of lists they share."""
+    names = [f.split()[0] for f in MET.split(", ")]
+
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         e = np.concatenate([np.frombuffer(x.as_buffer(), ENTRY) for x in table["entries"]])
-        order = np.lexsort((e["cls"], e["shingle"]))
-        e = e[order]
-        new = np.r_[True, e["shingle"][1:] != e["shingle"][:-1]]
+        rest = (e["high"].astype(U64) << U64(16)) | e["low"]
+        order = np.lexsort((e["cls"], rest))
+        e, rest = e[order], rest[order]
+        new = np.r_[True, rest[1:] != rest[:-1]]
         other = new | np.r_[True, e["cls"][1:] != e["cls"][:-1]]
-        e, new = e[other], new[other]
+        e, new, rest = e[other], new[other], rest[other]
         first = np.flatnonzero(new)
         size = np.diff(np.r_[first, len(e)])
-        keep = np.repeat(size > 1, size)
-        lead = np.repeat(first, size)[keep]
-        mine = e[keep]
-        shingle = (int(key[0].as_py()) << 32) + mine["shingle"].astype(np.int64)
-        return pa.table({"shingle": shingle, "cls": mine["cls"],
-                         "size": mine["size"].astype(np.int64), "extra": mine["extra"].astype(np.int32),
-                         "lead": e["cls"][lead], "lead_size": e["size"][lead].astype(np.int64),
-                         "lead_extra": e["extra"][lead].astype(np.int32)})
+        here = np.repeat(size, size)
+        long = e[here > SHORT_LIST]
+        shingle = mix(rest[here > SHORT_LIST] ^ mix(np.array([key[0].as_py()], U64))).view(np.int64)
+        x, y = [], []
+        for n in range(2, SHORT_LIST + 1):
+            at = first[size == n]
+            for i in range(n):
+                for j in range(i + 1, n):
+                    x.append(at + i)
+                    y.append(at + j)
+        x, y = e[np.concatenate(x)], e[np.concatenate(y)]
+        fit = 100 * np.minimum(x["size"], y["size"]).astype(np.int64) >= \
+            PERCENT * np.maximum(x["size"], y["size"]).astype(np.int64)
+        x, y = x[fit], y[fit]
+        order = np.lexsort((y["cls"], x["cls"]))
+        x, y = x[order], y[order]
+        start = np.flatnonzero(np.r_[True, (x["cls"][1:] != x["cls"][:-1]) | (y["cls"][1:] != y["cls"][:-1])]
+                               [:len(x)])
+        shared = np.diff(np.r_[start, len(x)])
+        x, y = x[start], y[start]
+        none = [None] * len(long)
+        fields = ("cls", "size", "extra")
+        columns = ([shingle.tolist() + [None] * len(x)]
+                   + [np.concatenate([long[f], x[f]]).astype(np.int64) for f in fields]
+                   + [none + y[f].astype(np.int64).tolist() for f in fields] + [none + shared.tolist()])
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names)
     return run
 
 
@@ -256,8 +288,158 @@ def _fits(a: str, b: str):
     return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
 
 
+def _need(other: str):
+    """Prefix shingles that two documents must share.  Of the two prefixes the
+    one that ends first misses no shared shingle up to its end, so what it
+    leaves out bounds the rest of the overlap."""
+    size, extra = F.col("size"), F.col("extra")
+    size2, extra2 = F.col(f"{other}size"), F.col(f"{other}extra")
+    overlap = F.ceil((size + size2) * PERCENT / F.lit(100 + PERCENT))
+    left = [F.ceil(n * PERCENT / F.lit(100)) - x for n, x in ((size, extra), (size2, extra2))]
+    return F.greatest(F.least(extra, extra2), overlap - F.greatest(*left))
+
+
+def _sets(texts: DataFrame, wanted: DataFrame, classes: DataFrame, seed: int) -> DataFrame:
+    """(cls, shingles) of the classes ``wanted``.  Their first documents are
+    found by a Bloom filter of ids; only those sets are shuffled."""
+    wanted = stash(wanted.join(classes, "cls").select("cls", F.coalesce("first", F.lit(0)).alias("first")),
+                   "wanted")
+    chosen = texts.sparkSession.sparkContext.broadcast(
+        set_bits(wanted.select("first"), filter_bits(wanted.count())))
+    return stash(texts.mapInArrow(_chosen_sets(seed, chosen), "cls long, shingles binary")
+                 .join(wanted.select("cls"), "cls", "left_semi")
+                 .groupBy("cls").agg(F.first("shingles").alias("shingles")), "sets")
+
+
+def _least_shared() -> Column:
+    """The smallest ``l`` of any document that is large enough to be linked."""
+    return F.floor(F.ceil(F.col("size") * PERCENT / F.lit(100)) / BASE_EXTRA) + 1
+
+
+def _in_play(met: DataFrame) -> DataFrame:
+    """Entries of classes that are in as many lists as they need, in lists that
+    have two of them."""
+    enough = (met.groupBy("cls").agg(F.count("*").alias("n"), F.max(_least_shared()).alias("least"))
+              .where("n >= least").select("cls"))
+    met = stash(met.join(enough, "cls", "left_semi"), "enough")
+    pairs = met.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle")
+    return stash(met.join(pairs, "shingle", "left_semi"), "played")
+
+
+def _split(told: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Entries (with label) of the lists with two labels or more."""
+    if labels is not None:
+        told = told.join(labels.select(F.col("node").alias("cls"), F.col("label").alias("_new")), "cls", "left")
+        told = told.withColumn("label", F.coalesce("_new", "label")).drop("_new")
+    told = stash(told, "told")
+    mixed = (told.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+             .where("low <> high").select("shingle"))
+    return stash(told.join(mixed, "shingle", "left_semi"), "split")
+
+
+def _close_pairs(met: DataFrame, lists: DataFrame) -> DataFrame:
+    """Pairs (a, b) that share a short list, and could share enough with the
+    long lists that both are in."""
+    pairs = (met.where("shingle is null")
+             .groupBy("cls", "b_cls").agg(F.sum("shared").alias("shared"), F.max(_need("b_")).alias("need")))
+    x = lists.select(F.col("cls"), F.col("lists").alias("x"))
+    y = lists.select(F.col("cls").alias("b_cls"), F.col("lists").alias("y"))
+    more = F.least(F.coalesce("x", F.lit(0)), F.coalesce("y", F.lit(0)))
+    return stash(pairs.join(x, "cls", "left").join(y, "b_cls", "left")
+                 .where(F.col("shared") + more >= F.col("need"))
+                 .select(F.least("cls", "b_cls").alias("a"), F.greatest("cls", "b_cls").alias("b")), "close")
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Those of ``pairs`` that are in different components."""
+    x = labels.select(F.col("node").alias("a"), F.col("label").alias("x"))
+    y = labels.select(F.col("node").alias("b"), F.col("label").alias("y"))
+    return (pairs.join(x, "a", "left").join(y, "b", "left")
+            .where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b"))
+
+
+def _stars(told: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of classes and leaders of other components.  The leaders
+    of a list are in its most frequent component, so small components try to
+    join large ones.  They are the classes with the largest part of their
+    prefix in lists, blurred by a hash of the turn: an original comes before
+    its altered copies, which have shingles of their own."""
+    part = (told.groupBy("cls").agg(F.count("*").alias("n"), F.max("size").alias("s"), F.max("extra").alias("e"))
+            .select("cls", (F.col("n") / (F.col("s") - F.ceil(F.col("s") * PERCENT / F.lit(100)) + F.col("e")))
+                    .alias("part")))
+    told = told.join(part, "cls")
+    me = F.struct(F.col("cls").alias("lead"), F.col("size").alias("lead_size"), F.col("extra").alias("lead_extra"))
+    keys = [F.col("part") * (1 - BLUR * F.pmod(F.xxhash64("cls", F.lit(turn * LEADERS + i)), F.lit(1024)) / 1024)
+            for i in range(LEADERS)]
+    best = F.array(*[F.max(F.struct(k.alias("k"), me.alias("me"))) for k in keys])
+    by_label = told.groupBy("shingle", "label").agg(F.count("*").alias("n"), best.alias("best"))
+    lead = F.array(*[F.max(F.struct("n", F.col("best")[i]["k"].alias("k"), F.struct(
+        F.col("label").alias("lead_label"), F.col("best")[i]["me"].alias("me")).alias("l")))["l"]
+        for i in range(LEADERS)])
+    leads = (by_label.groupBy("shingle").agg(lead.alias("leads"))
+             .select("shingle", F.explode(F.array_distinct("leads")).alias("l"))
+             .select("shingle", "l.lead_label", "l.me.*"))
+    fit = (told.join(leads, "shingle").where("label <> lead_label").where(_fits("size", "lead_size"))
+           .groupBy("cls", "lead").agg(F.count("*").alias("shared"), F.max(_need("lead_")).alias("need"))
+           .where("2 * shared >= need"))
+    most = Window.partitionBy("cls").orderBy(F.desc("shared"), "lead")
+    return (fit.withColumn("rank", F.row_number().over(most)).where(F.col("rank") <= LEADERS)
+            .select(F.col("cls").alias("a"), F.col("lead").alias("b")))
+
+
+def _need_floor(ratio: float, whole: bool) -> Column:
+    """No partner whose size is within ``ratio`` can do with fewer shared
+    prefix shingles: the bound is smallest at the ends of that range.  If both
+    prefixes are ``whole`` sets, they share the overlap itself."""
+    size, extra = F.col("size"), F.col("extra")
+    ends = []
+    for other in (F.ceil(size / ratio), F.floor(size * ratio)):
+        overlap = F.ceil((size + other) * PERCENT / F.lit(100 + PERCENT))
+        base = F.floor(other / BASE_EXTRA) + 1
+        left = [F.ceil(n * PERCENT / F.lit(100)) - x for n, x in ((size, extra), (other, base))]
+        # one less for what rounding may take between the ends; the overlap
+        # itself only grows with the size
+        ends.append(overlap if whole else F.greatest(F.least(extra, base), overlap - F.greatest(*left)) - 1)
+    return F.greatest(F.least(*ends), _least_shared())
+
+
+def _pairs(told: DataFrame) -> DataFrame:
+    """All pairs (a, b) of classes of different components that may be linked.
+
+    Lists are ordered by the pairs of different components in them; two classes
+    that share ``m`` of them share one that is not among the last ``m - 1`` of either, and no more than those are
+    missing from their count.  ``m`` is larger the nearer the two sizes are, so
+    pairs are joined band by band of their ratio, and apart for two prefixes
+    that are whole sets."""
+    length = (told.groupBy("shingle", "label").agg(F.count("*").alias("n")).groupBy("shingle")
+              .agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("n")))
+    last = Window.partitionBy("cls").orderBy(F.desc("n"), "shingle")
+    told = told.join(length, "shingle").withColumn("rank", F.row_number().over(last)).withColumn(
+        "whole", F.col("extra") >= F.ceil(F.col("size") * PERCENT / F.lit(100)))
+    told = stash(told, "ranked")
+    bands, low = [], 0.0
+    for ratio in RATIOS:
+        for whole in (True, False):
+            kept = told.withColumn("least", _need_floor(ratio, whole)).where("rank >= least").select(
+                "shingle", "cls", "size", "extra", "label", "whole", "least")
+            x = kept.where("whole" if whole else "not whole")
+            y = (x if whole else kept).select(
+                "shingle", *[F.col(c).alias(f"b_{c}") for c in kept.columns[1:]])
+            once = "cls < b_cls" if whole else "cls < b_cls or b_whole"
+            wide = F.greatest("size", "b_size") / F.least("size", "b_size")
+            bands.append(
+                x.join(y, "shingle").where("label <> b_label").where(once)
+                .where((wide > low) & (wide <= ratio)).where(_fits("size", "b_size"))
+                .groupBy(F.least("cls", "b_cls").alias("a"), F.greatest("cls", "b_cls").alias("b"))
+                .agg(F.count("*").alias("shared"),
+                     F.max(_need("b_") - F.greatest("least", "b_least") + 1).alias("need"))
+                .where("shared >= need").select("a", "b"))
+        low = ratio
+    return _union(bands)
+
+
 def near_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"):
-    """(documents with their classes, verified links between classes).
+    """(documents with their classes, classes, verified links between classes).
 
     The links join the classes of each component; not every link of a
     component is among them."""
@@ -277,39 +459,39 @@ def near_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"):
     order = spark.sparkContext.broadcast(heavy_shingles(seen, bits))
     met = stash(texts.select("text").mapInArrow(_post(bits, seed, order), "bucket int, entries binary")
                 .groupBy("bucket").applyInArrow(_lists(bits), MET), "met")
-
-    wanted = stash(met.select("cls").distinct().join(classes, "cls").select("cls", "first"), "wanted")
-    chosen = set_bits(wanted.select(F.coalesce("first", F.lit(0))), filter_bits(wanted.count()))
-    chosen = spark.sparkContext.broadcast(chosen)
-    sets = stash(texts.mapInArrow(_chosen_sets(seed, chosen), "cls long, shingles binary")
-                 .join(wanted.select("cls"), "cls", "left_semi")
-                 .groupBy("cls").agg(F.first("shingles").alias("shingles")), "sets")
-
-    by_lead = (met.where("cls <> lead").where(_fits("size", "lead_size"))
-               .groupBy("cls", "lead").agg(F.count("*").alias("shared"),
-                                           F.least(F.max("extra"), F.max("lead_extra")).alias("need"))
-               .where("shared >= need"))
-    stars = stash(by_lead.groupBy("cls").agg(F.max(F.struct("shared", "lead")).alias("best"))
-                  .select(F.col("cls").alias("a"), F.col("best.lead").alias("b")), "stars")
-    links = stash(_links(stars, sets), "links")
-
-    labels = components(links)
-    told = stash(met.join(labels, met.cls == labels.node, "left")
-                 .select("shingle", "cls", "size", "extra",
-                         F.coalesce("label", "cls").alias("label")), "told")
-    split = (told.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-             .where("low <> high").select("shingle"))
-    told = stash(told.join(split, "shingle"), "split")
-    other = told.select("shingle", *[F.col(c).alias(f"b_{c}") for c in ("cls", "size", "extra", "label")])
-    pairs = (told.join(other, "shingle")
-             .where("cls < b_cls and label <> b_label").where(_fits("size", "b_size"))
-             .groupBy(F.col("cls").alias("a"), F.col("b_cls").alias("b"))
-             .agg(F.count("*").alias("shared"), F.least(F.max("extra"), F.max("b_extra")).alias("need"))
-             .where("shared >= need").select("a", "b"))
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = stash(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(stash(_links(pairs, sets), "more"))
-    return members, classes, links
+    entries = met.where("shingle is not null").select("shingle", "cls", "size", "extra")
+    lists = stash(entries.groupBy("cls").agg(F.count("*").alias("lists")), "lists")
+    close = _close_pairs(met, lists)
+    told = _in_play(entries).withColumn("label", F.col("cls"))
+    wanted = told.select("cls").union(close.select("a")).union(close.select("b")).distinct()
+    sets = _sets(texts, wanted, classes, seed)
+
+    tried, links, labels = [], [], None
+    for turn in range(MOST_ROUNDS):
+        told = _split(told, labels)
+        stars = _stars(told, turn).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        if tried:
+            stars = stars.join(_union(tried), ["a", "b"], "left_anti")
+        stars = stash(stars.distinct(), "stars")
+        tried.append(stars)
+        links.append(stash(_links(stars, sets), "links"))
+        labels = components(_union(links))
+        if links[-1].count() <= LEAST_YIELD * stars.count():
+            break
+    tried = _union(tried)
+    links.append(stash(_links(_apart(close, labels).join(tried, ["a", "b"], "left_anti"), sets), "links"))
+    told = _split(told, components(_union(links)))
+    tried = tried.unionByName(close.select("a", "b"))
+    pairs = stash(_pairs(told).join(tried, ["a", "b"], "left_anti"), "pairs")
+    links.append(stash(_links(pairs, sets), "links"))
+    return members, classes, _union(links)
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
 
 
 def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
