@@ -53,7 +53,14 @@ class Mention(NamedTuple):
 
 _EMAIL = re.compile(r"[A-Za-z0-9À-ÿ._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 _NUMBER = re.compile(r"\+?\(?\d(?:[ ().-]{0,2}\d){6,}")
-_LOCAL = re.compile(r"\(?\d{3}\)?[ .-]?\d{3}[ .-]\d{4}")
+# Bounded patterns inside of a run of numbers; each ends where a group of digits does.
+_CARD = re.compile(r"(?<!\d)(?:\d{13,19}|\d{4}([ .-]{1,2})\d{4}\1\d{4}\1\d{4}(\1\d{3})?"
+                   r"|\d{4}([ .-]{1,2})\d{6}\3\d{4,5})(?!\d)")
+_FOURS = re.compile(r"\d{4}(?:[ .-]{1,2}\d{4})*(?!\d)")
+_LOCAL = re.compile(r"(?<!\d)\(?\d{3}\)?[ .-]?\d{3}[ .-]\d{4}(?!\d)")
+# Countries whose numbers have one length.
+_COUNTRY = re.compile(r"\+\(?(?:[17](?:[ ().-]{0,2}\d){10}|3[34](?:[ ().-]{0,2}\d){9}"
+                      r"|(?:44|91)(?:[ ().-]{0,2}\d){10}|86(?:[ ().-]{0,2}\d){11})(?!\d)")
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _IP = re.compile(rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)")
 _SECRET = re.compile(r"(?<=[\"'])[A-Za-z0-9+/_-]{32,}(?=[\"'])")
@@ -113,6 +120,95 @@ def luhn(digits: str) -> int:
     return -total % 10
 
 
+def _digits(text: str) -> str:
+    return "".join(c for c in text if c.isdigit())
+
+
+def _numbers(text: str, taken: list[tuple[int, int]]) -> Iterator[Mention]:
+    """Cards and phones in the runs of numbers outside of ``taken`` (ascending)."""
+    first = 0
+    for run in _NUMBER.finditer(text):
+        at = run.start()
+        while first < len(taken) and taken[first][1] <= at:
+            first += 1
+        k = first
+        while k < len(taken) and taken[k][0] < run.end():
+            if text[taken[k][0] - 1:taken[k][0]] != "+":  # a phone with dots is no address
+                yield from _cut(text, at, taken[k][0])
+                at = max(at, taken[k][1])
+            k += 1
+        yield from _cut(text, at, run.end())
+
+
+def _cut(text: str, at: int, end: int) -> Iterator[Mention]:
+    """The entities of one run: what has a bounded pattern, and each part
+    between such that is a number by its count of digits."""
+    rest = at
+    while at < end:
+        if text[at] == "+":
+            stop = _phone_end(text, at, end)
+            if stop:
+                yield from _whole(text, rest, at)
+                yield Mention(at, stop, PHONE, _digits(text[at:stop]))
+                at = rest = stop
+                continue
+        elif text[at] == "(" or text[at].isdigit() and not text[at - 1:at].isdigit():
+            m = _CARD.match(text, at, end)
+            if m and m[1] and not _valid(_digits(m[0])[:16]) and not _valid(_digits(m[0])):
+                later = _CARD.match(text, m.end(1), end)  # a number of four digits before a card?
+                if later and later[1] and _valid(_digits(later[0])[:16]) and _FOURS.match(text, at, end)[0].count(
+                        m[1]) % 4 != 3:
+                    at = m.end(1)
+                    continue
+            kind, m = (CARD, m) if m else (PHONE, _LOCAL.match(text, at, end))
+            if m:
+                stop = m.end()
+                if kind == CARD and m[2] and _valid(_digits(m[0])[:16]) and not _valid(_digits(m[0])):
+                    stop = m.start(2)  # a number of three digits after a card of 16
+                yield from _whole(text, rest, at)
+                yield Mention(at, stop, kind, _digits(text[at:stop]))
+                at = rest = stop
+                continue
+        at += 1
+    yield from _whole(text, rest, end)
+
+
+def _phone_end(text: str, at: int, end: int) -> int:
+    """Where the phone that begins with the + at ``at`` ends; 0 if none does.
+    The longest one after which the run ends or another entity begins, else
+    the longest."""
+    if m := _COUNTRY.match(text, at, end):
+        return m.end()
+    ends, count, i = [], 0, at + 1
+    while i < end and count <= 15:
+        count += text[i].isdigit()
+        i += 1
+        if text[i - 1].isdigit() and (i == end or not text[i].isdigit()) and 8 <= count <= 15:
+            ends.append(i)
+    for stop in reversed(ends):
+        after = stop
+        while after < end and text[after] in " .-)":
+            after += 1
+        if after == end or _CARD.match(text, after, end) or _LOCAL.match(text, after, end):
+            return stop
+    return ends[-1] if ends else 0
+
+
+def _valid(digits: str) -> bool:
+    return luhn(digits[:-1]) == int(digits[-1])
+
+
+def _whole(text: str, start: int, end: int) -> Iterator[Mention]:
+    """A part of a run that is a card in groups of any size."""
+    while start < end and not (text[start].isdigit() or text[start] in "+("):
+        start += 1
+    while start < end and not text[end - 1].isdigit():
+        end -= 1
+    digits = _digits(text[start:end])
+    if 13 <= len(digits) <= 19:
+        yield Mention(start, end, CARD, digits)
+
+
 def detect(text: str) -> list[Mention]:
     """The entities of a text, in order; none over another."""
     found: list[Mention] = []
@@ -122,14 +218,7 @@ def detect(text: str) -> list[Mention]:
         found += [Mention(m.start(), m.end(), SECRET, m[0]) for m in _SECRET.finditer(text)
                   if any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])]
     found += [Mention(m.start(), m.end(), IP, m[0]) for m in _IP.finditer(text)]
-    for m in _NUMBER.finditer(text):
-        digits = "".join(c for c in m[0] if c.isdigit())
-        if m[0][0] == "+" and 8 <= len(digits) <= 15:
-            found.append(Mention(m.start(), m.end(), PHONE, digits))
-        elif 13 <= len(digits) <= 19:
-            found.append(Mention(m.start(), m.end(), CARD, digits))
-        elif _LOCAL.fullmatch(m[0]):
-            found.append(Mention(m.start(), m.end(), PHONE, digits))
+    found += _numbers(text, sorted((m.start, m.end) for m in found))
     found += _names(text)
     rank = {k: i for i, k in enumerate((EMAIL, SECRET, IP, CARD, PHONE, GIVEN_NAME, SURNAME))}
     out: list[Mention] = []

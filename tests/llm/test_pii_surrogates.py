@@ -106,3 +106,33 @@ def test_whole_table_by_brute_force(spark, sf_small):
             assert x.kind == y.kind and seen.setdefault((x.kind, x.value), y.value) == y.value
             assert (y.kind, y.value) not in real
     assert len({(k, s) for (k, _), s in seen.items()}) == len(seen) > 5
+
+
+CARDS = ["7536784127813050", "5500 0055 5555 5559", "4111-1111-1111-1111", "378282246310005", "3782 822463 10005",
+         "41 11 11 11 11 11 11 11"]
+PHONES = ["+1 (826) 555-4081", "+18265554081", "(555) 123-4567", "555-123-4567", "+7 495 123-45-67",
+          "+44 20 7946 0958"]
+
+
+def test_entities_side_by_side():
+    found = lambda text: [(m.kind, text[m.start:m.end]) for m in P.detect(text)]
+    planted = [("card", c) for c in CARDS[:-1]] + [("phone", p) for p in PHONES]
+    planted += [("ip", "190.137.223.204")]
+    for (a, x), (b, y) in itertools.product(planted, planted):
+        assert found(f"see {x} {y} there") == [(a, x), (b, y)], (x, y)
+        assert found(f"{x}  {y} {x}") == [(a, x), (b, y), (a, x)], (x, y)
+    for kind, x in planted:
+        for n in ("12", "2024"):
+            assert found(f"{x} {n}") == [(kind, x)] and found(f"no {n} {x} {n}") == [(kind, x)], (x, n)
+    for x in CARDS + PHONES:
+        assert [t for _, t in found(f"a {x}, b")] == [x]
+    assert found("4111 1111 1111 1111 123") == [("card", "4111 1111 1111 1111")]
+    assert found("+49 30 1234567 555-123-4567") == [("phone", "+49 30 1234567"), ("phone", "555-123-4567")]
+    assert found("12 34 56, 2024-01-15 12.30 and 1.2.3.4.5.6.7") == []
+
+
+def test_adjacent_entities_of_the_given_tables(docs_of):
+    text = "7536784127813050 4845168114407329 +1 (826) 555-4081 190.137.223.204"
+    row, = P.replace_pii(docs_of([(1, text)]), KEY).collect()
+    assert row["n_entities"] == 4
+    assert all(x not in row["text"] for x in ("7536784127813050", "4845168114407329", "555-4081", "190.137"))
