@@ -4,19 +4,24 @@ Each source's documents, in a hashed order, are cut into blocks of equal size.
 Block j of a source with weight w is released at slot floor(j / w) and due at
 slot ceil((j + 1) / w); of the released blocks the one with the earliest
 deadline gets the next slot, which keeps every source within one block of its
-share at all times.  Weights are whole parts of ``PERIOD``, so the schedule
-repeats and one period of it gives the slot of any block in closed form.  When
-a source has no block left, the weights of the others are scaled up and a new
-phase begins; no document is dropped or repeated.
+share at all times.  When a source has no block left, the weights of the others
+are scaled up; no document is dropped or repeated.
 
-Only sums for each source and the schedule, both of bounded size, pass through
-the driver; blocks are found by prefix sums over hash buckets of each source.
+``exact_slots`` does so for the given weights over the whole input;
+``schedule`` is the form that repeats, for weights that are whole parts of a
+period.
+
+Sums for each source and the slots of at most about ``MOST_BLOCKS`` blocks pass
+through the driver; blocks are found by prefix sums over hash buckets of each
+source.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+import math
+from collections.abc import Mapping, Sequence
+from fractions import Fraction
 from typing import NamedTuple
 
 import numpy as np
@@ -29,6 +34,7 @@ from pagesift.llm.common import read_table, shuffle_partitions, stash
 PERIOD = 4096         # slots; weights are parts of it
 MOST_STREAMS = 256    # the largest sources have a stream each, all others share the last
 BLOCK_SIZE = 1 << 16  # code points
+MOST_BLOCKS = 1 << 20  # of the default size; beyond (64 G code points) blocks get larger
 TEMPERATURE = 0.5     # of default weights: shares go as size ** TEMPERATURE
 
 
@@ -88,23 +94,69 @@ def schedule(blocks: Mapping[int, int], weights: Mapping[int, float],
     return phases
 
 
-def _slots(spark: SparkSession, phases: list[Phase], streams: int):
-    shared = spark.sparkContext.broadcast(phases)
+def exact_slots(blocks: Sequence[int], weights: Sequence[float]) -> list[np.ndarray]:
+    """The slots of each stream's blocks, within less than one block of the
+    streams' shares at all times.
+
+    Shares are those of the given weights, as exact fractions, among the
+    streams that are not used up: at time v of a clock that runs by weight,
+    stream s has min(v * w_s, blocks_s) and all have T(v) together.  Block j is
+    released at slot floor(T(j / w)) and due at slot ceil(T((j + 1) / w)), so
+    windows carry over where a stream ends; of the released blocks the one
+    with the earliest deadline gets the next slot.  In whole numbers but for
+    the search of the streams ended before a block."""
+    live = [s for s, n in enumerate(blocks) if n]
+    exact = {s: Fraction(weights[s]) for s in live}
+    unit = math.lcm(*(w.denominator for w in exact.values()))
+    whole = {s: int(w * unit) for s, w in exact.items()}
+    ends = sorted(live, key=lambda s: Fraction(blocks[s], whole[s]))
+    at = np.array([blocks[s] / float(whole[s]) for s in ends])
+    gone, rate = [0], [sum(whole.values())]  # blocks and weight of the streams ended, and left
+    for s in ends:
+        gone.append(gone[-1] + blocks[s])
+        rate.append(rate[-1] - whole[s])
+
+    total = gone[-1]
+    release, due, stream = (np.empty(total, np.int64) for _ in range(3))
+    first, start = {}, 0
+    for s in live:
+        n, w = blocks[s], whole[s]
+        first[s] = start
+        # A clock time where a stream ends lies on both sides alike.
+        k = np.searchsorted(at, np.arange(n + 1) / float(w), "left").clip(0, len(ends) - 1).tolist()
+        span = slice(start, start + n)
+        release[span] = [gone[k[j]] + j * rate[k[j]] // w for j in range(n)]
+        due[span] = [gone[k[j]] - (-j * rate[k[j]] // w) for j in range(1, n + 1)]
+        stream[span] = s
+        start += n
+
+    order = np.argsort(release, kind="stable")
+    bounds = np.searchsorted(release[order], np.arange(total), "right").tolist()
+    slots, ready, freed = np.empty(total, np.int64), [], 0
+    for slot in range(total):
+        bound = bounds[slot] if bounds[slot] > freed else freed + (not ready)
+        if bound > freed:
+            for i in order[freed:bound].tolist():
+                heapq.heappush(ready, (int(due[i]), i))
+            freed = bound
+        slots[heapq.heappop(ready)[1]] = slot
+    none = np.empty(0, np.int64)
+    return [slots[first[s]:first[s] + n] if n else none for s, n in enumerate(blocks)]
+
+
+def _slots(spark: SparkSession, slots: list[np.ndarray]):
+    first = np.cumsum([0] + [len(x) for x in slots])
+    shared = spark.sparkContext.broadcast((first, np.concatenate(slots)))
 
     @F.arrow_udf("long")
     def slot(stream: pa.Array, block: pa.Array) -> pa.Array:
-        stream, block = stream.to_numpy(zero_copy_only=False), block.to_numpy(zero_copy_only=False)
-        out = np.zeros(len(block), np.int64)
-        for phase in shared.value:
-            for s, places in phase.places.items():
-                mine = (stream == s) & (block >= phase.used[s])
-                out[mine] = phase.start + slot_of(places, block[mine] - phase.used[s])
-        return pa.array(out)
+        first, slots = shared.value
+        return pa.array(slots[first[stream.to_numpy(zero_copy_only=False)] + block.to_numpy(zero_copy_only=False)])
     return slot
 
 
 def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, source: str = "source",
-                doc_id: str = "doc_id", size=None, block_size: int = BLOCK_SIZE) -> DataFrame:
+                doc_id: str = "doc_id", size=None, block_size: int | None = None) -> DataFrame:
     """``docs`` with one more column ``mix``: a struct of stream, block (in
     the stream), slot (of the block in the mixture) and before (size of the
     stream before the row).  Sorting by (mix.slot, mix.before) gives the
@@ -114,7 +166,9 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, sou
     stream with what is left of 1, or 1 / (number of weights + 1) if nothing
     is.  Without weights, every source gets its size to the power
     ``TEMPERATURE``.  ``size`` is a column, else the text's length; null sizes
-    and texts count as empty, and every row has a size of one more.  Repeated
+    and texts count as empty, and every row has a size of one more.  Blocks have
+    ``block_size``, by default ``BLOCK_SIZE`` or what makes ``MOST_BLOCKS`` of
+    all rows if that is more.  Repeated
     rows are placed like others.  A column named ``mix`` is replaced; an empty
     table gives no rows."""
     spark = docs.sparkSession
@@ -155,7 +209,9 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, sou
     else:
         spare = 1 - sum(target.values())
         shares[rest] = spare if spare > 0 else 1 / (len(target) + 1)
-    phases = schedule({s: -(-n // block_size) for s, n in totals.items()}, shares)
+    block_size = block_size or max(BLOCK_SIZE, -(-sum(totals.values()) // MOST_BLOCKS))
+    slots = exact_slots([-(-totals.get(s, 0) // block_size) for s in range(rest + 1)],
+                        [shares[s] for s in range(rest + 1)])
 
     ahead = Window.partitionBy("_stream").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = buckets.select("_stream", "_bucket",
@@ -170,7 +226,7 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, sou
     held = (held.join(offsets, ["_stream", "_bucket"])
             .withColumn("_before", F.col("_offset") + F.coalesce(F.sum("_size").over(inside), F.lit(0)))
             .withColumn("_block", F.floor(F.col("_before") / block_size)))
-    slot = _slots(spark, phases, rest + 1)
+    slot = _slots(spark, slots)
     return held.select("_row.*", F.struct(
         F.col("_stream").alias("stream"), F.col("_block").alias("block"),
         slot(F.col("_stream").cast("long"), F.col("_block")).alias("slot"),

@@ -1,5 +1,6 @@
 """Pfair mixing: the schedule, and whole rows in its order."""
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -102,3 +103,50 @@ def test_query(spark, sf_small):
         for r in sorted((r for r in rows if r["source"] == s), key=lambda r: r["chars_before"]):
             assert r["chars_before"] == at and r["block"] == at // M.BLOCK_SIZE
             at += r["chars"] + 1
+
+
+def furthest_from_fluid(blocks, weights):
+    """The greatest distance of a stream's blocks from its exact share, which
+    is taken slot by slot, over the whole mixture."""
+    placed = M.exact_slots(blocks, weights)
+    owner = np.full(sum(blocks), -1)
+    for s, at in enumerate(placed):
+        assert len(at) == blocks[s] and (np.diff(at) > 0).all()
+        owner[at] = s
+    assert (owner >= 0).all()
+    left, exact, count = np.array(blocks, float), np.zeros(len(blocks)), np.zeros(len(blocks))
+    worst, w = 0.0, np.array([float(x) for x in weights])
+    for s in owner:
+        time = 1.0
+        while time > 1e-12 and (live := left > 1e-9).any():
+            rate = w * live / (w * live).sum()
+            step = min(time, (left[live] / rate[live]).min())
+            left, exact, time = left - rate * step, exact + rate * step, time - step
+        count[s] += 1
+        worst = max(worst, np.abs(count - exact).max())
+    return worst
+
+
+@pytest.mark.parametrize("blocks, weights", [
+    ([1000] * 20, [1.0] * 20), ([20_000] + [2_105] * 19, [Fraction(1, 3)] + [Fraction(2, 57)] * 19),
+    ([10_000] + [60] * 199, [0.5] + [0.5 / 199] * 199), ([3, 0, 7, 900], [0.1, 0.5, 1e-3, 7.0]), ([1], [0.3]), ([], []),
+    ([1 + i % 9 for i in range(700)], [(1 + i % 9) ** 0.5 for i in range(700)])])
+def test_exact_slots_stay_less_than_one_block_off_the_given_weights(blocks, weights):
+    assert not blocks or furthest_from_fluid(blocks, weights) < 1 + 1e-6
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_exact_slots_of_random_weights(seed):
+    rng = random.Random(seed)
+    n = rng.randint(1, 200)
+    blocks = [rng.randint(0, 40) for _ in range(n)]
+    assert furthest_from_fluid(blocks, [rng.random() ** 3 + 1e-3 for _ in range(n)]) < 1 + 1e-6
+
+
+def test_mixture_follows_the_given_weights_over_many_periods(docs_of):
+    rows = [(i, "x" * 9, f"s{i % 20}") for i in range(20_000)]  # one block each
+    got = mixed(docs_of(rows), weights={f"s{i}": 0.05 for i in range(20)}, block_size=10)
+    count = np.zeros(20)
+    for t, r in enumerate(sorted(got, key=lambda r: r["slot"]), 1):
+        count[int(r["source"][1:])] += 1
+        assert np.abs(count - t / 20).max() < 1
