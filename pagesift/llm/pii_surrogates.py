@@ -4,15 +4,18 @@ Every entity is replaced through a keyed permutation of the values of its type
 and shape (a Feistel network over its digits and letters; a keyed cycle over
 the listed given names of its script and gender).  A permutation keeps distinct
 values distinct, and the same value gets the same surrogate in all documents.
-A check over all entities finds surrogates that are real values of the corpus
-or meet another surrogate; such entities go to the permutation of a further
-key until none is left.  Only they are sent to the documents that hold them;
-all others are computed in place.
+A check over all entities but given names finds surrogates that are real
+values of the corpus (so also a value that is its own) or meet another
+surrogate; such entities go to the permutation of a further key, and where
+their shape is used up to one of a wider shape, until none is left.  Only they
+are sent to the documents that hold them; all others are computed in place.
+Given names follow each other in a cycle, so none is its own surrogate.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
@@ -28,7 +31,7 @@ from pagesift.llm.name_lists import GIVEN, TITLES
 
 ROUNDS = 10           # of the Feistel network
 MOST_ATTEMPTS = 20
-LEAST_VALUES = 10**6  # shapes with fewer values are not checked against the corpus
+OWN_SHAPE = 4         # attempts before the shape is widened, by one letter more each time
 
 EMAIL, PHONE, CARD, IP, SECRET, GIVEN_NAME, SURNAME = (
     "email", "phone", "card", "ip", "secret", "given", "surname")
@@ -40,6 +43,33 @@ GROUPS = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNP
           "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "АЕЁИОУЫЭЮЯ", "БВГДЖЗЙКЛМНПРСТФХЦЧШЩ",
           "αεηιουωάέήίόύώ", "βγδζθκλμνξπρσςτφχψ", "ΑΕΗΙΟΥΩΆΈΉΊΌΎΏ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ"]
 GROUP_OF = {c: g for g, chars in enumerate(GROUPS) for c in chars}
+GROUPED_SCRIPTS = ("LATIN", "CYRILLIC", "GREEK")
+LONGER = {"LATIN": "nare", "CYRILLIC": "нару", "GREEK": "ναρε"}  # letters that widen a shape
+
+
+@lru_cache(maxsize=1 << 16)
+def _script(c: str) -> str:
+    return unicodedata.name(c, "").partition(" ")[0] if c.isalpha() else ""
+
+
+@lru_cache(maxsize=1 << 10)
+def _alphabet(script: str, category: str, block: int) -> str:
+    """The letters of a script and category in 128 code points that have no group."""
+    chars = map(chr, range(block << 7, block + 1 << 7))
+    return "".join(c for c in chars if c not in GROUP_OF and _script(c) == script
+                   and unicodedata.category(c) == category and c.lower().upper().lower() == c.lower())
+
+
+@lru_cache(maxsize=1 << 16)
+def _letters(c: str, wide: bool) -> str:
+    """The characters that ``c`` may become; itself alone if it is kept."""
+    if c in GROUP_OF:
+        return GROUPS[GROUP_OF[c]]
+    script = _script(c)
+    if script and (wide or script not in GROUPED_SCRIPTS):
+        chars = _alphabet(script, unicodedata.category(c), ord(c) >> 7)
+        return chars if c in chars else c
+    return c
 
 
 # --- detection ---------------------------------------------------------------
@@ -248,13 +278,14 @@ def permute_number(x: int, radix: int, length: int, key: bytes, tweak: str) -> i
     return half[0] * sizes[1] + half[1]
 
 
-def permute_text(text: str, key: bytes, tweak: str) -> str:
-    """A permutation of the texts of one shape; characters stay in their group."""
-    shape = [GROUP_OF.get(c, c) for c in text]
+def permute_text(text: str, key: bytes, tweak: str, wide: bool = False) -> str:
+    """A permutation of the texts of one shape; characters stay in their group.
+    ``wide`` replaces letters without a group within their script as well."""
+    sets = [_letters(c, wide) for c in text]
+    shape = [GROUP_OF.get(c, c if len(chars) == 1 else chars) for c, chars in zip(text, sets)]
     out, tweak = list(text), f"{tweak}|{shape}"
-    for g in sorted({s for s in shape if isinstance(s, int)}):
-        at = [i for i, s in enumerate(shape) if s == g]
-        chars, x = GROUPS[g], 0
+    for chars in sorted({x for x in sets if len(x) > 1}, key=lambda x: (GROUP_OF.get(x[0], len(GROUPS)), x)):
+        at, x = [i for i, own in enumerate(sets) if own == chars], 0
         for i in at:
             x = x * len(chars) + chars.index(text[i])
         tweak = f"{tweak}|{x}"
@@ -266,6 +297,14 @@ def permute_text(text: str, key: bytes, tweak: str) -> str:
     return "".join(out)
 
 
+def _longer(text: str, letters: int) -> str:
+    """``text`` with so many letters of its script more."""
+    script = next((s for c in reversed(text) if (s := _script(c))), "")
+    last = next((c for c in reversed(text) if _script(c)), "")
+    more = LONGER.get(script) or (_letters(last, True)[:4] if len(_letters(last, True)) > 1 else LONGER["LATIN"])
+    return text + (more * letters)[:letters]
+
+
 def _net(x: int) -> tuple[int, int]:
     """(kept high bits, free low bits): private ranges are kept."""
     for bits, net in ((8, 10), (8, 127), (12, (172 << 4) + 1), (16, (192 << 8) + 168)):
@@ -276,8 +315,14 @@ def _net(x: int) -> tuple[int, int]:
 
 def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
     """The surrogate of an entity's value.  For a fixed attempt a permutation
-    of the values of each shape."""
+    of the values of each shape; from ``OWN_SHAPE`` on into a wider one: more
+    letters, all digits, or the largest private net."""
     tweak = f"{kind}|{attempt}"
+    more = max(attempt - OWN_SHAPE + 1, 0)
+    if more and kind in (EMAIL, SECRET, SURNAME):
+        name, sign, domain = value.rpartition("@") if kind == EMAIL else (value, "", "")
+        new = permute_text(_longer(name, more), key, tweak, wide=True)
+        return f"{new}@{surrogate(EMAIL, value, key).rpartition('@')[2]}" if sign else new
     if kind == EMAIL:
         name, _, domain = value.rpartition("@")
         host, _, top = domain.rpartition(".")
@@ -286,9 +331,12 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
         kept = kept or ("example" if not host else "")
         return f"{permute_text(name, key, tweak)}@{permute_text(host, key, kind)}{kept}.{top}"
     if kind == PHONE:
-        kept = max(len(value) - 10, 1)
+        kept = 0 if more else max(len(value) - 10, 1)
         return value[:kept] + permute_text(value[kept:], key, f"{tweak}|{value[:kept]}")
     if kind == CARD:
+        if more:
+            body = permute_text(value[:-1], key, f"{tweak}|{len(value)}")
+            return body + str((luhn(body) + int(value[-1]) - luhn(value[:-1])) % 10)
         body = value[0] + permute_text(value[1:-1], key, f"{tweak}|{value[0]}|{len(value)}")
         return body + str((luhn(body) + int(value[-1]) - luhn(value[:-1])) % 10)
     if kind == IP:
@@ -297,6 +345,9 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
             x = x * 256 + int(part)
         net, free = _net(x)
         low = x & ((1 << free) - 1)
+        if more and 0 <= net and free < 24:  # into 10.0.0.0/8
+            low = permute_number(low, 2, 24, key, f"{tweak}|{net}")
+            return ".".join(str((10 << 24) + low >> s & 255) for s in (24, 16, 8, 0))
         while True:
             low = permute_number(low, 2, free, key, f"{tweak}|{net}")
             y = low if net < 0 else (net << free) + low
@@ -316,20 +367,6 @@ def _cycle(script: str, gender: str, key: bytes) -> dict[str, str]:
     return dict(zip(names, names[1:] + names[:1]))
 
 
-def values_of_shape(kind: str, value: str) -> int:
-    """How many values the permutation of a value's shape has."""
-    if kind == GIVEN_NAME:
-        return 0
-    if kind == IP:
-        return 1 << _net(int.from_bytes(bytes(map(int, value.split("."))), "big"))[1]
-    part = {EMAIL: value.partition("@")[0], PHONE: value[max(len(value) - 10, 1):],
-            CARD: value[1:-1]}.get(kind, value)
-    n = 1
-    for c in part:
-        n *= len(GROUPS[GROUP_OF[c]]) if c in GROUP_OF else 1
-    return n
-
-
 def written(kind: str, text: str, value: str) -> str:
     """A surrogate value in the form of the mention that it replaces."""
     if kind in (PHONE, CARD):
@@ -337,8 +374,9 @@ def written(kind: str, text: str, value: str) -> str:
         return "".join(next(digits) if c.isdigit() else c for c in text)
     if kind == GIVEN_NAME:
         return value.rpartition("|")[2]
-    if kind in (EMAIL, SURNAME) and len(value) == len(text):
-        return "".join(v.upper() if c.isupper() and len(v.upper()) == 1 else v for c, v in zip(text, value))
+    if kind == SURNAME or kind == EMAIL and len(value) == len(text):
+        cased = text + (text[-1] if text.isupper() else "x") * (len(value) - len(text))
+        return "".join(v.upper() if c.isupper() and len(v.upper()) == 1 else v for c, v in zip(cased, value))
     return value
 
 
@@ -359,36 +397,39 @@ def find_mentions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
 
 def _surrogates(entities: DataFrame, key: bytes) -> DataFrame:
-    """``entities`` (kind, value, attempt) with surrogate and many (values)."""
+    """``entities`` (kind, value, attempt) with their surrogate."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = list(zip(*(c.to_pylist() for c in batch.columns)))
+            rows = zip(*(c.to_pylist() for c in batch.columns))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([surrogate(k, v, key, a) for k, v, a in rows], pa.string()),
-                 pa.array([values_of_shape(k, v) >= LEAST_VALUES for k, v, _ in rows], pa.bool_())],
-                ["kind", "value", "attempt", "surrogate", "many"])
+                [*batch.columns, pa.array([surrogate(k, v, key, a) for k, v, a in rows], pa.string())],
+                ["kind", "value", "attempt", "surrogate"])
     return (entities.select("kind", "value", "attempt")
-            .mapInArrow(run, "kind string, value string, attempt int, surrogate string, many boolean"))
+            .mapInArrow(run, "kind string, value string, attempt int, surrogate string"))
 
 
 def exceptions(mentions: DataFrame, key: bytes) -> DataFrame:
     """kind, value, attempt of the entities whose first surrogate can't be
-    used.  Shapes with few values keep the first permutation, which keeps them
-    distinct among themselves, and so does what has not settled at the end."""
-    table = stash(_surrogates(mentions.select("kind", "value").distinct()
-                              .withColumn("attempt", F.lit(0)), key).where("many"), "entities")
+    used.  All shapes are checked; given names are a closed list, whose names
+    are real ones anyway, in a cycle."""
+    table = stash(_surrogates(mentions.select("kind", "value").where(F.col("kind") != GIVEN_NAME).distinct()
+                              .withColumn("attempt", F.lit(0)), key), "entities")
     real = table.select("kind", F.col("value").alias("surrogate"))
+    new = table
     for attempt in range(1, MOST_ATTEMPTS + 1):
-        met = table.join(real, ["kind", "surrogate"], "left_semi").select("kind", "value")
-        first = table.groupBy("kind", "surrogate").agg(F.min("value").alias("keeps"), F.count("*").alias("n"))
-        twice = (table.join(first.where("n > 1"), ["kind", "surrogate"]).where("value <> keeps")
+        # What was settled before can only meet one of the new surrogates.
+        hit = real if new is table else real.join(new, ["kind", "surrogate"], "left_semi")
+        met = new.join(hit, ["kind", "surrogate"], "left_semi").select("kind", "value")
+        near = table if new is table else table.join(
+            new.select("kind", "surrogate").distinct(), ["kind", "surrogate"], "left_semi")
+        first = near.groupBy("kind", "surrogate").agg(F.min("value").alias("keeps"), F.count("*").alias("n"))
+        twice = (near.join(first.where("n > 1"), ["kind", "surrogate"]).where("value <> keeps")
                  .select("kind", "value"))
         bad = stash(met.unionByName(twice).distinct(), "bad")
         if not bad.limit(1).count():
             break
-        again = _surrogates(table.join(bad, ["kind", "value"], "left_semi")
-                            .withColumn("attempt", F.lit(attempt)), key)
-        table = stash(table.join(bad, ["kind", "value"], "left_anti").unionByName(again), "entities")
+        new = stash(_surrogates(bad.withColumn("attempt", F.lit(attempt)), key), "again")
+        table = stash(table.join(bad, ["kind", "value"], "left_anti").unionByName(new), "entities")
     else:
         raise ValueError("a shape of entities has hardly any value that is not in use")
     return table.where("attempt > 0").select("kind", "value", "attempt")

@@ -136,3 +136,33 @@ def test_adjacent_entities_of_the_given_tables(docs_of):
     row, = P.replace_pii(docs_of([(1, text)]), KEY).collect()
     assert row["n_entities"] == 4
     assert all(x not in row["text"] for x in ("7536784127813050", "4845168114407329", "555-4081", "190.137"))
+
+
+def replaced(docs_of, kind, texts):
+    """Old and new values of ``kind``, as in the texts that come out."""
+    docs = docs_of(list(enumerate(texts)))
+    new = {r["doc_id"]: r["text"] for r in P.replace_pii(docs, KEY).collect()}
+    values = lambda t: [m.value for m in P.detect(t) if m.kind == kind]
+    return {a: b for i, t in enumerate(texts) for a, b in zip(values(t), values(new[i]), strict=True)}
+
+
+def test_short_shapes_are_checked_and_widened_where_all_values_are_real(docs_of):
+    short = [c + v for c in P.GROUPS[2] for v in P.GROUPS[1]]           # all of two letters
+    fixed = [n for shape in itertools.product((1, 2), repeat=3) for x in itertools.product(*(P.GROUPS[g] for g in shape))
+             if P.surrogate("surname", n := "".join(x), KEY) == n]  # the first surrogate is the name itself
+    names = short + fixed + ["հակոբյան", "ñß"]
+    got = replaced(docs_of, "surname", [f"then Mr. {n.capitalize()} said" for n in names])
+    assert sorted(got) == sorted(names) and len(set(got.values())) == len(names)
+    assert fixed and not set(got.values()) & set(names)
+    assert not set(got["հակոբյան"]) & set("abcdefghijklmnopqrstuvwxyz")
+    assert len([1 for n in short if len(got[n]) > 2]) == len(short) and all(len(got[n]) == 3 for n in fixed)
+    mails = [f"{a}@x.example.com" for a in P.GROUPS[1]] + ["ab.1@x.example.com"]
+    got = replaced(docs_of, "email", [f"to {m} now" for m in mails])
+    assert len(set(got.values()) | set(mails)) == 2 * len(mails)
+
+
+def test_a_private_net_whose_addresses_are_all_real(docs_of):
+    nets = [f"192.168.{i}.{j}" for i in range(256) for j in range(256)]
+    got = replaced(docs_of, "ip", [", ".join(nets[i:i + 4096]) for i in range(0, 65536, 4096)])
+    assert len(set(got.values()) | set(nets)) == 2 * 65536
+    assert all(v.startswith("10.") for v in got.values())
