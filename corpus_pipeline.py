@@ -3,7 +3,7 @@
 Every stage reads what the one before has written as Parquet and works on all
 of it: documents of low quality go, then exact copies, then all but one of each
 group of near copies; what is left is put in the order of its mixture and
-packed into sequences.
+packed into sequences that are numbered in this order.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesift.llm.common import read_table, stash
+from pagesift.llm.common import in_written_order, read_table, stash
 from pagesift.llm.exact_dedup import drop_copies
 from pagesift.llm.mixing import in_mixed_order
 from pagesift.llm.ngram_join import drop_near_copies
@@ -36,7 +36,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack_documents(docs, with_ids=False)
+    return pack_documents(in_written_order(docs.select("doc_id", "text")), with_ids=False)
 
 
 STAGES = [("quality", quality), ("exact_copies", exact_copies), ("near_copies", near_copies),

@@ -40,6 +40,17 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_written_order(df: DataFrame) -> DataFrame:
+    """The rows of a table read from Parquet files, in the order they were
+    written in: by number of the part, then by row.  A scan alone sorts files by
+    size and joins small ones."""
+    part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long")
+    order = ["_part", "_file", "_at"]
+    placed = df.select("*", part.alias("_part"), F.col("_metadata.file_name").alias("_file"),
+                       F.col("_metadata.row_index").alias("_at"))
+    return placed.repartitionByRange(*order).sortWithinPartitions(*order).drop(*order)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -66,6 +66,11 @@ def pack_block(items: list[Piece], tiers: tuple[int, ...]) -> tuple[list[list[Pi
     return windows, []
 
 
+def in_order(windows: list[list[Piece]]) -> list[list[Piece]]:
+    """Windows by the place of the document that each was opened with."""
+    return sorted(windows, key=lambda w: (w[0][1], w[0][2]))
+
+
 def cut_rest(items: list[Piece], longest: int) -> list[list[Piece]]:
     """Windows for the last pieces: powers of two from ``longest`` down to
     ``LEAST_WINDOW``, then one shorter window."""
@@ -143,13 +148,13 @@ def _packer(path: str, tiers: tuple[int, ...], with_ids: bool):
                 docs += 1
                 if held >= BLOCK_TOKENS:
                     windows, items = pack_block(items, tiers)
-                    yield emit(windows)
+                    yield emit(in_order(windows))
                     kept = {d for _, d, _ in items}
                     ids = {d: ids[d] for d in kept}
                     names = {d: names[d] for d in kept}
                     held = sum(i[0] for i in items)
         windows, rest = pack_block(items, tiers)
-        yield emit(windows + cut_rest(rest, tiers[-1]))
+        yield emit(in_order(windows) + cut_rest(rest, tiers[-1]))
     return run, schema
 
 
@@ -164,7 +169,10 @@ def pack_documents(docs: DataFrame, path: str | None = None, doc_id: str = "doc_
     are ascending powers of two.  A document's ids are those of its text and
     ``END_ID``; null and empty texts have that one id.  Null ids and repeated
     rows are packed like others; further columns are not read; an empty table
-    gives no rows.  Rows are packed near the place they have in ``docs``."""
+    gives no rows.  Rows are packed near the place they have in ``docs``:
+    ``sequence_id`` goes up with the partitions and in them with the blocks of
+    ``BLOCK_TOKENS``, and inside of a block with the documents that open the
+    sequences."""
     run, schema = _packer(path or default_vocabulary(), tuple(tiers), with_ids)
     return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, schema)
 

@@ -1,9 +1,12 @@
 """The pipeline's stages, each against brute force on its own input."""
+import random
+
 import corpus_pipeline
 import pytest
 
-from pagesift.llm import quality_fm
-from pagesift.llm.common import read_table, stash
+from pagesift.llm import mixing, packing, quality_fm
+from pagesift.llm.common import in_written_order, read_table, stash
+from conftest import prose
 from test_exact_dedup import brute as exact_brute
 from test_ngram_join import brute as near_brute
 
@@ -52,3 +55,35 @@ def test_mixture_and_packing(run, spark, sf_small):
     assert sum(p["length"] for p in pieces) == sum(size.values())
     whole = corpus_pipeline.run(spark, sf_small)
     assert whole.columns == run[5].columns and whole.agg({"length": "sum"}).first()[0] == sum(size.values())
+
+
+def test_sequences_follow_the_mixture(spark, docs_of, monkeypatch):
+    """Each stretch of sequences has the target shares, whatever the sizes of
+    the files that the mixture is written to."""
+    monkeypatch.setattr(packing, "BLOCK_TOKENS", 4096)
+    monkeypatch.setattr(mixing, "BLOCK_SIZE", 400)
+    rng = random.Random(5)
+    rows = [(i, " ".join(prose(rng, rng.choice([2, 30, 60, 120]))), "ab"[i % 4 == 0]) for i in range(3000)]
+    size, total = {}, {"a": 0, "b": 0}
+    for i, t, s in rows:
+        size[i] = len(t) + 1
+        total[s] += len(t) + 1
+    w = {s: n ** 0.5 for s, n in total.items()}
+    mixed = stash(mixing.in_mixed_order(docs_of(rows).repartition(3)), "mixture")
+    mixed = spark.read.schema(mixed.schema).parquet(mixed.inputFiles()[0].rpartition("/")[0])
+    place = {r["doc_id"]: k for k, r in enumerate(in_written_order(mixed).collect())}
+    want = mixing.mix_sources(docs_of(rows)).select("doc_id", "mix.slot", "mix.before").collect()
+    assert [r["doc_id"] for r in sorted(want, key=lambda r: (r["slot"], r["before"]))] == sorted(place, key=place.get)
+    pieces = sorted(corpus_pipeline.packing(spark, mixed, "").collect(), key=lambda p: (p["sequence_id"], p["offset"]))
+    assert sorted({p["doc_id"] for p in pieces}) == sorted(size)
+    source = {i: s for i, _, s in rows}
+    # until the source that ends first: every tenth has nearly the target shares
+    last = {s: max(place[i] for i in source if source[i] == s) for s in "ab"}
+    used = [p for p in pieces if place[p["doc_id"]] < min(last.values())]
+    used = used[:len(used) * 9 // 10]
+    for k in range(10):
+        part = used[len(used) * k // 10:len(used) * (k + 1) // 10]
+        tokens = {s: sum(p["length"] for p in part if source[p["doc_id"]] == s) for s in "ab"}
+        assert abs(tokens["a"] / sum(tokens.values()) - w["a"] / sum(w.values())) < 0.08
+    off = [abs(place[p["doc_id"]] - k) for k, p in enumerate({p["doc_id"]: p for p in pieces}.values())]
+    assert sum(off) / len(off) < 0.03 * len(rows)
