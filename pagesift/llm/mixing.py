@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pagesift.llm.common import read_table, shuffle_partitions, stash
 
 PERIOD = 4096         # slots; weights are parts of it
-MOST_STREAMS = 256    # the largest sources have a stream each, all others share the last
+MOST_STREAMS = 1 << 20  # of given weights; without them every source has a stream
 BLOCK_SIZE = 1 << 16  # code points
 MOST_BLOCKS = 1 << 20  # of the default size; beyond (64 G code points) blocks get larger
 TEMPERATURE = 0.5     # of default weights: shares go as size ** TEMPERATURE
@@ -164,8 +164,9 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, sou
 
     ``weights`` names target weights by source; others and null share one
     stream with what is left of 1, or 1 / (number of weights + 1) if nothing
-    is.  Without weights, every source gets its size to the power
-    ``TEMPERATURE``.  ``size`` is a column, else the text's length; null sizes
+    is.  Without weights, every source, null too, has a stream of its own with
+    its size to the power ``TEMPERATURE``; one number for each passes through
+    the driver.  ``size`` is a column, else the text's length; null sizes
     and texts count as empty, and every row has a size of one more.  Blocks have
     ``block_size``, by default ``BLOCK_SIZE`` or what makes ``MOST_BLOCKS`` of
     all rows if that is more.  Repeated
@@ -183,8 +184,7 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, sou
     sums = stash(rows.groupBy("name", "bucket").agg(F.sum("size").alias("size")), "sums")
     by_name = sums.groupBy("name").agg(F.sum("size").alias("size"))
     if weights is None:
-        top = by_name.where("name is not null").orderBy(F.desc("size"), "name").limit(MOST_STREAMS - 1).collect()
-        target = {r["name"]: float(r["size"]) ** TEMPERATURE for r in top}
+        target = {r["name"]: float(r["size"]) ** TEMPERATURE for r in by_name.where("name is not null").collect()}
     else:
         if len(weights) >= MOST_STREAMS:
             raise ValueError(f"at most {MOST_STREAMS - 1} weights")
@@ -192,15 +192,15 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, sou
     names = sorted(target)
     number = {n: i for i, n in enumerate(names)}
     rest = len(names)
-    pairs = [x for n in names for x in (F.lit(n), F.lit(number[n]))]
+    streams = spark.createDataFrame(list(number.items()), "_name string, _number int")
 
-    def stream(column):
-        if not pairs:
-            return F.lit(rest)
-        return F.coalesce(F.element_at(F.create_map(*pairs), column), F.lit(rest))
+    def with_stream(table):
+        """``table`` with _stream for its _name; other names and null have the last."""
+        return (table.join(F.broadcast(streams), "_name", "left")
+                .withColumn("_stream", F.coalesce("_number", F.lit(rest))).drop("_name", "_number"))
 
-    buckets = stash(sums.groupBy(stream(F.col("name")).alias("_stream"), F.col("bucket").alias("_bucket"))
-                    .agg(F.sum("size").alias("size")), "buckets")
+    buckets = stash(with_stream(sums.withColumnRenamed("name", "_name"))
+                    .groupBy("_stream", F.col("bucket").alias("_bucket")).agg(F.sum("size").alias("size")), "buckets")
     totals = {r["_stream"]: int(r["size"])
               for r in buckets.groupBy("_stream").agg(F.sum("size").alias("size")).collect()}
     shares = {number[n]: w for n, w in target.items()}
@@ -217,10 +217,10 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, sou
     offsets = buckets.select("_stream", "_bucket",
                              F.coalesce(F.sum("size").over(ahead), F.lit(0)).alias("_offset"))
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "mix"])
-    held = docs.select(whole.alias("_row"), stream(name).alias("_stream"), key.alias("_key"),
-                       F.shiftrightunsigned(key, 64 - spread).alias("_bucket"),
-                       (F.coalesce(size, F.lit(0)) + 1).cast("long").alias("_size"),
-                       F.col(doc_id).alias("_id"))
+    held = with_stream(docs.select(whole.alias("_row"), name.alias("_name"), key.alias("_key"),
+                                   F.shiftrightunsigned(key, 64 - spread).alias("_bucket"),
+                                   (F.coalesce(size, F.lit(0)) + 1).cast("long").alias("_size"),
+                                   F.col(doc_id).alias("_id")))
     inside = (Window.partitionBy("_stream", "_bucket").orderBy("_key", "_id", "_size")
               .rowsBetween(Window.unboundedPreceding, -1))
     held = (held.join(offsets, ["_stream", "_bucket"])

@@ -150,3 +150,20 @@ def test_mixture_follows_the_given_weights_over_many_periods(docs_of):
     for t, r in enumerate(sorted(got, key=lambda r: r["slot"]), 1):
         count[int(r["source"][1:])] += 1
         assert np.abs(count - t / 20).max() < 1
+
+
+def test_every_source_has_its_own_weight(docs_of):
+    rng = random.Random(3)
+    rows = [(i, "x" * 9, None if i % 301 == 300 else f"s{i % 301}") for i in range(301 * 12)]
+    rows += [(-i, "x" * 9, "s7") for i in range(1, 200)]
+    rng.shuffle(rows)
+    got = mixed(docs_of(rows), block_size=10)  # one block each
+    streams = {}
+    for r in got:
+        streams.setdefault(r["stream"], set()).add(r["source"])
+    assert len(streams) == 301 and all(len(s) == 1 for s in streams.values())
+    sizes = {s: 10 * sum(r["source"] == s for r in got) for s in {r["source"] for r in got}}
+    total, count = sum(n ** 0.5 for n in sizes.values()), dict.fromkeys(sizes, 0)
+    for t, r in enumerate(sorted(got, key=lambda r: r["slot"])[:3600], 1):
+        count[r["source"]] += 1
+        assert abs(count[r["source"]] - t * sizes[r["source"]] ** 0.5 / total) < 1 or t > 12 * total / 120 ** 0.5
