@@ -31,12 +31,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
+def stash(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as a table below ``spark.checkpoint.dir`` (shared by all
-    executors) and read it back: cuts lineage and survives lost executors."""
+    executors) and read it back: cuts lineage and survives lost executors.
+    ``options`` go to the writer."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/pagesift-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -118,10 +119,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def word_spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of every run of bytes that are no white space."""
-    word = np.empty(len(buf) + 2, np.int8)
-    word[0] = word[-1] = 0
-    np.logical_not(space_flags()[buf], out=word[1:-1].view(bool))
-    step = np.diff(word)
+    return flag_spans(~space_flags()[buf])
+
+
+def flag_spans(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of every run of true flags."""
+    edge = np.zeros(len(inside) + 2, np.int8)
+    edge[1:-1] = inside
+    step = np.diff(edge)
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
