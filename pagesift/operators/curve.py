@@ -1,9 +1,10 @@
 """Score summaries (A15-A17, W3), distributed.
 
 The median and the cumulative curve need positions in score order.  Scores
-are first folded into distinct values with counts (so a value shared by a
-third of all documents is one row), then ``ordering.with_prefix_sum`` gives
-running counts with range partitions and per-partition offsets -- no
+are first folded into distinct values with counts, written as a small table (so
+a value shared by a third of all documents is one row).  The two middle scores
+are found by radix selection on it; for the curve ``ordering.with_prefix_sum``
+gives running counts with range partitions and per-partition offsets -- no
 single-task window and no collect of all scores.
 """
 
@@ -13,34 +14,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagesift.operators.ordering import with_prefix_sum
+from pagesift.operators.selection import keys_at
+from pagesift.sources.tables import stored
 
 
 def _distinct_counts(df: DataFrame, col: str) -> DataFrame:
     """Distinct non-NULL scores with their counts (partial aggregation folds
-    a hot score before the shuffle), checkpointed so the ordering passes
-    read this small table instead of recomputing the pages."""
-    from pagesift.session import ensure_checkpoint_dir
-    counts = (df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
-                .groupBy("v").agg(F.count("*").alias("c")))
-    ensure_checkpoint_dir(df.sparkSession)
-    return counts.checkpoint(eager=True)
+    a hot score before the shuffle), written so the ordering passes read this
+    small table instead of recomputing the pages."""
+    return stored(df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
+                    .groupBy("v").agg(F.count("*").alias("c")), "scores")
 
 
 def score_summary(df: DataFrame, col: str = "f1") -> DataFrame:
     """``n``, ``mean`` and ``median`` (mean of the two middle values for
-    an even count) of the non-NULL scores in ``col``."""
-    cum = with_prefix_sum(_distinct_counts(df, col), [F.col("v")], "c", "cum", total="n")
-    first = F.col("cum") - F.col("c")          # position of the value's first copy
-    lo = F.floor((F.col("n") - 1) / 2)
-    hi = F.floor(F.col("n") / 2)
-
-    def covers(p):
-        return (first <= p) & (p < F.col("cum"))
-    return cum.agg(
-        F.sum("c").cast("bigint").alias("n"),
+    an even count) of the non-NULL scores in ``col``; NULL without any."""
+    counts = _distinct_counts(df, col)
+    middle = keys_at(counts, F.col("v"), lambda n: [(n - 1) // 2, n // 2], weight=F.col("c")).get(None, {})
+    values = [middle[min(middle)], middle[max(middle)]] if middle else [None, None]
+    return counts.agg(
+        F.coalesce(F.sum("c"), F.lit(0)).cast("bigint").alias("n"),
         (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"),
-        ((F.sum(F.when(covers(lo), F.col("v"))) + F.sum(F.when(covers(hi), F.col("v")))) / 2)
-        .alias("median"))
+        ((F.lit(values[0]).cast("double") + F.lit(values[1]).cast("double")) / 2).alias("median"))
 
 
 def score_curve(df: DataFrame, col: str = "f1") -> DataFrame:

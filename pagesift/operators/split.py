@@ -1,9 +1,11 @@
 """Document sampling and splits.
 
 A split into contiguous ranges of an order is given by the keys at its cuts.
-Those few keys are looked up in an index of the narrow key column; every row
-then finds its part by comparing its own key with them, so the rows are
-neither joined nor shuffled, and copies of a document share one part.
+Those few keys are found by radix selection over the narrow key column
+(``selection.keys_at``: some aggregates, nothing sorted, numbered or written);
+every row then finds its part by comparing its own key with them, so the rows
+are neither joined nor shuffled, and copies of a document share one part.
+The frame is scanned once a pass, so jobs write what is dear to compute first.
 """
 
 from __future__ import annotations
@@ -11,18 +13,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagesift.operators.ordering import rows_at, with_global_index
+from pagesift.operators.selection import keys_at, ordered
 
 DEFAULT_SEED = 42
+DIGEST_STEP = 3   # hex digits of a digest that a pass looks at
 
 
-def _cut_keys(df: DataFrame, key: Column, positions) -> list:
+def _cut_keys(df: DataFrame, key: Column, positions, **options) -> list:
     """The distinct values of ``key`` at the positions that ``positions``
     (function of their number) asks for, in order; fewer if it has fewer."""
-    keys = df.select(key.alias("_k")).where(F.col("_k").isNotNull()).distinct()
-    indexed = with_global_index(keys, [F.col("_k")], "_idx")
-    n = indexed.count()
-    return [r["_k"] for r in rows_at(indexed, [p for p in positions(n) if p < n], "_idx")]
+    found = keys_at(df, key, positions, distinct=True, **options).get(None, {})
+    return [found[p] for p in sorted(found)]
 
 
 def _cuts_passed(key: Column, cuts: list) -> Column:
@@ -41,22 +42,21 @@ def _digest(seed: int, *cols: str) -> Column:
 def sample_docs(df: DataFrame, limit: int, key: str = "page_id",
                 seed: int = DEFAULT_SEED) -> DataFrame:
     """K3: ``limit`` documents without replacement in a seeded hash order
-    (hex MD5 of ``'<seed>:<key>'``, ties by key); ``limit <= 0`` keeps all,
-    a limit above the count keeps all."""
+    (hex MD5 of ``'<seed>:<key>'``); ``limit <= 0`` keeps all, a limit above
+    the count keeps all.  Copies of a document stay or go together."""
     if limit <= 0:
         return df
-    rank = F.struct(_digest(seed, key).alias("d"), F.col(key).alias("k"))
-    cut = _cut_keys(df, rank, lambda n: [limit])
-    if not cut:
-        return df
-    return df.where(rank < F.struct(F.lit(cut[0]["d"]).alias("d"), F.lit(cut[0]["k"]).alias("k")))
+    digest = _digest(seed, key)
+    cut = _cut_keys(df, digest, lambda n: [limit], step=DIGEST_STEP)
+    return df.where(digest < F.lit(cut[0])) if cut else df
 
 
 def holdout_split(df: DataFrame, ratio: float = 0.7, key: str = "page_id") -> DataFrame:
     """K4: the first ``int(n * ratio)`` documents in ``key`` order train, the
     rest test.  Adds ``split`` ('train' / 'test')."""
     cut = _cut_keys(df, F.col(key), lambda n: [int(n * float(ratio))])
-    return df.withColumn("split", F.when(_cuts_passed(F.col(key), cut) == 0, "train").otherwise("test"))
+    passed = _cuts_passed(ordered(df, F.col(key)), cut)
+    return df.withColumn("split", F.when(passed == 0, "train").otherwise("test"))
 
 
 def kfold_assign(df: DataFrame, k: int = 5, key: str = "page_id") -> DataFrame:
@@ -69,7 +69,7 @@ def kfold_assign(df: DataFrame, k: int = 5, key: str = "page_id") -> DataFrame:
     cuts = _cut_keys(df, F.col(key), lambda n: [i * (n // k) for i in range(k + 1)] if n >= k else [])
     if not cuts:
         return df.withColumn("fold", F.lit(None).cast("int"))
-    fold = _cuts_passed(F.col(key), cuts) - 1
+    fold = F.when(F.col(key).isNotNull(), _cuts_passed(ordered(df, F.col(key)), cuts) - 1)
     return df.withColumn("fold", F.when(fold < k, fold).cast("int"))
 
 
@@ -80,19 +80,14 @@ def stratified_folds(df: DataFrame, k: int = 10, label: str = "label",
     so every fold has floor or ceil of ``n/k`` rows of each class.  Rows with
     equal ``cols`` share a fold.  Adds ``fold``."""
     digest = _digest(seed, *cols)
-    narrow = df.select(F.col(label).alias("_c"), digest.alias("_d"))
-    indexed = with_global_index(narrow, [F.col("_c"), F.col("_d")], "_idx")
-    firsts = indexed.groupBy("_c").agg(F.min("_idx").alias("a"), F.count("*").alias("n")).collect()
-    spots = {r["a"] + -(-i * r["n"] // k): None for r in firsts for i in range(1, k)}
-    cuts: dict = {r["_c"]: [] for r in firsts}
-    last = {r["_c"]: r["a"] + r["n"] for r in firsts}
-    found = {r["_idx"]: r for r in rows_at(indexed, list(spots), "_idx")}
-    for r in firsts:
-        for i in range(1, k):
-            at = r["a"] + -(-i * r["n"] // k)
-            # a cut at the class's end lies behind all of its rows
-            cuts[r["_c"]].append(found[at]["_d"] if at < last[r["_c"]] else "~")
+    sizes: dict = {}
+
+    def firsts(n: int) -> list[int]:
+        return [-(-i * n // k) for i in range(1, k)]
+    found = keys_at(df, digest, firsts, group=F.col(label), step=DIGEST_STEP, totals=sizes)
     fold = F.lit(0)
-    for c, keys in cuts.items():
-        fold = F.when(F.col(label).eqNullSafe(F.lit(c)), _cuts_passed(digest, keys)).otherwise(fold)
+    for c, keys in found.items():
+        # a cut at the class's end lies behind all of its rows
+        cuts = [keys.get(p, "~") for p in firsts(sizes[c])]
+        fold = F.when(F.col(label).eqNullSafe(F.lit(c)), _cuts_passed(digest, cuts)).otherwise(fold)
     return df.withColumn("fold", fold.cast("int"))

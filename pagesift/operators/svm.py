@@ -137,7 +137,8 @@ def svm_fit(examples: DataFrame, dim: int, components: int = DEFAULT_COMPONENTS,
 
 def svm_predict_blocks(df: DataFrame, model: SVMModel, out: str = "prediction") -> DataFrame:
     """M2: add ``out`` to every block of pages carrying ``blocks[].f``."""
-    preds = model.page_udf()(F.transform("blocks", lambda b: b["f"]))
-    with_preds = df.withColumn("_svm", preds)
-    return with_preds.withColumn("blocks", F.transform(
+    # a generator of one row keeps the features in a projection below this UDF,
+    # so a filter on what comes of it can't be pushed through
+    held = df.select("*", F.explode(F.array(F.transform("blocks", lambda b: b["f"]))).alias("_f"))
+    return held.withColumn("_svm", model.page_udf()(F.col("_f"))).drop("_f").withColumn("blocks", F.transform(
         "blocks", lambda b, i: b.withField(out, F.get(F.col("_svm"), i)))).drop("_svm")

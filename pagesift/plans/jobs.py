@@ -8,7 +8,6 @@ evaluation; only model fitting works on the long example table.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -25,8 +24,8 @@ from pagesift.operators.nb import learned_tokens, nb_fit, nb_fit_folds, nb_predi
 from pagesift.operators.segment import segment_blocks
 from pagesift.operators.split import holdout_split, kfold_assign, sample_docs, stratified_folds
 from pagesift.operators.svm import SVMModel, svm_fit, svm_predict_blocks
-from pagesift.session import ensure_checkpoint_dir
 from pagesift.sources.corpus import gold_key, read_table
+from pagesift.sources.tables import stored
 from pagesift.functions.text import normalize_text, strip_xml_decl
 
 FULL_SPEC = (SHALLOW_TEXT, RELATIVE_POSITION, (INDICATIVE_TOKENS, 10))
@@ -62,13 +61,6 @@ def materialize_pages(pages: DataFrame, path: str, mode: str = "overwrite") -> D
     return pages.sparkSession.read.parquet(path)
 
 
-def stored(df: DataFrame, name: str = "pages") -> DataFrame:
-    """``materialize_pages`` into a fresh table below the checkpoint folder,
-    for frames that a job reads several times."""
-    base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
-    return materialize_pages(df, f"{base}/{name}-{uuid.uuid4().hex}")
-
-
 @dataclass
 class ContentModel:
     spec: tuple
@@ -111,7 +103,7 @@ def holdout_eval(pages: DataFrame, spec: Sequence = (SHALLOW_TEXT,), ratio: floa
     """M7: train on the first ``int(n * ratio)`` pages (page_id order), score
     the rest; returns the one-round report.  ``limit`` > 0 takes a sample of
     as many pages first (K3), here and in the other protocols."""
-    split = stored(holdout_split(sample_docs(pages, limit), ratio))
+    split = holdout_split(sample_docs(stored(pages), limit), ratio)
     model = train_content_model(split.filter("split = 'train'").drop("split"), spec, unique)
     test = split.filter("split = 'test'").drop("split")
     metrics = score_pages(predict_pages(model, test)).withColumn("round", F.lit(0))
@@ -121,7 +113,7 @@ def holdout_eval(pages: DataFrame, spec: Sequence = (SHALLOW_TEXT,), ratio: floa
 def resub_eval(pages: DataFrame, spec: Sequence = (SHALLOW_TEXT,),
                unique: bool = False, limit: int = 0) -> DataFrame:
     """M8: train and test on all pages; per-page metrics."""
-    pages = stored(sample_docs(pages, limit))
+    pages = sample_docs(stored(pages), limit)
     model = train_content_model(pages, spec, unique)
     return score_pages(predict_pages(model, pages))
 
@@ -143,7 +135,7 @@ def cv_eval(pages: DataFrame, k: int = 5, spec: Sequence = FULL_SPEC,
             unique: bool = True, limit: int = 0) -> DataFrame:
     """M5: contiguous K-fold CV over pages; remainder pages only train.
     Returns per-round and final averages."""
-    folded = stored(kfold_assign(sample_docs(pages, limit), k))
+    folded = kfold_assign(sample_docs(stored(pages), limit), k)
     rounds = []
     for i in range(k):
         train = folded.filter(F.col("fold").isNull() | (F.col("fold") != i)).drop("fold")
@@ -157,7 +149,7 @@ def nb_cv_eval(pages: DataFrame, k: int = 5, lcs: bool = False, limit: int = 0)
     """M5 with the naive-Bayes block classifier (fully SQL-expressible when
     ``lcs`` is off): per-page metrics with their ``round``.  The counts of all
     rounds come from one aggregate."""
-    folded = stored(kfold_assign(sample_docs(pages, limit), k))
+    folded = kfold_assign(sample_docs(stored(pages), limit), k)
     models = nb_fit_folds(folded, k)
     return _union([
         score_pages(nb_predict(folded.filter(F.col("fold") == i).drop("fold"), model), lcs=lcs)
@@ -182,7 +174,7 @@ _SCORES = {
 def block_folds(pages: DataFrame, folds: int = 10, seed: int = 42) -> DataFrame:
     """(page_id, pos, label, fold): the stratified folds of all blocks."""
     blocks = training_examples(feature_vectors(pages, (SHALLOW_TEXT,)))
-    return stratified_folds(blocks.select("page_id", "pos", "label"), folds, seed=seed)
+    return stratified_folds(stored(blocks.select("page_id", "pos", "label"), "labels"), folds, seed=seed)
 
 
 def block_cv(pages: DataFrame, folds: int = 10, spec: Sequence = (SHALLOW_TEXT,),
@@ -195,9 +187,8 @@ def block_cv(pages: DataFrame, folds: int = 10, spec: Sequence = (SHALLOW_TEXT,)
     examples = training_examples(feats)
     if unique:
         examples = unique_examples(examples)
-    examples = stored(stratified_folds(examples, folds, "label",
-                                       cols=("f",) if unique else ("page_id", "pos"),
-                                       seed=seed), "examples")
+    examples = stratified_folds(stored(examples, "examples"), folds, "label",
+                                cols=("f",) if unique else ("page_id", "pos"), seed=seed)
     dim = feature_dim(spec)
     rounds = []
     for i in range(folds):
