@@ -14,7 +14,7 @@ import math
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagesift.functions.text import remove_markers, token_bag
@@ -237,7 +237,6 @@ def nb_weighted_negative(model: NBModel, n: int = 10) -> DataFrame:
 def _ranked(top: DataFrame, kind: str, desc: bool) -> DataFrame:
     # ``top`` holds at most n rows (TakeOrderedAndProject), so ranking it in
     # one task is bounded by the parameter, not by the data
-    from pyspark.sql import Window
     order = F.col("score").desc() if desc else F.col("score").asc()
     w = Window.orderBy(order, F.col("token"))
     return top.select(F.lit(kind).alias("kind"), F.row_number().over(w).cast("int").alias("rank"),
@@ -248,3 +247,20 @@ def learned_tokens(model: NBModel, n: int = 10) -> list[str]:
     """The ``n`` weighted-negative tokens, in rank order (at most n)."""
     rows = nb_weighted_negative(model, n).orderBy("rank").collect()
     return [r["token"] for r in rows]
+
+
+def learned_tokens_folds(df: DataFrame, k: int, n: int = 10) -> list[list[str]]:
+    """M10 for the ``k`` rounds of a cross validation: tokens are counted once
+    by fold; one plan sums them for every round and ranks the round's tokens
+    (``k * n`` rows reach the driver)."""
+    counts = css_long(df, keys=("fold",)).groupBy("fold", "token").agg(
+        F.sum(F.col("cnt") * F.col("label")).alias("pos"), F.sum(F.col("cnt") * (1 - F.col("label"))).alias("neg"))
+    rounds = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.col("fold").isNull() | (i != F.col("fold")))
+    by_round = (counts.select(F.explode(rounds).alias("round"), "token", "pos", "neg").groupBy("round", "token")
+                .agg((F.sum("pos") + 1).cast("double").alias("pos"), (F.sum("neg") + 1).cast("double").alias("neg")))
+    totals = by_round.groupBy("round").agg(F.sum("pos").alias("sp"), F.sum("neg").alias("sn"))  # k rows
+    p_pos, p_neg = F.col("pos") / F.col("sp"), F.col("neg") / F.col("sn")
+    scored = by_round.join(F.broadcast(totals), "round").select("round", "token", (F.ln(p_neg / p_pos) * F.col("neg")).alias("score"))
+    best = Window.partitionBy("round").orderBy(F.col("score").desc(), "token")
+    rows = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n).collect()
+    return [[r["token"] for r in sorted(rows, key=lambda r: r["rank"]) if r["round"] == i] for i in range(k)]

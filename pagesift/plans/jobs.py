@@ -20,10 +20,11 @@ from pagesift.operators.features import (INDICATIVE_TOKENS, RELATIVE_POSITION, S
                                          feature_dim, feature_vectors, training_examples,
                                          unique_examples)
 from pagesift.operators.curve import score_curve
-from pagesift.operators.nb import learned_tokens, nb_fit, nb_fit_folds, nb_predict
+from pagesift.operators.nb import learned_tokens, learned_tokens_folds, nb_fit, nb_fit_folds, nb_predict
 from pagesift.operators.segment import segment_blocks
 from pagesift.operators.split import holdout_split, kfold_assign, sample_docs, stratified_folds
-from pagesift.operators.svm import SVMModel, svm_fit, svm_predict_blocks
+from pagesift.operators.svm import (SVMModel, fold_udf, fold_weights, stored_examples, svm_fit,
+                                    svm_fit_folds, svm_predict_blocks, svm_predict_folds)
 from pagesift.sources.corpus import gold_key, read_table
 from pagesift.sources.tables import stored
 from pagesift.functions.text import normalize_text, strip_xml_decl
@@ -134,15 +135,37 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 def cv_eval(pages: DataFrame, k: int = 5, spec: Sequence = FULL_SPEC,
             unique: bool = True, limit: int = 0) -> DataFrame:
     """M5: contiguous K-fold CV over pages; remainder pages only train.
-    Returns per-round and final averages."""
+    Returns per-round and final averages.  The models of all rounds are fitted
+    together, and every page is scored once, by the model of its fold."""
+    spec = tuple(spec)
     folded = kfold_assign(sample_docs(stored(pages), limit), k)
-    rounds = []
-    for i in range(k):
-        train = folded.filter(F.col("fold").isNull() | (F.col("fold") != i)).drop("fold")
-        test = folded.filter(F.col("fold") == i).drop("fold")
-        model = train_content_model(train, spec, unique)
-        rounds.append(score_pages(predict_pages(model, test)).withColumn("round", F.lit(i)))
-    return eval_report(_union(rounds))
+    variants, examples = _variants(folded, spec, k), []
+    for tokens, rounds in variants:
+        rows = training_examples(feature_vectors(folded, spec, tokens), ("page_id", "fold"))
+        weights = F.transform(fold_weights(k), lambda w, i: F.when(
+            F.array_contains(F.array(*[F.lit(r) for r in rounds]), i), F.least(w, F.lit(1.0)) if unique else w
+        ).otherwise(0.0))
+        examples.append(rows.groupBy("label", "f").agg(weights.alias("w")))
+    models = svm_fit_folds(stored_examples(_union(examples)), feature_dim(spec), k)
+    scored = []
+    for tokens, rounds in variants:
+        test = folded.where(F.col("fold").isin(rounds))
+        predicted = svm_predict_folds(feature_vectors(test, spec, tokens), models)
+        art = extract_article(predicted, "prediction")
+        scored.append(evaluate(art.withColumn("round", F.col("fold")), "extracted", "gold", keys=("page_id", "round")))
+    return eval_report(_union(scored))
+
+
+def _variants(folded: DataFrame, spec: tuple, k: int) -> list[tuple[list[str] | None, list[int]]]:
+    """The lists of learned tokens that rounds use, with their rounds; one
+    without tokens if ``spec`` asks for none."""
+    n = [int(item[1]) for item in spec if isinstance(item, tuple) and item[0] == INDICATIVE_TOKENS]
+    if not n:
+        return [(None, list(range(k)))]
+    by_list: dict = {}
+    for i, tokens in enumerate(learned_tokens_folds(folded, k, n[-1])):
+        by_list.setdefault(tuple(tokens), []).append(i)
+    return [(list(tokens), rounds) for tokens, rounds in by_list.items()]
 
 
 def nb_cv_eval(pages: DataFrame, k: int = 5, lcs: bool = False, limit: int = 0) -> DataFrame:
@@ -190,14 +213,12 @@ def block_cv(pages: DataFrame, folds: int = 10, spec: Sequence = (SHALLOW_TEXT,)
     examples = stratified_folds(stored(examples, "examples"), folds, "label",
                                 cols=("f",) if unique else ("page_id", "pos"), seed=seed)
     dim = feature_dim(spec)
-    rounds = []
-    for i in range(folds):
-        model = svm_fit(examples.filter(F.col("fold") != i), dim, seed=seed)
-        # page_udf scales, maps and decides; a block is scored as a one-block page
-        test = examples.filter(F.col("fold") == i)
-        with_p = test.withColumn("prediction", model.page_udf()(F.array("f"))[0])
-        rounds.append(with_p.agg(F.lit(i).alias("fold"), _SCORES[scoring]().alias(scoring)))
-    return _union(rounds)
+    weighted = examples.groupBy("label", "f").agg(fold_weights(folds).alias("w"))
+    models = svm_fit_folds(stored_examples(weighted), dim, folds, seed=seed)
+    # a block is scored as a one-block page, by the model of its fold
+    scored = (examples.select("label", "fold", F.explode(F.array(F.array("f"))).alias("_f"))
+              .withColumn("prediction", fold_udf(models)(F.col("_f"), F.col("fold"))[0]))
+    return scored.groupBy("fold").agg(_SCORES[scoring]().alias(scoring))
 
 
 def evaluate_external(predictions: DataFrame, pages: DataFrame, lcs: bool = True,
