@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -24,6 +25,7 @@ SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 PIECE_BYTES = 1 << 20
 # A key this share of all rows or more counts as hot; so at most 1/share keys do.
 HOT_SHARE = 1 / 1000
+PLAN_CHARACTERS = 4000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -194,20 +196,48 @@ def join_skewed(rows: DataFrame, groups: DataFrame, key: str, count: str,
     return rows.join(hot, key).unionByName(cold_rows.join(rest, key))
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+@contextmanager
+def short_plans(spark: SparkSession) -> Iterator[None]:
+    """Keep the text of plans short in here: the driver holds that of many
+    executions, and long jobs of many plans would fill its memory."""
+    name = "spark.sql.maxPlanStringLength"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(PLAN_CHARACTERS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", start: DataFrame | None = None,
+               rounds: int | None = None) -> DataFrame:
     """(node, label): the smallest node reachable over ``edges`` (long ids).
 
     Labels travel along edges and then jump to the label of their label; every
     round is a join and a partial aggregate, its result a stored table, until
-    no label changes."""
-    spark = edges.sparkSession
+    no label changes.  With ``start``, labels (nodes of the same components)
+    found over other edges before, the edges join labels, and only those are
+    gone through.  After ``rounds`` labels may not be the smallest ones yet, but
+    equal labels are of one component."""
+    if start is not None:
+        x = start.select(F.col("node").alias(a), F.col("label").alias("_x"))
+        y = start.select(F.col("node").alias(b), F.col("label").alias("_y"))
+        joined = stash(edges.select(a, b).join(x, a, "left").join(y, b, "left").select(
+            a, b, F.coalesce("_x", a).alias("_x"), F.coalesce("_y", b).alias("_y")), "joined")
+        found = components(joined, "_x", "_y", rounds=rounds).select(F.col("node").alias("label"), F.col("label").alias("_new"))
+        new = (joined.select(F.col(a).alias("node")).union(joined.select(b)).distinct()
+               .join(start, "node", "left_anti").select("node", F.col("node").alias("label")))
+        return stash(start.select("node", "label").unionByName(new).join(found, "label", "left")
+                     .select("node", F.coalesce("_new", "label").alias("label")), "labels")
     both = stash(edges.select(F.col(a).alias("src"), F.col(b).alias("dst"))
                  .unionByName(edges.select(F.col(b).alias("src"), F.col(a).alias("dst")))
                  .where("src <> dst").distinct(), "edges")
     labels = stash(both.groupBy(F.col("src").alias("node"))
                    .agg(F.min("dst").alias("m"))
                    .select("node", F.least("node", "m").alias("label")), "labels")
+    turn = 0
     while True:
+        turn += 1
         heard = (both.join(labels, both.dst == labels.node)
                  .groupBy("src").agg(F.min("label").alias("heard")))
         near = (labels.join(heard, labels.node == heard.src)
@@ -217,7 +247,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
                     .select("node", F.least("next", "jump").alias("label"),
                             (F.least("next", "jump") != F.col("label")).alias("changed")),
                     "labels")
-        changed = new.where("changed").limit(1).count()
         labels = new.select("node", "label")
-        if not changed:
+        if turn == rounds or not new.where("changed").limit(1).count():
             return labels

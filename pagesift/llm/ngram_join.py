@@ -20,6 +20,7 @@ shared shingles less one, and all pairs that share enough are verified.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from pagesift.llm.bits import filter_bits, has_bits, set_bits, tester
 from pagesift.llm.common import (U64, batch_words, components, join_skewed, mix, pieces,
-                                 read_table, shingle_hashes, shuffle_partitions, stash, text_bytes)
+                                 read_table, shingle_hashes, short_plans, shuffle_partitions, stash, text_bytes)
 
 WIDTH = 5
 PERCENT = 75
@@ -36,6 +37,7 @@ HEAVY_SHINGLES = 1 << 19   # of the order's table, which is broadcast (8 MB)
 BASE_EXTRA = 20            # l is 1 and a shingle for each so many, or all that it can be
 SHORT_LIST = 8             # classes of a list that gives all of its pairs
 MOST_ROUNDS = 10           # of leaders, before the rest is joined
+STAR_ROUNDS = 2            # of labels along the links of such a round
 LEADERS = 4                # of a list in a round, and that a class tries
 BLUR = 0.2                 # of the order of leaders, for other ones each round
 LEAST_YIELD = 0.02         # links of a round for each pair it tried, else it is the last
@@ -306,9 +308,11 @@ def _sets(texts: DataFrame, wanted: DataFrame, classes: DataFrame, seed: int) ->
                    "wanted")
     chosen = texts.sparkSession.sparkContext.broadcast(
         set_bits(wanted.select("first"), filter_bits(wanted.count())))
-    return stash(texts.mapInArrow(_chosen_sets(seed, chosen), "cls long, shingles binary")
+    sets = stash(texts.mapInArrow(_chosen_sets(seed, chosen), "cls long, shingles binary")
                  .join(wanted.select("cls"), "cls", "left_semi")
                  .groupBy("cls").agg(F.first("shingles").alias("shingles")), "sets")
+    chosen.destroy()
+    return sets
 
 
 def _least_shared() -> Column:
@@ -389,18 +393,26 @@ def _stars(told: DataFrame, turn: int) -> DataFrame:
 
 def _need_floor(ratio: float, whole: bool) -> Column:
     """No partner whose size is within ``ratio`` can do with fewer shared
-    prefix shingles: the bound is smallest at the ends of that range.  If both
-    prefixes are ``whole`` sets, they share the overlap itself."""
+    prefix shingles.  If both prefixes are ``whole`` sets, they share the
+    overlap itself.  Else the bound of ``_need`` is taken apart: what does not
+    depend on the partner's prefix grows with its size, so it is least for the
+    smallest one; what a partner's base prefix leaves out takes most just below
+    a multiple of BASE_EXTRA near the largest size, and one more by rounding."""
     size, extra = F.col("size"), F.col("extra")
-    ends = []
-    for other in (F.ceil(size / ratio), F.floor(size * ratio)):
-        overlap = F.ceil((size + other) * PERCENT / F.lit(100 + PERCENT))
-        base = F.floor(other / BASE_EXTRA) + 1
-        left = [F.ceil(n * PERCENT / F.lit(100)) - x for n, x in ((size, extra), (other, base))]
-        # one less for what rounding may take between the ends; the overlap
-        # itself only grows with the size
-        ends.append(overlap if whole else F.greatest(F.least(extra, base), overlap - F.greatest(*left)) - 1)
-    return F.greatest(F.least(*ends), _least_shared())
+    ratio = min(ratio, 100 / PERCENT)
+    low, high = F.ceil(size / ratio - 1e-6), F.floor(size * ratio + 1e-6)
+
+    def overlap(other):
+        return F.ceil((size + other) * PERCENT / F.lit(100 + PERCENT))
+
+    def part(n):
+        return F.ceil(n * PERCENT / F.lit(100))
+    if whole:
+        return F.greatest(overlap(low), _least_shared())
+    last = F.floor((high + 1) / BASE_EXTRA) * BASE_EXTRA - 1
+    left = [overlap(n) - part(n) + F.floor(n / BASE_EXTRA) + 1 for n in (high, last)]
+    bound = F.least(overlap(low) - part(size) + extra, F.least(*left) - 1)
+    return F.greatest(F.least(extra, F.floor(low / BASE_EXTRA) + 1), bound, _least_shared())
 
 
 def _pairs(told: DataFrame) -> DataFrame:
@@ -427,22 +439,32 @@ def _pairs(told: DataFrame) -> DataFrame:
                 "shingle", *[F.col(c).alias(f"b_{c}") for c in kept.columns[1:]])
             once = "cls < b_cls" if whole else "cls < b_cls or b_whole"
             wide = F.greatest("size", "b_size") / F.least("size", "b_size")
-            bands.append(
+            bands.append(stash(
                 x.join(y, "shingle").where("label <> b_label").where(once)
                 .where((wide > low) & (wide <= ratio)).where(_fits("size", "b_size"))
                 .groupBy(F.least("cls", "b_cls").alias("a"), F.greatest("cls", "b_cls").alias("b"))
                 .agg(F.count("*").alias("shared"),
                      F.max(_need("b_") - F.greatest("least", "b_least") + 1).alias("need"))
-                .where("shared >= need").select("a", "b"))
+                .where("shared >= need").select("a", "b"), "band"))
         low = ratio
     return _union(bands)
 
 
-def near_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"):
-    """(documents with their classes, classes, verified links between classes).
+@dataclass
+class Links:
+    """Documents with their classes (doc_id, size, cls, twin), classes (cls,
+    first, n, clash), verified links between classes (a, b), labels found so far
+    (node, label; equal ones are of one component), and the seed of class ids.
+    The links join the classes of each component; not every link is among them."""
+    members: DataFrame
+    classes: DataFrame
+    links: DataFrame
+    labels: DataFrame
+    seed: int
+
 
-    The links join the classes of each component; not every link of a
-    component is among them."""
+def near_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Links:
+    """Classes of equal sets, and links that join the classes of each component."""
     spark = docs.sparkSession
     bits = bucket_bits(spark)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -459,6 +481,7 @@ def near_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"):
     order = spark.sparkContext.broadcast(heavy_shingles(seen, bits))
     met = stash(texts.select("text").mapInArrow(_post(bits, seed, order), "bucket int, entries binary")
                 .groupBy("bucket").applyInArrow(_lists(bits), MET), "met")
+    order.destroy()
     entries = met.where("shingle is not null").select("shingle", "cls", "size", "extra")
     lists = stash(entries.groupBy("cls").agg(F.count("*").alias("lists")), "lists")
     close = _close_pairs(met, lists)
@@ -475,16 +498,18 @@ def near_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"):
         stars = stash(stars.distinct(), "stars")
         tried.append(stars)
         links.append(stash(_links(stars, sets), "links"))
-        labels = components(_union(links))
+        # classes and leaders are a step apart: labels need not be exact to go on
+        labels = components(links[-1], start=labels, rounds=STAR_ROUNDS)
         if links[-1].count() <= LEAST_YIELD * stars.count():
             break
     tried = _union(tried)
     links.append(stash(_links(_apart(close, labels).join(tried, ["a", "b"], "left_anti"), sets), "links"))
-    told = _split(told, components(_union(links)))
+    labels = components(_union(links), start=labels)
+    told = _split(told, labels)
     tried = tried.unionByName(close.select("a", "b"))
     pairs = stash(_pairs(told).join(tried, ["a", "b"], "left_anti"), "pairs")
     links.append(stash(_links(pairs, sets), "links"))
-    return members, classes, _union(links)
+    return Links(members, classes, _union(links), labels, seed)
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -494,55 +519,75 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _joined(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, int]:
+    """The result of ``ngram_join``, and the seed of its class ids."""
+    with short_plans(docs.sparkSession):
+        found = near_links(docs, doc_id, text)
+        # components go by classes, which have no null; then by their smallest id
+        labels = components(found.links, start=found.labels)
+        placed = found.classes.join(labels, found.classes["cls"] == labels["node"], "left").select(
+            "cls", "n", "first", F.coalesce("label", "cls").alias("label"))
+        placed = stash(placed, "placed")
+        smallest = placed.groupBy("label").agg(F.min("first").alias("component_id"))
+        named = stash(placed.join(smallest, "label").select("cls", "n", "component_id", "label"), "named")
+        total = found.members.count()
+    met = join_skewed(found.members.where("size > 0").select("doc_id", "size", "cls"), named, "cls", "n", total)
+    alone = found.members.where("size = 0").select(
+        "doc_id", "size", "cls", F.lit(1).cast("long").alias("n"), F.col("doc_id").alias("component_id"),
+        F.lit(None).cast("long").alias("label"))
+    return met.unionByName(alone).select(
+        "doc_id", F.col("size").alias("n_shingles"), F.col("cls").alias("class_id"), "component_id",
+        F.col("label").alias("group_id")), found.seed
+
+
 def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, class_id, component_id.
+    """One row per document: doc_id, n_shingles, class_id, component_id,
+    group_id.
 
     ``component_id`` is the smallest doc_id that links reach.  Null text,
     empty text and text without words have no shingles and no links.  Equal
-    sets are linked; repeated rows too.  Among null ids and others, the
-    smallest id that is not null names the component; a component of null ids
-    only has a null name.  Columns but the two named ones are not read; an
-    empty table gives no rows."""
-    members, classes, links = near_links(docs, doc_id, text)
-    first = classes.select(F.col("cls"), F.col("first"))
-    # Components go by the classes' first documents, so labels are doc_ids.
-    edges = (links.join(first.select(F.col("cls").alias("a"), F.col("first").alias("fa")), "a")
-             .join(first.select(F.col("cls").alias("b"), F.col("first").alias("fb")), "b")
-             .select(F.col("fa").alias("a"), F.col("fb").alias("b")))
-    labels = components(edges)
-    named = stash(classes.join(labels, classes["first"] == labels["node"], "left")
-                  .select("cls", "n", F.coalesce("label", "first").alias("component_id")), "named")
-    total = members.count()
-    met = join_skewed(members.where("size > 0").select("doc_id", "size", "cls"), named, "cls", "n", total)
-    alone = members.where("size = 0").select(
-        "doc_id", "size", "cls", F.lit(1).cast("long").alias("n"), F.col("doc_id").alias("component_id"))
-    return met.unionByName(alone).select(
-        "doc_id", F.col("size").alias("n_shingles"), F.col("cls").alias("class_id"), "component_id")
+    sets are linked; repeated rows too.  Links go by sets, so documents with a
+    null id link like others and a repeated id does not join its rows: among
+    null ids and others, the smallest id that is not null names the component; a
+    component of null ids only has a null name.  ``group_id`` tells components
+    apart whatever their ids, null for documents without shingles.  Columns but
+    the two named ones are not read; an empty table gives no rows."""
+    return _joined(docs, doc_id, text)[0]
+
+
+def _class_ids(seed: int):
+    """Column function: the class id of a text, null without shingles."""
+    @F.arrow_udf("long")
+    def class_id(texts: pa.Array) -> pa.Array:
+        return pa.array([set_class(s, seed)[0] if len(s) else None for s in text_sets(text_bytes(texts))], pa.int64())
+    return class_id
 
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, unchanged: of each component the one
-    with the smallest doc_id, and all documents without shingles.  Rows that
-    repeat its id are copies too; one of them stays.  Rows with a null id stay.
-    Other cases as in ``ngram_join``.  Only documents of components of more than one row, and few
-    others that a Bloom filter lets through, are shuffled with their texts."""
-    spark = docs.sparkSession
-    found = stash(ngram_join(docs, doc_id, text), "joined")
-    sizes = found.where("n_shingles > 0").groupBy("component_id").agg(F.count("*").alias("n"))
-    sizes = stash(sizes.where("n > 1"), "sizes")
-    total = found.count()
-    near = stash(join_skewed(found.where("n_shingles > 0").select("doc_id", "component_id"),
-                             sizes, "component_id", "n", total)
-                 .select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("stays")), "near")
-    bits = set_bits(near.select("doc_id"), filter_bits(near.count()))
-    maybe = tester(spark, bits)
+    """The rows of ``docs`` that stay, unchanged: of each component one row of
+    the smallest doc_id (null ids last, then by class id), and all documents
+    without shingles.  Rows are told apart by id and set, so another text under
+    a repeated id is a document of its own.  Other cases as in ``ngram_join``.
+    Only documents of components of more than one row, and few others that a
+    Bloom filter of ids lets through, are shuffled with their texts."""
+    found, seed = _joined(docs, doc_id, text)
+    found = stash(found, "joined")
+    linked = found.where("group_id is not null").select("doc_id", F.col("class_id").alias("cls"), "group_id")
+    keeper = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "cls")).alias("keep")
+    sizes = stash(linked.groupBy("group_id").agg(F.count("*").alias("n"), keeper).where("n > 1"), "sizes")
+    near = stash(join_skewed(linked, sizes, "group_id", "n", found.count())
+                 .select("doc_id", "cls", "group_id", (F.col("doc_id").eqNullSafe(F.col("keep.doc_id"))
+                                                       & (F.col("cls") == F.col("keep.cls"))).alias("stays")), "near")
+    asked_ids = near.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"))
+    maybe = tester(docs.sparkSession, set_bits(asked_ids, filter_bits(near.count())))
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    held = docs.select(F.col(doc_id).cast("long").alias("_id"), whole.alias("_row"))
+    held = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"), whole.alias("_row"))
     held = held.withColumn("_maybe", maybe(F.coalesce("_id", F.lit(0))))
-    stays = near.where("stays").select(F.col("doc_id").alias("_id")).distinct()
-    asked = held.where("_maybe")
-    chosen = asked.join(stays, "_id").groupBy("_id").agg(F.first("_row").alias("_row"))
-    others = asked.join(near.select(F.col("doc_id").alias("_id")), "_id", "left_anti")
+    asked = held.where("_maybe").withColumn("_cls", _class_ids(seed)("_text")).select("_id", "_cls", "_row")
+    same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_cls") == F.col("cls"))
+    chosen = (asked.join(near.where("stays").select("doc_id", "cls").distinct(), same)
+              .groupBy("_id", "_cls").agg(F.first("_row").alias("_row")))
+    others = asked.join(near.select("doc_id", "cls"), same, "left_anti")
     return (held.where("not _maybe").select("_row.*").unionByName(chosen.select("_row.*"))
             .unionByName(others.select("_row.*")))
 

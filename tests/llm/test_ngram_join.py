@@ -119,3 +119,52 @@ def test_one_of_each_group_stays(docs_of):
 
 def test_empty_table(docs_of):
     assert N.ngram_join(docs_of([])).count() == 0 and N.drop_near_copies(docs_of([])).count() == 0
+
+
+def test_a_repeated_id_does_not_join_texts(docs_of):
+    """(2, other) is a document of its own, whatever else has its id."""
+    rng = random.Random(3)
+    t, other = " ".join(prose(rng, 40)), " ".join(prose(rng, 40))
+    rows = [(1, t), (2, t), (2, other), (5, altered(rng, other, 1)), (5, altered(rng, other, 1)), (7, t), (2, "x y")]
+    kept = Counter((r["doc_id"], r["text"]) for r in N.drop_near_copies(docs_of(rows)).collect())
+    assert kept == Counter([(1, t), (2, other), (2, "x y")])
+
+
+def test_linked_null_ids(docs_of):
+    """x and y meet only over a document without an id."""
+    words_ = prose(random.Random(5), 100)
+    m = " ".join(words_)
+    x, y = " ".join(["q"] * 6 + words_[6:]), " ".join(words_[:-7] + ["z"] * 7)
+    rows = [(None, m), (10, x), (11, y), (None, "a b c d e f g"), (None, "a b c d e f g")]
+    assert found(N.ngram_join(docs_of(rows))) == brute(rows)
+    assert {r[2] for r in brute(rows)[:2]} == {10}
+    kept = Counter((r["doc_id"], r["text"]) for r in N.drop_near_copies(docs_of(rows)).collect())
+    assert kept == Counter([(10, x), (None, "a b c d e f g")])
+
+
+@pytest.mark.parametrize("band", range(len(N.RATIOS)))
+def test_no_pair_needs_less_than_the_floor(spark, band):
+    """For all sizes to 5,000 and both kinds of prefixes."""
+    most, ratio = 5000, N.RATIOS[band]
+    n = np.arange(1, most + 1)
+    whole = -(-N.PERCENT * n // 100)
+    base = np.minimum(1 + n // N.BASE_EXTRA, whole)
+    frame = spark.range(1, most + 1).selectExpr("id as size", "ceil(id * 75 / 100) as w").selectExpr(
+        "size", "w", f"least(1 + floor(size / {N.BASE_EXTRA}), w) as b")
+    floors = {}
+    for name, both in (("b", False), ("w", False), ("w", True)):
+        rows = frame.selectExpr("size", f"{name} as extra").select("size", N._need_floor(ratio, both).alias("f"))
+        floors[name, both] = np.array([r["f"] for r in rows.orderBy("size").collect()])
+
+    def need(s, e, s2, e2):
+        overlap = -(-(s + s2) * N.PERCENT // (100 + N.PERCENT))
+        left = np.maximum(-(-N.PERCENT * s // 100) - e, -(-N.PERCENT * s2 // 100) - e2)
+        return np.maximum(np.minimum(e, e2), overlap - left)
+
+    for s in range(1, most + 1):
+        near = n[(np.maximum(n, s) / np.minimum(n, s) <= ratio) & (np.minimum(n, s) * 100 >= np.maximum(n, s) * N.PERCENT)]
+        b, w = base[s - 1], whole[s - 1]
+        partner_b, partner_w = base[near - 1], whole[near - 1]
+        assert floors["b", False][s - 1] <= min(need(s, b, near, partner_b).min(), need(s, b, near, partner_w).min())
+        assert floors["w", False][s - 1] <= need(s, w, near, partner_b).min()
+        assert floors["w", True][s - 1] <= need(s, w, near, partner_w).min()
