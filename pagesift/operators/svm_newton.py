@@ -96,7 +96,7 @@ def _rows(batch: pa.RecordBatch, dim: int, k: int) -> Iterator[tuple[np.ndarray,
         yield f[part], np.where(label[part] == 1, 1.0, -1.0), w[part]
 
 
-def _summed(examples: DataFrame, run, groups: int, merge=np.add) -> dict[int, np.ndarray]:
+def summed(examples: DataFrame, run, groups: int, merge=np.add) -> dict[int, np.ndarray]:
     """{model: sums} of what ``run`` yields as (model, sums binary) in every
     partition, merged by ``groups`` of partitions first if there are several."""
     schema = "model int, sums binary"
@@ -108,7 +108,7 @@ def _summed(examples: DataFrame, run, groups: int, merge=np.add) -> dict[int, np
             total = part if total is None else merge(total, part)
         return pa.table({"model": table["model"][:1], "sums": pa.array([total.tobytes()], pa.binary())})
 
-    parts = examples.select("label", "f", "w").mapInArrow(run, schema)
+    parts = examples.mapInArrow(run, schema)
     if groups > 1:
         parts = (parts.withColumn("part", F.spark_partition_id() % groups).groupBy("model", "part")
                  .applyInArrow(lambda key, t: merged(t.select(["model", "sums"])), schema)
@@ -137,7 +137,8 @@ def ranges(examples: DataFrame, dim: int, k: int) -> list[np.ndarray]:
                         out[i] = np.maximum(out[i], [(-mine).max(0), mine.max(0)])
         yield pa.RecordBatch.from_pydict({"model": pa.array(range(k), pa.int32()),
                                           "sums": pa.array([o.tobytes() for o in out], pa.binary())})
-    found = _summed(examples, run, partition_groups(examples), np.maximum)
+    examples = examples.select("label", "f", "w")
+    found = summed(examples, run, partition_groups(examples), np.maximum)
     out = []
     for i in range(k):
         low, high = found[i].reshape(2, dim) if i in found else np.full((2, dim), -np.inf)
@@ -160,8 +161,9 @@ def fit_all(examples: DataFrame, maps: list, dim: int, c: float = 1.0) -> list[F
         if any_:
             yield pa.RecordBatch.from_pydict({"model": pa.array([0], pa.int32()),
                                               "sums": pa.array([total.tobytes()], pa.binary())})
+    examples = examples.select("label", "f", "w")
     merging = partition_groups(examples)
-    n = _summed(examples, weights, merging).get(0, np.zeros(k))
+    n = summed(examples, weights, merging).get(0, np.zeros(k))
     width = maps[0].width + 1 if k else 0
     penalty = np.full(width, 1.0)
     penalty[-1] = 0.0
@@ -172,7 +174,7 @@ def fit_all(examples: DataFrame, maps: list, dim: int, c: float = 1.0) -> list[F
         groups.setdefault(m.key, []).append(i)
     while any(not r.done for r in runs) and max(passes) < MOST_PASSES:
         asked = {i: (r.trial, STAGES[r.stage][0]) for i, r in enumerate(runs) if not r.done}
-        for i, sums in _summed(examples, _evaluate(maps, groups, asked, dim, k, width), merging).items():
+        for i, sums in summed(examples, _evaluate(maps, groups, asked, dim, k, width), merging).items():
             passes[i] += 1
             point, scale = asked[i][0], 1.0 / (c * n[i])
             loss = sums[0] / n[i] + scale * (penalty * point * point).sum() / 2

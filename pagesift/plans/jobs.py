@@ -14,9 +14,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagesift.operators.ablation import ablation, subsets_of
 from pagesift.operators.blocks import block_labels, extract_article, with_gold_predictions
 from pagesift.operators.evaluate import eval_report, evaluate
 from pagesift.operators.features import (INDICATIVE_TOKENS, RELATIVE_POSITION, SHALLOW_TEXT,
+                                         SHALLOW_TEXT_FEATURES,
                                          feature_dim, feature_vectors, training_examples,
                                          unique_examples)
 from pagesift.operators.curve import score_curve
@@ -221,6 +223,37 @@ def block_cv(pages: DataFrame, folds: int = 10, spec: Sequence = (SHALLOW_TEXT,)
     return scored.groupBy("fold").agg(_SCORES[scoring]().alias(scoring))
 
 
+def ablation_examples(pages: DataFrame, k: int = 5, spec: Sequence = FULL_SPEC, limit: int = 0):
+    """(written examples (fold, label, f), number of columns, subsets of columns
+    for each round) for ``operators.ablation``: the columns of all extractors of
+    ``spec``, indicative tokens once each whichever rounds have learned them."""
+    folded = kfold_assign(sample_docs(stored(pages), limit), k)
+    variants = _variants(folded, tuple(spec), k)
+    tokens = list(dict.fromkeys(t for learned, _ in variants for t in learned or ()))
+    plain = tuple(item for item in spec if not isinstance(item, tuple))
+    full = plain + (((INDICATIVE_TOKENS, len(tokens)),) if tokens else ())
+    rows = training_examples(feature_vectors(folded, full, tokens), ("page_id", "fold")).select("fold", "label", "f")
+    subsets: list = [None] * k
+    for learned, rounds in variants:
+        groups, features, at = {}, {}, 0
+        for name in plain:
+            width = feature_dim((name,))
+            groups[name] = range(at, at + width)
+            named = SHALLOW_TEXT_FEATURES if name == SHALLOW_TEXT else [name] * width
+            features.update({n: at + i for i, n in enumerate(named)})
+            at += width
+        if learned:
+            groups[INDICATIVE_TOKENS] = [at + tokens.index(t) for t in learned]
+        for i in rounds:
+            subsets[i] = subsets_of(groups, features)
+    return stored(rows, "examples"), feature_dim(full), subsets
+
+
+def feature_ablation(pages: DataFrame, k: int = 5, spec: Sequence = FULL_SPEC, limit: int = 0) -> DataFrame:
+    """M9: every join of extractors, and all columns but one, under K-fold CV."""
+    return ablation(*ablation_examples(pages, k, spec, limit))
+
+
 def evaluate_external(predictions: DataFrame, pages: DataFrame, lcs: bool = True,
                       round_col: str | None = None) -> DataFrame:
     """Score a text-predicting extractor.  ``predictions`` holds

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pagesift.functions.text import (anchor_text, css_tokens, normalize_text,
                                      remove_markers, strip_xml_decl, token_bag)
 from pagesift.operators import nb as nbm
+from pagesift.operators.ablation import fold_moments, moments_table
 from pagesift.operators.blocks import extract_article, with_gold_predictions
 from pagesift.operators.evaluate import (diagnostics, eval_lcs, eval_report, eval_tokens,
                                          lcs_inclusion)
@@ -23,6 +24,7 @@ from pagesift.operators.features import (INDICATIVE_TOKENS, RELATIVE_POSITION,
                                          feature_dim, feature_vectors,
                                          relative_position, training_examples,
                                          unique_examples)
+from pagesift.operators.nb_updates import NBState
 from pagesift.operators.scale import scale, scaler_factors, scaler_fit
 from pagesift.operators.svm import FourierMap, SVMModel, svm_predict_blocks
 from pagesift.operators.split import holdout_split, kfold_assign, sample_docs
@@ -32,6 +34,7 @@ from pagesift.session import tune
 from pagesift.sources.corpus import load_pairs, pages_without_gold, read_table
 from pagesift.sources.sinks import libsvm_lines
 from pagesift.sources.files import decode_bytes, gold_from_spans
+from pagesift.sources.tables import fresh_path
 
 K_FOLDS = 5
 HOLDOUT_RATIO = 0.7
@@ -487,6 +490,42 @@ def q_resub_curve(spark, sf):
     return c.select("x", _r(F.col("y")).alias("y"))
 
 
+def q_feature_moments(spark, sf):
+    """M9: the sums that the ablation solves from, over scaled columns."""
+    folded = kfold_assign(jobs.stored(_pages(spark, sf)), K_FOLDS)
+    ex = jobs.stored(training_examples(feature_vectors(folded, _SCALE_SPEC), ("page_id", "fold")), "examples")
+    dim = feature_dim(_SCALE_SPEC)
+    found = moments_table(spark, fold_moments(scale(ex, scaler_fit(ex, dim)), dim))
+    return found.withColumn("mean", _r(F.col("mean")))
+
+
+def q_feature_ablation(spark, sf):
+    return jobs.feature_ablation(_pages(spark, sf), K_FOLDS, IND_SPEC)
+
+
+def page_changes(pages: DataFrame) -> list[DataFrame]:
+    """Deliveries of versions of the pages: all as they are; then every third
+    one with its odd blocks only; then every fifth one withdrawn, together with
+    what is stale or was delivered before."""
+    versioned = pages.withColumn("version", F.lit(1))
+    changed = pages.where("page_id % 3 = 0").withColumn("version", F.lit(2)).withColumn(
+        "blocks", F.filter("blocks", lambda b: b["pos"] % 2 == 1))
+    none = F.lit(None).cast(pages.schema["blocks"].dataType)
+    gone = pages.where("page_id % 5 = 1").withColumn("version", F.lit(3)).withColumn("blocks", none)
+    stale = pages.where("page_id % 2 = 0").withColumn("version", F.lit(0))
+    return [versioned, changed, gone.unionByName(stale).unionByName(changed)]
+
+
+def q_nb_incremental(spark, sf):
+    """A3/M3: the model after updates, from signed deltas."""
+    pages = jobs.stored(_text_pages(spark, sf))
+    state = NBState(spark, fresh_path(spark, "nb-state"))
+    for changes in page_changes(pages):
+        state.update(changes)
+    return state.model().table.select("token", *[_r(F.col(c)).alias(c) for c in
+                                                 ("pos_cnt", "neg_cnt", "pos_prob", "neg_prob")])
+
+
 # Fixed numbers in place of fitted ones: what a model computes from them is
 # checked against SQL.
 FIXED_MAP = [[((7 * j + i) % 5 - 2) / 2 for i in range(7)] for j in range(4)]
@@ -586,6 +625,9 @@ _REGISTRY = {
     "block_cv": q_block_cv,
     "block_cv_summary": q_block_cv_summary,
     "stream_extract": q_stream_extract,
+    "feature_moments": q_feature_moments,
+    "feature_ablation": q_feature_ablation,
+    "nb_incremental": q_nb_incremental,
 }
 
 
