@@ -37,34 +37,38 @@ CHUNK_IDS = 500_000        # of texts decoded in one query
 MEMORY = "350MB"
 ID = np.dtype("<u4")
 
-# Rows carry the rank of the pair that begins at them; null: none.
+# A row's key k is its word's number and its position, 32 bits each; it carries
+# the rank of the pair that begins at it, null if there is none.
 _SHORT = """
 with recursive step as (
-  select s.w, s.p, s.tok, m.rank, 0 as turn
-  from (select *, tok::bigint << 32 | lead(tok) over (partition by w order by p) as pair from start) s
+  select s.k, s.tok, m.rank, 0 as turn
+  from (select k, tok, case when lead(k) over o >> 32 = k >> 32 then tok::bigint << 32 | lead(tok) over o end as pair
+        from start window o as (order by k)) s
   left join merges m using (pair)
   union all
-  (with seen as (
-     select *, min(rank::bigint << 32 | p) over (partition by w) as best,
-            lag(rank::bigint << 32 | p) over o as before, lead(rank::bigint << 32 | p) over o as next,
-            lead(tok, 2) over o as after, lead(rank) over o as merged
-     from step window o as (partition by w order by p)),
+  (with low as (
+     select k >> 32 as w, min(rank::bigint << 32 | (k & 4294967295)) as low
+     from step where rank is not null group by all),
+   seen as (
+     select k, tok, rank, turn, low >> 32 as best, w << 32 | (low & 4294967295) as spot, lag(k) over o as before,
+            lead(k) over o as next, lead(k, 2) over o as second, lead(tok, 2) over o as after
+     from step join low on step.k >> 32 = w window o as (order by k)),
    cut as (
-     select w, p, turn + 1 as turn, case when (rank::bigint << 32 | p) = best then rank else tok end as tok,
-            case when (rank::bigint << 32 | p) = best then rank::bigint << 32 | after
-                 when next = best then tok::bigint << 32 | merged end as pair,
-            case when (rank::bigint << 32 | p) is distinct from best and next is distinct from best
-                 then rank end as rank
-     from seen where best is not null and before is distinct from best)
-   select w, p, tok, coalesce(cut.rank, m.rank) as rank, turn
+     select k, turn + 1 as turn, case when k = spot then best else tok end as tok,
+            case when k = spot and second >> 32 = k >> 32 then best << 32 | after
+                 when next = spot and next >> 32 = k >> 32 then tok::bigint << 32 | best end as pair,
+            case when k <> spot and next is distinct from spot then rank end as rank
+     from seen where before is distinct from spot)
+   select k, tok::integer as tok, coalesce(cut.rank, m.rank) as rank, turn
    from cut left join merges m on cut.pair = m.pair)
 )
-select w, p, tok, rank, turn from step
+select k, tok, rank, turn from step
 """
 _LONG = """
 with recursive step as (
   select s.w, s.p, s.tok, m.rank, 0 as turn
-  from (select *, tok::bigint << 32 | lead(tok) over (partition by w order by p) as pair from start) s
+  from (select k >> 32 as w, k & 4294967295 as p, tok,
+               tok::bigint << 32 | lead(tok) over (partition by k >> 32 order by k) as pair from start) s
   left join merges m using (pair)
   union all
   (with seen as (
@@ -93,7 +97,7 @@ with recursive step as (
      select *, tok::bigint << 32 | lead(tok) over (partition by w order by p) as pair from cut)
    select w, p, tok, m.rank, turn from paired left join merges m using (pair))
 )
-select w, p, tok, rank, turn from step
+select w << 32 | p as k, tok, rank, turn from step
 """
 _DECODE = """
 select text, string_agg(bytes, '' order by place) as bytes
@@ -162,29 +166,29 @@ class ByteBPE:
     def _contract(self, words: list[bytes]) -> list[bytes]:
         """Ids of ``words``, all short ones or all long ones."""
         sizes = np.array([len(x) for x in words])
-        w = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
-        p = np.arange(len(w)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        w = np.repeat(np.arange(len(words)), sizes)
+        k = w << 32 | (np.arange(len(w)) - np.repeat(np.cumsum(sizes) - sizes, sizes))
         tok = self.byte_id[np.frombuffer(b"".join(words), np.uint8)]
         done = []
-        while len(w):
-            start = pa.table({"w": w, "p": pa.array(p, pa.int32()), "tok": tok})
+        while len(k):
+            start = pa.table({"k": k, "tok": tok})
             if sizes.max() <= SHORT_WORD:
                 rows = self._rows(_SHORT, "start", start)
             else:
-                rows = self._rows(_LONG, "start", start, {"turns": max(TURN_ROWS // len(w), 1)})
-            w, p, tok, turn = (rows[c].to_numpy() for c in ("w", "p", "tok", "turn"))
-            last = np.full(len(words), -1, np.int32)
+                rows = self._rows(_LONG, "start", start, {"turns": max(TURN_ROWS // len(k), 1)})
+            k, tok, turn = (rows[c].to_numpy() for c in ("k", "tok", "turn"))
+            w = k >> 32
+            last = np.full(len(words), -1, turn.dtype)
             np.maximum.at(last, w, turn)
             end = turn == last[w]
-            open_ = np.zeros(len(words), bool)
-            open_[w[end & ~rows["rank"].is_null().to_numpy()]] = True
-            more = end & open_[w]
-            done.append([x[end & ~more] for x in (w, p, tok)])
-            w, p, tok = w[more], p[more], tok[more]
-        w, p, tok = (np.concatenate(x) for x in zip(*done))
-        order = np.lexsort((p, w))
-        ids = tok[order].astype(ID)
-        return [x.tobytes() for x in np.split(ids, np.cumsum(np.bincount(w, minlength=len(words)))[:-1])]
+            unfinished = np.zeros(len(words), bool)
+            unfinished[w[end & ~rows["rank"].is_null().to_numpy()]] = True
+            more = end & unfinished[w]
+            done.append([x[end & ~more] for x in (k, tok)])
+            k, tok = k[more], tok[more]
+        k, tok = (np.concatenate(x) for x in zip(*done))
+        ids = tok[np.argsort(k)].astype(ID)
+        return [x.tobytes() for x in np.split(ids, np.cumsum(np.bincount(k >> 32, minlength=len(words)))[:-1])]
 
     def _learn(self, words: Iterable[str]) -> None:
         """Ids of new pre-tokens: entries as they are, others by contraction."""
