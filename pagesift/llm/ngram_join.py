@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from pagesift.llm.bits import filter_bits, has_bits, set_bits, tester
 from pagesift.llm.common import (U64, batch_words, components, join_skewed, mix, pieces,
-                                 read_table, shingle_hashes, short_plans, shuffle_partitions, stash, text_bytes)
+                                 read_table, shingle_hashes, short_plans, shuffle_partitions, stash, text_bytes,
+                                 trimmed)
 
 WIDTH = 5
 PERCENT = 75
@@ -42,7 +43,7 @@ LEADERS = 4                # of a list in a round, and that a class tries
 BLUR = 0.2                 # of the order of leaders, for other ones each round
 LEAST_YIELD = 0.02         # links of a round for each pair it tried, else it is the last
 RATIOS = (1.007, 1.02, 1.06, 1.15, 1.34)  # bands of two sizes' ratio; the last holds all that fit
-BLOCK_SHINGLES = 1 << 21   # that a task gathers before it passes them on
+BLOCK_SHINGLES = 1 << 20   # that a task gathers before it passes them on
 # A shingle's 48 bits after those of its bucket, in two fields.
 ENTRY = np.dtype([("high", "<u4"), ("low", "<u2"), ("cls", "<i8"), ("size", "<u4"), ("extra", "<u4")])
 
@@ -282,7 +283,7 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     x = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x"))
     y = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y"))
     return (pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
-            .mapInArrow(_linked, "a long, b long"))
+            .mapInArrow(trimmed(_linked), "a long, b long"))
 
 
 def _fits(a: str, b: str):
@@ -308,7 +309,7 @@ def _sets(texts: DataFrame, wanted: DataFrame, classes: DataFrame, seed: int) ->
                    "wanted")
     chosen = texts.sparkSession.sparkContext.broadcast(
         set_bits(wanted.select("first"), filter_bits(wanted.count())))
-    sets = stash(texts.mapInArrow(_chosen_sets(seed, chosen), "cls long, shingles binary")
+    sets = stash(texts.mapInArrow(trimmed(_chosen_sets(seed, chosen)), "cls long, shingles binary")
                  .join(wanted.select("cls"), "cls", "left_semi")
                  .groupBy("cls").agg(F.first("shingles").alias("shingles")), "sets")
     chosen.destroy()
@@ -470,7 +471,7 @@ def near_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> L
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     seed = 0
     while True:
-        seen = stash(texts.mapInArrow(_survey(bits, seed), SEEN), "seen")
+        seen = stash(texts.mapInArrow(trimmed(_survey(bits, seed)), SEEN), "seen")
         members = seen.where("bucket is null").select("doc_id", "size", "cls", "twin")
         classes = stash(members.where("size > 0").groupBy("cls").agg(
             F.min("doc_id").alias("first"), F.count("*").alias("n"),
@@ -479,7 +480,7 @@ def near_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> L
             break
         seed += 1  # two sets got one class id: choose other ids
     order = spark.sparkContext.broadcast(heavy_shingles(seen, bits))
-    met = stash(texts.select("text").mapInArrow(_post(bits, seed, order), "bucket int, entries binary")
+    met = stash(texts.select("text").mapInArrow(trimmed(_post(bits, seed, order)), "bucket int, entries binary")
                 .groupBy("bucket").applyInArrow(_lists(bits), MET), "met")
     order.destroy()
     entries = met.where("shingle is not null").select("shingle", "cls", "size", "extra")
