@@ -29,7 +29,11 @@ def _distinct_counts(df: DataFrame, col: str) -> DataFrame:
 def score_summary(df: DataFrame, col: str = "f1") -> DataFrame:
     """``n``, ``mean`` and ``median`` (mean of the two middle values for
     an even count) of the non-NULL scores in ``col``; NULL without any."""
-    counts = _distinct_counts(df, col)
+    return summary_of_counts(_distinct_counts(df, col))
+
+
+def summary_of_counts(counts: DataFrame) -> DataFrame:
+    """``score_summary`` of distinct scores ``v`` with their numbers ``c``."""
     middle = keys_at(counts, F.col("v"), lambda n: [(n - 1) // 2, n // 2], weight=F.col("c")).get(None, {})
     values = [middle[min(middle)], middle[max(middle)]] if middle else [None, None]
     return counts.agg(
@@ -41,7 +45,12 @@ def score_summary(df: DataFrame, col: str = "f1") -> DataFrame:
 def score_curve(df: DataFrame, col: str = "f1") -> DataFrame:
     """For each distinct score ``y`` (descending), ``x`` = number of
     documents scoring at least ``y``."""
-    cum = with_prefix_sum(_distinct_counts(df, col), [F.col("v").desc()], "c", "x")
+    return curve_of_counts(_distinct_counts(df, col))
+
+
+def curve_of_counts(counts: DataFrame) -> DataFrame:
+    """``score_curve`` of distinct scores ``v`` with their numbers ``c``."""
+    cum = with_prefix_sum(counts, [F.col("v").desc()], "c", "x")
     return cum.select(F.col("x").cast("bigint").alias("x"), F.col("v").alias("y"))
 
 

@@ -15,7 +15,7 @@ from pagesift.functions.text import (anchor_text, css_tokens, normalize_text,
                                      remove_markers, strip_xml_decl, token_bag)
 from pagesift.operators import nb as nbm
 from pagesift.operators.ablation import fold_moments, moments_table
-from pagesift.operators.blocks import extract_article, with_gold_predictions
+from pagesift.operators.blocks import block_labels, extract_article, with_gold_predictions
 from pagesift.operators.evaluate import (diagnostics, eval_lcs, eval_report, eval_tokens,
                                          lcs_inclusion)
 from pagesift.operators.features import (INDICATIVE_TOKENS, RELATIVE_POSITION,
@@ -25,13 +25,14 @@ from pagesift.operators.features import (INDICATIVE_TOKENS, RELATIVE_POSITION,
                                          relative_position, training_examples,
                                          unique_examples)
 from pagesift.operators.nb_updates import NBState
+from pagesift.operators.observed import stored_with_diagnostics
 from pagesift.operators.scale import scale, scaler_factors, scaler_fit
 from pagesift.operators.svm import FourierMap, SVMModel, svm_predict_blocks
 from pagesift.operators.split import holdout_split, kfold_assign, sample_docs
 from pagesift.operators.curve import score_curve, score_summary, cv_summary
 from pagesift.plans import jobs
 from pagesift.session import tune
-from pagesift.sources.corpus import load_pairs, pages_without_gold, read_table
+from pagesift.sources.corpus import gold_key, load_pairs, pages_without_gold, read_table
 from pagesift.sources.sinks import libsvm_lines
 from pagesift.sources.files import decode_bytes, gold_from_spans
 from pagesift.sources.tables import fresh_path
@@ -542,6 +543,67 @@ def q_svm_decision(spark, sf):
     return _long(svm_predict_blocks(pages, model), "pos", "prediction")
 
 
+def q_svm_saved(spark, sf):
+    """2.9: the model of ``svm_decision``, saved and loaded as a stage."""
+    from pagesift.operators.content_classifier import ContentClassifierModel
+    pages = jobs.stored(_pages(spark, sf))
+    scaler = scaler_fit(training_examples(feature_vectors(pages, (SHALLOW_TEXT,))), 7)
+    svm = SVMModel(scaler, FourierMap(np.array(FIXED_MAP), np.array(FIXED_OFFSETS)),
+                   np.array(FIXED_COEFFICIENTS), FIXED_INTERCEPT)
+    path = fresh_path(spark, "content-model")
+    ContentClassifierModel(jobs.ContentModel((SHALLOW_TEXT,), None, svm)).write().save(path)
+    return _long(ContentClassifierModel.load(path).transform(pages), "pos", "prediction")
+
+
+def q_block_table(spark, sf):
+    """P5 as a table function under a lateral join."""
+    from pagesift.functions.block_table import register_block_table
+    pairs = load_pairs(read_table(spark, sf, "pages"), read_table(spark, sf, "documents"))
+    return spark.sql(f"SELECT p.page_id, b.pos, b.text FROM {{pairs}} p, "
+                     f"LATERAL {register_block_table(spark)}(p.html) b", pairs=pairs.select("page_id", "html"))
+
+
+def q_observed_diagnostics(spark, sf):
+    """A18 counted while the articles are written."""
+    return stored_with_diagnostics(block_features(_gold_articles(spark, sf)))[1]
+
+
+def _streamed_scores(spark, sf):
+    """Articles of a stream of the pages, scored in five rounds."""
+    from pagesift.streaming.evaluation import EvaluationState, evaluate_stream
+    from pagesift.streaming.scoring import page_stream
+    documents = read_table(spark, sf, "documents")
+
+    def score(batch):
+        pages = block_labels(jobs.page_blocks(batch, documents))
+        return eval_tokens(jobs.gold_article(pages)).withColumn("round", (F.col("page_id") % K_FOLDS).cast("int"))
+    state = EvaluationState(spark, fresh_path(spark, "stream-eval"))
+    return evaluate_stream(page_stream(spark, f"{sf}/pages.parquet"), score, state)
+
+
+def q_stream_eval(spark, sf):
+    """A13/A14 on a stream."""
+    return _streamed_scores(spark, sf).report().select(
+        "scope", "round", "n_docs", "n_skipped", *[_r(F.col(c)).alias(c) for c in ("precision", "recall", "f1")])
+
+
+def q_stream_curve(spark, sf):
+    """A16 on a stream."""
+    return _streamed_scores(spark, sf).curve().select("x", _r(F.col("y")).alias("y"))
+
+
+def q_stream_pairs(spark, sf):
+    """J1/S1 on a stream: a page arrives in its document's minute, the gold of
+    half of the documents after the half hour that pages wait."""
+    from pagesift.streaming.pairs import run_pairs
+    from pagesift.streaming.scoring import page_stream
+    pages = page_stream(spark, f"{sf}/pages.parquet")
+    pages = pages.withColumn("arrived", F.timestamp_seconds(F.coalesce(gold_key("url"), "page_id") * 60))
+    gold = spark.readStream.schema("doc_id BIGINT, text STRING").parquet(f"{sf}/{{documents.parquet}}")
+    gold = gold.withColumn("arrived", F.timestamp_seconds(F.col("doc_id") * 60 + F.col("doc_id") % 4 * 1200))
+    return run_pairs(pages, gold).select("page_id", "doc_id", "gold", "without_gold")
+
+
 def q_stream_extract(spark, sf):
     """Pages streamed from the pages table through segmentation, a batch-fitted
     naive-Bayes model and article assembly (availableNow trigger)."""
@@ -628,6 +690,12 @@ _REGISTRY = {
     "feature_moments": q_feature_moments,
     "feature_ablation": q_feature_ablation,
     "nb_incremental": q_nb_incremental,
+    "svm_saved": q_svm_saved,
+    "block_table": q_block_table,
+    "observed_diagnostics": q_observed_diagnostics,
+    "stream_eval": q_stream_eval,
+    "stream_curve": q_stream_curve,
+    "stream_pairs": q_stream_pairs,
 }
 
 

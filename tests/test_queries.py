@@ -11,7 +11,8 @@ duckdb = pytest.importorskip("duckdb")
 FAST = ["load_pairs", "segment_blocks", "block_labels", "block_features", "css_tokens",
         "extract_article", "eval_tokens", "eval_report", "nb_model", "nb_predict",
         "scaled_features", "libsvm_lines", "score_curve", "score_summary", "kfold_assign",
-        "holdout_split", "diagnostics", "feature_vectors", "stream_extract"]
+        "holdout_split", "diagnostics", "feature_vectors", "stream_extract",
+        "svm_saved", "block_table", "observed_diagnostics", "stream_eval", "stream_curve", "stream_pairs"]
 
 
 @pytest.fixture(scope="module")
