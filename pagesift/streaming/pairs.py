@@ -16,6 +16,8 @@ from pagesift.sources.tables import fresh_path
 
 # An hour that no arrival reaches: ends a drained stream.
 END = "9000-01-01 00:00:00"
+# The key of the row that ends the gold; keys of urls have no sign.
+NO_DOCUMENT = -1
 
 
 def pair_streams(pages: DataFrame, gold: DataFrame, wait: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
@@ -39,12 +41,14 @@ def pair_streams(pages: DataFrame, gold: DataFrame, wait: str = "30 minutes", la
         "page_id", "doc_id", "html", "gold", F.col("gold_id").isNull().alias("without_gold"), "page_at")
 
 
-def with_end(stream: DataFrame) -> DataFrame:
-    """``stream`` and one empty row with arrival at ``END``, which carries the
-    watermark past all that waits when the input has been drained."""
+def with_end(stream: DataFrame, **values) -> DataFrame:
+    """``stream`` and one row with arrival at ``END``, which carries the
+    watermark past all that waits when the input has been drained.  The row is
+    NULL but for ``values``: gold needs a key there, as rows without one are
+    filtered out before the watermark sees them."""
     spark: SparkSession = stream.sparkSession
     path = fresh_path(spark, "stream-end")
-    spark.createDataFrame([(None,) * (len(stream.columns))], stream.schema).withColumn(
+    spark.createDataFrame([tuple(values.get(c) for c in stream.columns)], stream.schema).withColumn(
         "arrived", F.lit(END).cast("timestamp")).coalesce(1).write.parquet(path)
     return stream.unionByName(spark.readStream.schema(stream.schema).parquet(path))
 
@@ -54,7 +58,7 @@ def run_pairs(pages: DataFrame, gold: DataFrame, **options) -> DataFrame:
     folder and read it: every page once, paired or reported without gold."""
     spark = pages.sparkSession
     base = fresh_path(spark, "stream-pairs")
-    paired = pair_streams(with_end(pages), with_end(gold), **options)
+    paired = pair_streams(with_end(pages), with_end(gold, doc_id=NO_DOCUMENT), **options)
     query = (paired.where(F.col("page_at") < F.lit(END).cast("timestamp")).drop("page_at")
              .writeStream.format("parquet").option("path", f"{base}/data")
              .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start())
