@@ -26,7 +26,8 @@ from pagesift.llm.license_texts import TEMPLATES
 
 THRESHOLD = 0.75
 _WORD = np.array([c >= 128 or chr(c).isalnum() for c in range(256)])
-SCHEMA = "doc_id long, license_id string, start_word long, n_words long, dice double"
+NEAR_TIE = 0.02
+SCHEMA = "doc_id long, license_id string, start_word long, n_words long, dice double, or_license_id string"
 
 
 class Template(NamedTuple):
@@ -67,13 +68,20 @@ def compiled(templates: Mapping[str, str], threshold: float) -> list[Template]:
     return out
 
 
+def candidates(places: list[int], t: Template) -> Iterator[tuple[int, int]]:
+    """Where a passage may start, by the size bounds: the places with enough
+    others in reach of the largest passage, and the end of that reach."""
+    for i, start in enumerate(places):
+        stop = bisect_right(places, start + t.most - 1)
+        if stop - i >= t.shared:
+            yield i, stop
+
+
 def passages(places: list[int], grams: list[int], t: Template, threshold: float) -> Iterator[Match]:
     """For each place where a passage may start the nearest one of it;
     ``places`` are those of the text's bigrams that the template has."""
-    for i, start in enumerate(places):
-        stop = bisect_right(places, start + t.most - 1)
-        if stop - i < t.shared:
-            continue
+    for i, stop in candidates(places, t):
+        start = places[i]
         used: Counter[int] = Counter()
         shared, best = 0, None
         for k in range(i, stop):
@@ -91,8 +99,9 @@ def passages(places: list[int], grams: list[int], t: Template, threshold: float)
 
 
 def scan(hashes: np.ndarray, templates: list[Template], index: dict[int, list[int]],
-         known: np.ndarray, threshold: float) -> list[Match]:
-    """The matches in a text of word ``hashes``: best first, none over another."""
+         known: np.ndarray, threshold: float) -> list[tuple[Match, str | None]]:
+    """The matches in a text of word ``hashes``, none over another, each with the
+    nearest other template that comes within ``NEAR_TIE`` on half of its words."""
     if len(hashes) < 2:
         return []
     grams = shingle_hashes(hashes, 2)
@@ -112,13 +121,24 @@ def scan(hashes: np.ndarray, templates: list[Template], index: dict[int, list[in
         if not taken[span].any():
             taken[span] = True
             out.append(m)
-    return sorted(out, key=lambda m: m.start)
+    return [(m, _rival(m, found)) for m in sorted(out, key=lambda m: m.start)]
+
+
+def _rival(m: Match, found: list[Match]) -> str | None:
+    for other in found:  # best first
+        if other.dice < m.dice - NEAR_TIE:
+            return None
+        over = min(m.start + m.size, other.start + other.size) - max(m.start, other.start)
+        if other.name != m.name and 2 * over >= max(m.size, other.size):
+            return other.name
+    return None
 
 
 def scan_licenses(docs: DataFrame, templates: Mapping[str, str] | None = None,
                   threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per passage of two words or more that reaches ``threshold`` with
-    a template: doc_id, license_id, start_word, n_words, dice.
+    a template: doc_id, license_id, start_word, n_words, dice, or_license_id (the
+    next template if it is hardly less near, so that the passage is ambiguous).
 
     Passages of a text do not overlap: the nearest to its template goes first,
     then the longest, the first, the one of the first name.  Null and empty
@@ -141,12 +161,12 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] | None = None,
                 hashes, starts = words_of(buf)
                 cut = np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for t in texts[a:b]]))
                 for i in range(a, b):
-                    rows += [(ids[i], m.name, m.start, m.size + 1, m.dice) for m in
+                    rows += [(ids[i], m.name, m.start, m.size + 1, m.dice, rival) for m, rival in
                              scan(hashes[cut[i - a]:cut[i - a + 1]], known_templates, index, known, threshold)]
-            columns = list(zip(*rows)) if rows else [()] * 5
+            columns = list(zip(*rows)) if rows else [()] * 6
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.int64(),
-                                                          pa.int64(), pa.float64()))],
+                                                          pa.int64(), pa.float64(), pa.string()))],
                 [f.split()[0] for f in SCHEMA.split(", ")])
     return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, SCHEMA)
 

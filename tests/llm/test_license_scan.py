@@ -3,6 +3,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+
 from pagesift.llm import license_scan as S
 from pagesift.llm.license_texts import TEMPLATES
 from conftest import ODD, prose
@@ -67,3 +69,39 @@ def test_odd_rows_and_empty_table(docs_of):
     got = [(r["doc_id"], r["license_id"], r["dice"]) for r in S.scan_licenses(docs_of(rows)).collect()]
     assert sorted(got, key=str) == [(20, "ISC", 1.0), (20, "ISC", 1.0), (None, "Zlib", 1.0)]
     assert S.scan_licenses(docs_of([])).count() == 0
+
+
+def test_each_template_yields_its_own_id(docs_of):
+    names = sorted(TEMPLATES)
+    rows = [(i, f"first words here {TEMPLATES[n]} last words there") for i, n in enumerate(names)]
+    got = {}
+    for r in S.scan_licenses(docs_of(rows)).collect():
+        if r["start_word"] == 3:
+            got[names[r["doc_id"]]] = (r["license_id"], r["dice"], r["or_license_id"])
+    assert got == {n: (n, 1.0, None) for n in names}
+
+
+def test_near_ties_are_told(docs_of):
+    text = ("alpha beta gamma delta " * 3).split()
+    a, b = " ".join(text + ["one"]), " ".join(text + ["two"])
+    got = S.scan_licenses(docs_of([(1, a), (2, " ".join(text)), (3, b)]), {"A": a, "B": b}).collect()
+    assert [(r["doc_id"], r["license_id"], r["or_license_id"]) for r in got] == [
+        (1, "A", None), (2, "A", "B"), (3, "B", None)]
+
+
+def test_size_bounds_prune_long_templates():
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(60)]
+    template = " ".join(rng.choices(vocabulary, k=1001))
+    t, = S.compiled({"long": template}, S.THRESHOLD)
+    assert t.size == 1000 and (t.least, t.most, t.shared) == (600, 1666, 600)
+
+    def hits(words):
+        hashes = S.words_of(np.frombuffer(" ".join(words).encode(), np.uint8))[0]
+        grams = S.shingle_hashes(hashes, 2).tolist()
+        return [i for i, g in enumerate(grams) if g in t.bigrams]
+    other = hits(rng.choices(vocabulary, k=20_000))     # a fifth of its bigrams are the template's
+    assert len(other) > 3_000 and not list(S.candidates(other, t))
+    near = hits(rng.choices(vocabulary, k=5_000) + template.split() + rng.choices(vocabulary, k=5_000))
+    starts = [near[i] for i, _ in S.candidates(near, t)]
+    assert starts and 5_000 - t.most <= min(starts) and max(starts) < 6_001
