@@ -10,12 +10,18 @@ surrogate; such entities go to the permutation of a further key, and where
 their shape is used up to one of a wider shape, until none is left.  Only they
 are sent to the documents that hold them; all others are computed in place.
 Given names follow each other in a cycle, so none is its own surrogate.
+
+Names are found by listed given names, titles, labels and closing lines; once
+found, each part of a name is replaced wherever the text writes it again.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
+from ipaddress import AddressValueError, IPv6Address
+from itertools import count
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
@@ -30,11 +36,10 @@ from pagesift.llm.common import read_table, stash
 from pagesift.llm.name_lists import GIVEN, TITLES
 
 ROUNDS = 10           # of the Feistel network
-MOST_ATTEMPTS = 20
 OWN_SHAPE = 4         # attempts before the shape is widened, by one letter more each time
 
-EMAIL, PHONE, CARD, IP, SECRET, GIVEN_NAME, SURNAME = (
-    "email", "phone", "card", "ip", "secret", "given", "surname")
+EMAIL, PHONE, CARD, IP, IP6, IBAN, NATIONAL, SECRET, GIVEN_NAME, SURNAME = (
+    "email", "phone", "card", "ip", "ip6", "iban", "national", "secret", "given", "surname")
 
 # Letters are replaced within their group, so script, case, vowels and
 # consonants stay; other characters are kept.
@@ -81,20 +86,35 @@ class Mention(NamedTuple):
     value: str   # what all mentions of one entity have in common
 
 
-_EMAIL = re.compile(r"[A-Za-z0-9À-ÿ._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+_EMAIL = re.compile(r"[\w.%+-]+@[^\W_](?:[\w-]*\.)+[^\W\d_]{2,}")
 _NUMBER = re.compile(r"\+?\(?\d(?:[ ().-]{0,2}\d){6,}")
 # Bounded patterns inside of a run of numbers; each ends where a group of digits does.
 _CARD = re.compile(r"(?<!\d)(?:\d{13,19}|\d{4}([ .-]{1,2})\d{4}\1\d{4}\1\d{4}(\1\d{3})?"
                    r"|\d{4}([ .-]{1,2})\d{6}\3\d{4,5})(?!\d)")
 _FOURS = re.compile(r"\d{4}(?:[ .-]{1,2}\d{4})*(?!\d)")
 _LOCAL = re.compile(r"(?<!\d)\(?\d{3}\)?[ .-]?\d{3}[ .-]\d{4}(?!\d)")
+_TRUNK = re.compile(r"(?<!\d)\(?0[1-9]\d{1,3}\)?[ -](?:\d{6,8}|\d{3,4}[ -]\d{3,4})(?!\d)")  # inland, with its zero
+_SOCIAL = re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)"
+                   r"(?![A-Za-z0-9])")
+_HEXES = re.compile(r"(?<![\w:.])[0-9A-Fa-f:]{6,39}(?![\w:])")
 # Countries whose numbers have one length.
 _COUNTRY = re.compile(r"\+\(?(?:[17](?:[ ().-]{0,2}\d){10}|3[34](?:[ ().-]{0,2}\d){9}"
                       r"|(?:44|91)(?:[ ().-]{0,2}\d){10}|86(?:[ ().-]{0,2}\d){11})(?!\d)")
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _IP = re.compile(rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)")
 _SECRET = re.compile(r"(?<=[\"'])[A-Za-z0-9+/_-]{32,}(?=[\"'])")
-_NAME = re.compile(r" ([^\W\d_][^\W\d_]+(?:[-'’][^\W\d_]+)*)")
+# Published prefixes of access keys (fixed values).
+_PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "github_pat_", "xoxb-", "xoxp-", "sk-", "AIza", "glpat-")
+_PREFIX = re.compile("|".join(_PREFIXES))
+_PREFIXED = re.compile(rf"(?<![A-Za-z0-9])(?:{_PREFIX.pattern})[A-Za-z0-9_-]{{16,}}")
+_MIXED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}(?![A-Za-z0-9])")
+_WORD = re.compile(r"[^\W\d_]+(?:[-'’](?![sS]\b)[^\W\d_]+)*")
+_NAME = re.compile(r" ([^\W\d_][^\W\d_]+(?:[-'’](?![sS]\b)[^\W\d_]+)*)")
+# A name follows a label, or the closing line of a letter (fixed values).
+_LABELS = ("name:", "Name:", "NAME:", "egards", "incerely", "est wishes")
+_LABEL = re.compile(r"\b(?:(?:[Nn]ame|NAME):|(?:[Rr]egards|[Ss]incerely|[Bb]est wishes),?[ \t]*\r?\n)(?=[ \t]*)")
+_SPACES = re.compile(r"[ \t]*")
 
 
 @lru_cache(maxsize=1)
@@ -141,6 +161,80 @@ def _given(text: str, at: int) -> bool:
                 and (after := _NAME.match(text, first.end())) and after[1][0].isupper())
 
 
+def _labelled(text: str) -> Iterator[Mention]:
+    """Two or three capitalised words behind a label or a closing line."""
+    for label in _LABEL.finditer(text):
+        at, parts = _SPACES.match(text, label.end()).end(), []
+        while len(parts) < 3 and (m := _WORD.match(text, at)) and m[0][0].isupper() and len(m[0]) > 1:
+            parts.append(Mention(*m.span(), SURNAME, m[0].lower()))
+            if text[m.end():m.end() + 1] != " ":
+                break
+            at = m.end() + 1
+        if len(parts) > 1:
+            yield from parts
+
+
+def _later(text: str, found: list[Mention]) -> Iterator[Mention]:
+    """Further places of the names in ``found``: a given name as it was written, a
+    surname in capitals unless the text has the word in small letters as well."""
+    given = {text[m.start:m.end]: m.value for m in found if m.kind == GIVEN_NAME}
+    surnames = {m.value for m in found if m.kind == SURNAME}
+    if not surnames:
+        return
+    words = list(_WORD.finditer(text))
+    surnames -= {w[0] for w in words if w[0] in surnames}
+    for w in words:
+        if w[0] in given:
+            yield Mention(*w.span(), GIVEN_NAME, given[w[0]])
+        elif w[0][0].isupper() and w[0].lower() in surnames:
+            yield Mention(*w.span(), SURNAME, w[0].lower())
+
+
+def _iban_rest(body: str, country: str) -> int:
+    return int("".join(str(int(c, 36)) for c in body + country + "00")) % 97
+
+
+def _ibans(text: str) -> Iterator[Mention]:
+    """Account numbers whose check digits are right; a match may run into a word behind."""
+    for m in _IBAN.finditer(text):
+        end = m.end()
+        while end - m.start() >= 15:
+            value = text[m.start():end].replace(" ", "")
+            if (sum(c.isdigit() for c in value) > 7 and
+                    98 - _iban_rest(value[4:], value[:2]) == int(value[2:4])):
+                yield Mention(m.start(), end, IBAN, value)
+                break
+            end = text.rfind(" ", m.start(), end)
+
+
+def _addresses6(text: str) -> Iterator[Mention]:
+    for m in _HEXES.finditer(text):
+        if m[0].count(":") > 1 and any(c.isdigit() for c in m[0]):
+            try:
+                value = IPv6Address(m[0]).exploded
+            except AddressValueError:
+                continue
+            if sum(part != "0000" for part in value.split(":")) > 2:
+                yield Mention(*m.span(), IP6, value)
+
+
+def _secrets(text: str) -> Iterator[Mention]:
+    """Quoted tokens, tokens with a known prefix, long ones of small and capital
+    letters with digits."""
+    if '"' in text or "'" in text:
+        for m in _SECRET.finditer(text):
+            if any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0]):
+                yield Mention(*m.span(), SECRET, m[0])
+    for pattern in ([_PREFIXED] if any(p in text for p in _PREFIXES) else []) + [_MIXED]:
+        for m in pattern.finditer(text):
+            token = m[0]
+            if pattern is _PREFIXED and any(c.isdigit() for c in token) or (
+                    sum(c.isdigit() for c in token) > 2 and not token.islower() and not token.isupper()
+                    and sum(c.isalpha() for c in token) > 8 and "/" not in token[:1]
+                    and token.count("-") + token.count("/") + token.count("_") < 4):
+                yield Mention(*m.span(), SECRET, token)
+
+
 def luhn(digits: str) -> int:
     """The digit that completes ``digits``."""
     total = 0
@@ -154,10 +248,10 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if c.isdigit())
 
 
-def _numbers(text: str, taken: list[tuple[int, int]]) -> Iterator[Mention]:
-    """Cards and phones in the runs of numbers outside of ``taken`` (ascending)."""
+def _numbers(text: str, runs: list[re.Match], taken: list[tuple[int, int]]) -> Iterator[Mention]:
+    """Cards, phones and national numbers in the runs outside of ``taken`` (ascending)."""
     first = 0
-    for run in _NUMBER.finditer(text):
+    for run in runs:
         at = run.start()
         while first < len(taken) and taken[first][1] <= at:
             first += 1
@@ -190,7 +284,9 @@ def _cut(text: str, at: int, end: int) -> Iterator[Mention]:
                         m[1]) % 4 != 3:
                     at = m.end(1)
                     continue
-            kind, m = (CARD, m) if m else (PHONE, _LOCAL.match(text, at, end))
+            kind, m = (CARD, m) if m else (PHONE, _LOCAL.match(text, at, end) or _TRUNK.match(text, at, end))
+            if not m:
+                kind, m = NATIONAL, _SOCIAL.match(text, at, end)
             if m:
                 stop = m.end()
                 if kind == CARD and m[2] and _valid(_digits(m[0])[:16]) and not _valid(_digits(m[0])):
@@ -239,23 +335,40 @@ def _whole(text: str, start: int, end: int) -> Iterator[Mention]:
         yield Mention(start, end, CARD, digits)
 
 
+def _apart(found: list[Mention]) -> list[Mention]:
+    """The mentions in order, none over another."""
+    rank = {k: i for i, k in enumerate((EMAIL, SECRET, IBAN, IP6, IP, CARD, PHONE, NATIONAL, GIVEN_NAME, SURNAME))}
+    out: list[Mention] = []
+    for m in sorted(found, key=lambda m: (m.start, rank[m.kind], -m.end)):
+        if not out or m.start >= out[-1].end:
+            out.append(m)
+    return out
+
+
 def detect(text: str) -> list[Mention]:
     """The entities of a text, in order; none over another."""
     found: list[Mention] = []
     if "@" in text:
         found += [Mention(m.start(), m.end(), EMAIL, m[0].lower()) for m in _EMAIL.finditer(text)]
-    if '"' in text or "'" in text:
-        found += [Mention(m.start(), m.end(), SECRET, m[0]) for m in _SECRET.finditer(text)
-                  if any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])]
+    found += _secrets(text)
     found += [Mention(m.start(), m.end(), IP, m[0]) for m in _IP.finditer(text)]
-    found += _numbers(text, sorted((m.start, m.end) for m in found))
+    if text.count(":") > 2:
+        found += _addresses6(text)
+    if runs := list(_NUMBER.finditer(text)):
+        found += _ibans(text)
+        found += _numbers(text, runs, sorted((m.start, m.end) for m in found))
     found += _names(text)
-    rank = {k: i for i, k in enumerate((EMAIL, SECRET, IP, CARD, PHONE, GIVEN_NAME, SURNAME))}
-    out: list[Mention] = []
-    for m in sorted(found, key=lambda m: (m.start, rank[m.kind], -m.end)):
-        if not out or m.start >= out[-1].end:
-            out.append(m)
-    return out
+    if any(label in text for label in _LABELS):
+        found += _labelled(text)
+    found = _apart(found)
+    starts = [m.start for m in found]
+
+    def free(m: Mention) -> bool:
+        k = bisect_right(starts, m.start)
+        return (not k or found[k - 1].end <= m.start) and (k == len(found) or m.end <= starts[k])
+    if more := [m for m in _later(text, found) if free(m)]:
+        found = sorted(found + more)
+    return found
 
 
 # --- keyed permutations ------------------------------------------------------
@@ -319,6 +432,15 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
     letters, all digits, or the largest private net."""
     tweak = f"{kind}|{attempt}"
     more = max(attempt - OWN_SHAPE + 1, 0)
+    if kind == IBAN:
+        body = permute_text(value[4:], key, f"{tweak}|{value[:2]}")
+        return f"{value[:2]}{98 - _iban_rest(body, value[:2]):02d}{body}"
+    if kind == IP6:
+        x = int(IPv6Address(value))
+        low = permute_number(x & ((1 << 112) - 1), 2, 112, key, f"{tweak}|{x >> 112}")
+        return IPv6Address((x >> 112 << 112) + low).exploded
+    if kind == SECRET and not more and (known := _PREFIX.match(value)):
+        return known[0] + permute_text(value[known.end():], key, f"{tweak}|{known[0]}")
     if more and kind in (EMAIL, SECRET, SURNAME):
         name, sign, domain = value.rpartition("@") if kind == EMAIL else (value, "", "")
         new = permute_text(_longer(name, more), key, tweak, wide=True)
@@ -331,7 +453,7 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
         kept = kept or ("example" if not host else "")
         return f"{permute_text(name, key, tweak)}@{permute_text(host, key, kind)}{kept}.{top}"
     if kind == PHONE:
-        kept = 0 if more else max(len(value) - 10, 1)
+        kept = 0 if more else max(len(value) - 10, 2 if value[0] == "0" else 1)
         return value[:kept] + permute_text(value[kept:], key, f"{tweak}|{value[:kept]}")
     if kind == CARD:
         if more:
@@ -369,7 +491,13 @@ def _cycle(script: str, gender: str, key: bytes) -> dict[str, str]:
 
 def written(kind: str, text: str, value: str) -> str:
     """A surrogate value in the form of the mention that it replaces."""
-    if kind in (PHONE, CARD):
+    if kind == IBAN:
+        letters = iter(value)
+        return "".join(c if c == " " else next(letters) for c in text)
+    if kind == IP6:
+        short = value if len(text) == len(value) else str(IPv6Address(value))
+        return short.upper() if text.upper() == text else short
+    if kind in (PHONE, CARD, NATIONAL):
         digits = iter(value)
         return "".join(next(digits) if c.isdigit() else c for c in text)
     if kind == GIVEN_NAME:
@@ -416,7 +544,7 @@ def exceptions(mentions: DataFrame, key: bytes) -> DataFrame:
                               .withColumn("attempt", F.lit(0)), key), "entities")
     real = table.select("kind", F.col("value").alias("surrogate"))
     new = table
-    for attempt in range(1, MOST_ATTEMPTS + 1):
+    for attempt in count(1):  # shapes grow with every attempt, so it ends
         # What was settled before can only meet one of the new surrogates.
         hit = real if new is table else real.join(new, ["kind", "surrogate"], "left_semi")
         met = new.join(hit, ["kind", "surrogate"], "left_semi").select("kind", "value")
@@ -430,8 +558,6 @@ def exceptions(mentions: DataFrame, key: bytes) -> DataFrame:
             break
         new = stash(_surrogates(bad.withColumn("attempt", F.lit(attempt)), key), "again")
         table = stash(table.join(bad, ["kind", "value"], "left_anti").unionByName(new), "entities")
-    else:
-        raise ValueError("a shape of entities has hardly any value that is not in use")
     return table.where("attempt > 0").select("kind", "value", "attempt")
 
 
