@@ -235,7 +235,8 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, sou
 
 def in_mixed_order(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, unchanged, in the order of their mixture over the
-    partitions and inside of them."""
+    partitions and inside of them.  A column named ``mix`` is left out; others may
+    have any names; cases as in ``mix_sources``."""
     mixed = mix_sources(docs, **options)
     order = [F.col("mix.slot"), F.col("mix.before")]
     return mixed.repartitionByRange(*order).sortWithinPartitions(*order).drop("mix")

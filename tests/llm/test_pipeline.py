@@ -1,12 +1,13 @@
 """The pipeline's stages, each against brute force on its own input."""
 import random
+from collections import Counter
 
 import corpus_pipeline
 import pytest
 
 from pagesift.llm import mixing, packing, quality_fm
 from pagesift.llm.common import in_written_order, read_table, stash
-from conftest import prose
+from conftest import ODD, prose
 from test_exact_dedup import brute as exact_brute
 from test_ngram_join import brute as near_brute
 
@@ -87,3 +88,31 @@ def test_sequences_follow_the_mixture(spark, docs_of, monkeypatch):
         assert abs(tokens["a"] / sum(tokens.values()) - w["a"] / sum(w.values())) < 0.08
     off = [abs(place[p["doc_id"]] - k) for k, p in enumerate({p["doc_id"]: p for p in pieces}.values())]
     assert sum(off) / len(off) < 0.03 * len(rows)
+
+
+def test_odd_rows_and_empty_tables(spark, docs_of, sf_small):
+    """Nulls, empty and very long texts, repeated ids with equal and other texts,
+    clashing columns: every stage on its own; then the whole chain, also of no rows."""
+    text = " ".join(prose(random.Random(6), 60))
+    given = ODD + [(30, text), (31, text + " "), (30, "quite another text under the same id as before"), (None, text)]
+    docs = docs_of(given).drop("mix")  # the one name that the mixture keeps for itself
+    stages = dict(corpus_pipeline.STAGES)
+    got = {n: stages[n](spark, docs, sf_small) for n in list(stages)[:-1]}
+    assert all(df.columns == docs.columns for df in got.values())
+    whole = Counter(given)
+    assert not Counter(rows(got["quality"])) - whole
+    assert Counter(rows(got["mixture"])) == whole
+    bare = lambda t: "".join(c for c in t or "" if c not in " \t\n\v\f\r")
+    exact = rows(got["exact_copies"])
+    assert sorted(bare(t) for _, t in exact) == sorted({bare(t) for _, t in given}) and not Counter(exact) - whole
+    near = rows(got["near_copies"])
+    assert not Counter(near) - whole and len([t for _, t in near if bare(t) == bare(text)]) == 1
+    assert (30, text) in near and (30, "quite another text under the same id as before") in near
+    assert len([t for _, t in near if not bare(t)]) == 3
+    pieces = stages["packing"](spark, stash(docs, "given"), sf_small).collect()  # reads written tables
+    assert Counter(p["doc_id"] for p in pieces if p["start"] == 0) == Counter(i for i, _ in given)
+    for table in (docs, docs.limit(0)):
+        left = table
+        for name, stage in corpus_pipeline.STAGES:
+            left = stash(stage(spark, left, sf_small), name)
+        assert (left.count() > 0) == (table is docs)
