@@ -212,9 +212,9 @@ def _scored_by_join(df: DataFrame, model: NBModel) -> DataFrame:
 def nb_oov(df: DataFrame, model: NBModel) -> DataFrame:
     """J2 report: tokens of ``df``'s blocks missing from the vocabulary,
     with their block counts."""
-    long = css_long(df, label=False)
-    return (long.join(model.table.select("token"), "token", "left_anti")
-                .groupBy("token").agg(F.count("*").cast("bigint").alias("n_blocks")))
+    counts = css_long(df, label=False).groupBy("token").agg(F.count("*").cast("bigint").alias("n_blocks"))
+    # counted first: what is joined grows with the words, not with their uses
+    return counts.join(model.table.select("token"), "token", "left_anti")
 
 
 def nb_indicative(model: NBModel, n: int = 10) -> DataFrame:

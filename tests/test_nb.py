@@ -106,3 +106,12 @@ def test_stream_of_a_table_folder(spark, tmp_path):
     out = run_to_table(page_stream(spark, path, max_files=1), lambda b: score_new_pages(b, model))
     got = {r["page_id"]: r["extracted"] for r in spark.read.parquet(out).collect()}
     assert got == {i: f"page {i} text" for i in range(9)}
+
+
+def test_oov_joins_counted_tokens(spark):
+    # a frequent word reaches the join as one row, so no task gets all of its uses
+    pages = pages_df(spark, [(i, [("t", {"a": 1, f"b{i % 2}": 2}, i % 2)], "", "") for i in range(6)])
+    found = nb.nb_oov(pages, nb.nb_fit(pages.where("page_id % 2 = 0")))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join LeftAnti") < plan.index("Aggregate [token")
+    assert [tuple(r) for r in found.collect()] == [("b1", 3)]
