@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pagesift.functions.exprs import let
 from pagesift.functions.html_blocks import LINK_BEGIN, LINK_END
 
 # ---- fixed values: must equal the reference's token classes ----
@@ -83,12 +84,20 @@ def css_tokens(col) -> Column:
 
 
 def token_bag(tokens) -> Column:
-    """MAP<token, count> of a token array (empty map for no tokens)."""
-    arr = _c(tokens)
-    return F.map_from_entries(F.transform(
-        F.array_distinct(arr),
-        lambda t: F.struct(t.alias("key"),
-                           F.size(F.filter(arr, lambda x: x == t)).cast("int").alias("value"))))
+    """MAP<token, count> of a token array (empty map for no tokens).
+
+    The array is evaluated once and sorted; a token's count is the length of
+    its run, so a block costs ``n log n`` however many different tokens it has."""
+    def runs(s):
+        return F.filter(F.transform(s, lambda t, i: F.when(
+            (i == 0) | (t != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
+
+    def counts(s):
+        return let(runs(s), lambda starts: F.map_from_entries(F.transform(
+            starts, lambda at, k: F.struct(
+                F.get(s, at).alias("key"),
+                (F.coalesce(F.get(starts, k + 1), F.size(s)) - at).cast("int").alias("value")))))
+    return let(F.sort_array(_c(tokens)), counts)
 
 
 def sentence_count(col) -> Column:

@@ -45,3 +45,13 @@ def test_post123_splits_digits(spark):
     # camel-case split keeps 'Post' separate from the digits
     df = spark.createDataFrame([("Post123",)], "s string")
     assert Counter(df.select(css_tokens("s").alias("t")).first()["t"]) == {"post": 1, "<DIGITS>": 1}
+
+
+def test_token_bag_evaluates_its_array_once(spark):
+    # a bag of words: the split may not be run again for each different word
+    words = [f"w{i * 7919 % 997}" for i in range(5000)] + ["é", "é", ""]
+    df = spark.createDataFrame([(" ".join(words), words), (None, None), ("", [])], "s string, t array<string>")
+    plan = df.select(token_bag(F.split("s", " ")).alias("m"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("split(") == 1
+    got = [r["m"] for r in df.select(token_bag("t").alias("m")).collect()]
+    assert got == [dict(Counter(words)), None, {}]
