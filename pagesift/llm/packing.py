@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesift.llm.common import read_table, text_bytes
+from pagesift.llm.common import read_table, text_bytes, trimmed
 from pagesift.llm.tokens import ID, default_vocabulary, encode_all
 
 TIERS = (256, 512, 1024, 2048)
@@ -174,7 +174,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, doc_id: str = "doc_
     ``BLOCK_TOKENS``, and inside of a block with the documents that open the
     sequences."""
     run, schema = _packer(path or default_vocabulary(), tuple(tiers), with_ids)
-    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, schema)
+    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(trimmed(run), schema)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesift.llm.common import U64, pieces, read_table, span_hashes, text_bytes, word_spans
+from pagesift.llm.common import U64, give_back, pieces, read_table, span_hashes, text_bytes, word_spans
 
 WORD_BITS = 14
 BINS = 16
@@ -194,6 +194,7 @@ def scorer(spark: SparkSession, model: Model | None):
         texts, out = text_bytes(column), [np.zeros(0)]
         for a, b in pieces(texts):
             out.append(1 / (1 + np.exp(-margins(shared.value, *features(texts[a:b]))[0])))
+        give_back()
         return pa.array(np.concatenate(out))
     return score
 

@@ -98,3 +98,12 @@ def test_words_by_memory_equal_the_tokenizer(texts):
     texts += ["<|endoftext|>x <|ENDOFTEXT|>", LONG[:3000]]
     got = encode_all(default_vocabulary(), [t.encode() for t in texts])
     assert [g.tolist() for g in got] == [model.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_packing_task_hands_its_memory_back(spark, monkeypatch):
+    # the worker lives on beside the JVM and later stages' workers
+    from pagesift.llm import packing
+    wrapped = []
+    monkeypatch.setattr(packing, "trimmed", lambda run: wrapped.append(run) or run)
+    packing.pack_documents(spark.createDataFrame([(1, "a b")], "doc_id long, text string"))
+    assert len(wrapped) == 1
