@@ -50,7 +50,11 @@ class FourierMap:
         return cls(w, b)
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
-        return np.sqrt(2.0 / len(self.weights)) * np.cos(x @ self.weights.T + self.offsets)
+        z = x @ self.weights.T  # the one wide matrix that is made
+        z += self.offsets
+        np.cos(z, out=z)
+        z *= np.sqrt(2.0 / len(self.weights))
+        return z
 
 
 def scaler_arrays(scaler: ScalerModel) -> tuple[np.ndarray, np.ndarray]:

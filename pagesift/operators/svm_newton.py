@@ -6,9 +6,10 @@ examples (the intercept is not penalised).  The hinge is rounded off within
 ``h`` of its corner, so Newton's method works; ``h`` falls in stages, each one
 starting where the last ended, until the objective is that of the hinge to four
 digits.  A pass evaluates loss, gradient and Hessian of all unfinished models
-at their next points: every partition sums them into one matrix a model, and
-the partitions' matrices are summed by groups before the driver gets one of
-them for each model.  Steps that do not lower the loss are halved.
+at their next points: every partition sums them into one matrix a model, what
+models have in common once for all, and the partitions' matrices are summed by
+groups before the driver gets one of them for each model.  Steps that do not
+lower the loss are halved.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 # margins are on the round part; only the last one has to be solved well.
 STAGES = ((2.0, 1e-2), (0.5, 1e-3), (0.1, 1e-5), (0.02, 1e-7))
 MOST_PASSES = 500                # guards against a run that never ends, reported
-ROWS_PER_PRODUCT = 8_192
+ROWS_PER_PRODUCT = 1_024
 MERGED = 32                      # partitions whose sums are merged in one task first
 
 
@@ -86,11 +87,24 @@ def rounded_hinge(margin: np.ndarray, h: float) -> tuple[np.ndarray, np.ndarray,
     return loss, slope, curved
 
 
-def _rows(batch: pa.RecordBatch, dim: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(features, +1 or -1, weights by model) of some thousand examples each."""
-    label = batch.column(0).to_numpy(zero_copy_only=False)
-    f = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(label), dim)
-    w = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(label), k)
+def _rows(batches: Iterator[pa.RecordBatch], dim: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(features, +1 or -1, weights by model) of some thousand examples each,
+    however small the batches are."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= ROWS_PER_PRODUCT:
+            yield from _cut(held, dim, k)
+            held, n = [], 0
+    if n:
+        yield from _cut(held, dim, k)
+
+
+def _cut(batches: list[pa.RecordBatch], dim: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    label = np.concatenate([b.column(0).to_numpy(zero_copy_only=False) for b in batches])
+    f, w = (np.concatenate([b.column(c).flatten().to_numpy(zero_copy_only=False) for b in batches])
+            .reshape(len(label), width) for c, width in ((1, dim), (2, k)))
     for a in range(0, len(label), ROWS_PER_PRODUCT):
         part = slice(a, a + ROWS_PER_PRODUCT)
         yield f[part], np.where(label[part] == 1, 1.0, -1.0), w[part]
@@ -114,9 +128,10 @@ def summed(examples: DataFrame, run, groups: int, merge=np.add) -> dict[int, np.
                  .applyInArrow(lambda key, t: merged(t.select(["model", "sums"])), schema)
                  .groupBy("model").applyInArrow(merged, schema))
     out: dict[int, np.ndarray] = {}
-    for r in parts.collect():  # MERGED rows a model at most
-        part = np.frombuffer(bytes(r["sums"]), np.float64)
-        out[r["model"]] = merge(out[r["model"]], part) if r["model"] in out else part
+    found = parts.toArrow()  # MERGED rows a model at most
+    for model, raw in zip(found["model"].to_pylist(), found["sums"]):
+        part = np.frombuffer(raw.as_buffer(), np.float64)
+        out[model] = merge(out[model], part) if model in out else part
     return out
 
 
@@ -129,12 +144,11 @@ def ranges(examples: DataFrame, dim: int, k: int) -> list[np.ndarray]:
     every feature over its examples; nan without any."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.full((k, 2, dim), -np.inf)
-        for batch in batches:
-            for f, _, w in _rows(batch, dim, k):
-                for i in range(k):
-                    mine = f[w[:, i] > 0]
-                    if len(mine):
-                        out[i] = np.maximum(out[i], [(-mine).max(0), mine.max(0)])
+        for f, _, w in _rows(batches, dim, k):
+            for i in range(k):
+                mine = f[w[:, i] > 0]
+                if len(mine):
+                    out[i] = np.maximum(out[i], [(-mine).max(0), mine.max(0)])
         yield pa.RecordBatch.from_pydict({"model": pa.array(range(k), pa.int32()),
                                           "sums": pa.array([o.tobytes() for o in out], pa.binary())})
     examples = examples.select("label", "f", "w")
@@ -155,8 +169,8 @@ def fit_all(examples: DataFrame, maps: list, dim: int, c: float = 1.0) -> list[F
 
     def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, any_ = np.zeros(k), False
-        for batch in batches:
-            total += sum((w.sum(0) for _, _, w in _rows(batch, dim, k)), np.zeros(k))
+        for _, _, w in _rows(batches, dim, k):
+            total += w.sum(0)
             any_ = True
         if any_:
             yield pa.RecordBatch.from_pydict({"model": pa.array([0], pa.int32()),
@@ -186,25 +200,50 @@ def fit_all(examples: DataFrame, maps: list, dim: int, c: float = 1.0) -> list[F
     return [Fitted(r.point[:-1].copy(), float(r.point[-1]), p, r.done) for r, p in zip(runs, passes)]
 
 
+def _square(z: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """``z' diag(weight) z`` for weights of 0 or more."""
+    rows = np.flatnonzero(weight > 0)
+    root = z[rows] * np.sqrt(weight[rows])[:, None]
+    return root.T @ root  # of one matrix with itself: half of a product
+
+
+def weighted_squares(z: np.ndarray, weights: np.ndarray) -> list[np.ndarray]:
+    """``z' diag(w) z`` for every column ``w`` of ``weights``.  The middle one
+    of a row's weights is summed once for all columns, and for each of them what
+    it has more or less: the models of a cross validation differ in the rows of
+    their own fold, and in few others."""
+    middle = (weights.shape[1] - 1) // 2
+    shared = np.partition(weights, middle, axis=1)[:, middle]
+    base = _square(z, shared)
+    return [base + _square(z, rest) - _square(z, -rest) for rest in (weights - shared[:, None]).T]
+
+
 def _evaluate(maps: list, groups: dict, asked: dict, dim: int, k: int, width: int):
+    # models of one map at one stage are summed together
+    together = {}
+    for key, members in groups.items():
+        for i in members:
+            if i in asked:
+                together.setdefault(key, {}).setdefault(asked[i][1], []).append(i)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {i: np.zeros(1 + width + width * width) for i in asked}
-        for batch in batches:
-            for f, sign, w in _rows(batch, dim, k):
-                for members in groups.values():
-                    open_ = [i for i in members if i in asked]
-                    if not open_:
-                        continue
-                    z = np.concatenate([maps[open_[0]](f), np.ones((len(f), 1))], axis=1)
+        for f, sign, w in _rows(batches, dim, k):
+            for stages in together.values():
+                some = next(iter(stages.values()))[0]
+                z = np.ones((len(f), width))
+                z[:, :-1] = maps[some](f)
+                for h, open_ in stages.items():
+                    mine = w[:, open_]
                     margins = sign[:, None] * (z @ np.stack([asked[i][0] for i in open_], axis=1))
+                    loss, slope, curved = rounded_hinge(margins, h)
+                    losses = (loss * mine).sum(0)
+                    gradients = z.T @ (slope * sign[:, None] * mine)
+                    hessians = weighted_squares(z, np.where(curved, mine / (2 * h), 0.0))
                     for j, i in enumerate(open_):
-                        h = asked[i][1]
-                        loss, slope, curved = rounded_hinge(margins[:, j], h)
-                        curved &= w[:, i] > 0
-                        zc = z[curved]
-                        sums[i][0] += (loss * w[:, i]).sum()
-                        sums[i][1:1 + width] += z.T @ (slope * sign * w[:, i])
-                        sums[i][1 + width:] += ((zc * (w[curved, i] / (2 * h))[:, None]).T @ zc).reshape(-1)
+                        sums[i][0] += losses[j]
+                        sums[i][1:1 + width] += gradients[:, j]
+                        sums[i][1 + width:] += hessians[j].reshape(-1)
         yield pa.RecordBatch.from_pydict({"model": pa.array(list(sums), pa.int32()),
                                           "sums": pa.array([s.tobytes() for s in sums.values()], pa.binary())})
     return run
