@@ -44,6 +44,12 @@ def with_text_bags(df: DataFrame) -> DataFrame:
         "blocks", lambda b: b.withField("css", token_bag(words(b)))))
 
 
+def bags_only(df: DataFrame) -> DataFrame:
+    """Pages with what a model is fitted on and scores: bags and labels, no text."""
+    return df.select("page_id", F.transform("blocks", lambda b: F.struct(
+        *[b[f].alias(f) for f in ("pos", "css", "label")])).alias("blocks"))
+
+
 def block_count(df: DataFrame) -> DataFrame:
     """One row: number of blocks and of positive blocks."""
     return df.select(F.explode_outer("blocks").alias("b")).filter(F.col("b").isNotNull()).agg(

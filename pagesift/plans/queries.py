@@ -197,7 +197,7 @@ def q_feature_vectors(spark, sf):
 
 
 def q_indicative_features(spark, sf, source=_pages):
-    pages = jobs.stored(source(spark, sf))
+    pages = jobs.stored(nbm.bags_only(source(spark, sf)), "bags")
     feats = feature_vectors(pages, ((INDICATIVE_TOKENS, TOP_N),), _indicative_model(pages))
     b = _long(feats, "pos", "f")
     return b.select("page_id", "pos", *[F.get("f", k).alias(f"i{k:02d}") for k in range(TOP_N)])
@@ -363,6 +363,13 @@ def _nb(spark, sf, source=_pages):
     return pages, nbm.nb_fit(pages)
 
 
+def _nb_bags(spark, sf, source=_pages):
+    """As ``_nb``, for queries that read no text of the pages: only the bags are
+    written, and read by each pass."""
+    pages = jobs.stored(nbm.bags_only(source(spark, sf)), "bags")
+    return pages, nbm.nb_fit(pages)
+
+
 def q_nb_vocab(spark, sf, source=_pages):
     return nbm.nb_vocab(source(spark, sf))
 
@@ -374,7 +381,7 @@ def q_nb_prior(spark, sf):
 
 
 def q_nb_model(spark, sf, source=_pages):
-    _, model = _nb(spark, sf, source)
+    _, model = _nb_bags(spark, sf, source)
     return model.table.select("token", *[_r(F.col(c)).alias(c) for c in
                                          ("pos_cnt", "neg_cnt", "pos_prob", "neg_prob")])
 
@@ -396,26 +403,26 @@ def q_nb_sparseness(spark, sf, source=_pages):
 
 
 def q_nb_predict(spark, sf, source=_pages):
-    pages, model = _nb(spark, sf, source)
+    pages, model = _nb_bags(spark, sf, source)
     b = _long(nbm.nb_predict(pages, model), "pos", "prediction", "nb_pos", "nb_neg")
     return b.select("page_id", "pos", F.col("prediction").cast("int"),
                     _r(F.col("nb_pos")).alias("nb_pos"), _r(F.col("nb_neg")).alias("nb_neg"))
 
 
 def q_nb_oov(spark, sf, source=_pages):
-    split = holdout_split(jobs.stored(source(spark, sf)), HOLDOUT_RATIO)
+    split = holdout_split(jobs.stored(nbm.bags_only(source(spark, sf)), "bags"), HOLDOUT_RATIO)
     model = nbm.nb_fit(split.filter("split = 'train'").drop("split"))
     return nbm.nb_oov(split.filter("split = 'test'").drop("split"), model)
 
 
 def q_nb_indicative(spark, sf, source=_pages):
-    _, model = _nb(spark, sf, source)
+    _, model = _nb_bags(spark, sf, source)
     return nbm.nb_indicative(model, TOP_N).select("kind", "rank", "token",
                                                    _r(F.col("score")).alias("score"))
 
 
 def q_nb_weighted_negative(spark, sf, source=_pages):
-    _, model = _nb(spark, sf, source)
+    _, model = _nb_bags(spark, sf, source)
     return nbm.nb_weighted_negative(model, TOP_N).select("kind", "rank", "token",
                                                           _r(F.col("score")).alias("score"))
 
