@@ -43,7 +43,9 @@ LEADERS = 4                # of a list in a round, and that a class tries
 BLUR = 0.2                 # of the order of leaders, for other ones each round
 LEAST_YIELD = 0.02         # links of a round for each pair it tried, else it is the last
 RATIOS = (1.007, 1.02, 1.06, 1.15, 1.34)  # bands of two sizes' ratio; the last holds all that fit
-BLOCK_SHINGLES = 1 << 20   # that a task gathers before it passes them on
+BLOCK_SHINGLES = 1 << 20   # that a task gathers before it counts them
+BLOCK_ENTRIES = 1 << 18    # that a task gathers before it passes them on
+MET_CLASSES = 1 << 16      # that a task remembers, so that it passes on no copy of them
 # A shingle's 48 bits after those of its bucket, in two fields.
 ENTRY = np.dtype([("high", "<u4"), ("low", "<u2"), ("cls", "<i8"), ("size", "<u4"), ("extra", "<u4")])
 
@@ -197,11 +199,13 @@ def _post(bits: int, seed: int, shared):
                     continue
                 met.add(cls)
                 chosen, extra = prefix(s, heavy, counts)
-                entries.append((chosen, cls, len(s), extra))
+                entries.append((chosen.copy(), cls, len(s), extra))  # a view would hold the whole set
                 held += len(chosen)
-            if held >= BLOCK_SHINGLES:
-                yield from flush(entries)
-                entries, held, met = [], 0, set()
+                if held >= BLOCK_ENTRIES:
+                    yield from flush(entries)
+                    entries, held = [], 0
+            if len(met) >= MET_CLASSES:
+                met = set()
         yield from flush(entries)
     return run
 
@@ -245,12 +249,13 @@ def _lists(bits: int):
                                [:len(x)])
         shared = np.diff(np.r_[start, len(x)])
         x, y = x[start], y[start]
-        none = [None] * len(long)
         fields = ("cls", "size", "extra")
-        columns = ([shingle.tolist() + [None] * len(x)]
-                   + [np.concatenate([long[f], x[f]]).astype(np.int64) for f in fields]
-                   + [none + y[f].astype(np.int64).tolist() for f in fields] + [none + shared.tolist()])
-        return pa.table([pa.array(c, pa.int64()) for c in columns], names)
+        paired = np.arange(len(long) + len(x)) >= len(long)
+        before, after = np.zeros(len(long), np.int64), np.zeros(len(x), np.int64)
+        columns = ([pa.array(np.r_[shingle, after], mask=paired)]
+                   + [pa.array(np.concatenate([long[f], x[f]]).astype(np.int64)) for f in fields]
+                   + [pa.array(np.r_[before, c.astype(np.int64)], mask=~paired) for c in (*(y[f] for f in fields), shared)])
+        return pa.table(columns, names)
     return run
 
 

@@ -168,3 +168,23 @@ def test_no_pair_needs_less_than_the_floor(spark, band):
         assert floors["b", False][s - 1] <= min(need(s, b, near, partner_b).min(), need(s, b, near, partner_w).min())
         assert floors["w", False][s - 1] <= need(s, w, near, partner_b).min()
         assert floors["w", True][s - 1] <= need(s, w, near, partner_w).min()
+
+
+def test_posted_blocks_are_small_and_hold_no_copy_twice(monkeypatch):
+    """pipeline, near_copies: a worker passes on its entries by small blocks,
+    within a batch too, and a class that it has met not again."""
+    import pyarrow as pa
+
+    class Shared:
+        value = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    rng = random.Random(9)
+    texts = [" ".join(prose(rng, 300)) for _ in range(40)]
+    monkeypatch.setattr(N, "BLOCK_ENTRIES", 1000)
+    batches = [pa.RecordBatch.from_pydict({"text": pa.array(texts)}) for _ in range(3)]
+    blocks = [np.concatenate([np.frombuffer(x.as_buffer(), N.ENTRY) for x in b.column(1)])
+              for b in N._post(3, 0, Shared)(iter(batches))]
+    assert len(blocks) > 2 and max(map(len, blocks)) < 1000 + 300
+    entries = np.concatenate(blocks)
+    assert len(set(entries["cls"].tolist())) == 40
+    sets = [s for s in N.text_sets([t.encode() for t in texts])]
+    assert len(entries) == sum(len(N.prefix(s, *Shared.value)[0]) for s in sets)
