@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,11 +86,16 @@ def has_bits(packed: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (packed[p >> 3] >> (7 - (p & 7)) & 1).all(axis=1)
 
 
+def longs(column: pa.Array) -> np.ndarray:
+    """A column of longs; null counts as 0."""
+    return column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def tester(spark: SparkSession, packed: np.ndarray):
     """``has_bits`` as a column function of a long."""
     shared = spark.sparkContext.broadcast(packed)
 
-    @F.pandas_udf("boolean")
-    def maybe(h: pd.Series) -> pd.Series:
-        return pd.Series(has_bits(shared.value, h.to_numpy(np.int64)))
+    @F.arrow_udf("boolean")  # without pandas, which each worker would keep 24 MB of
+    def maybe(h: pa.Array) -> pa.Array:
+        return pa.array(has_bits(shared.value, longs(h)), pa.bool_())
     return maybe

@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagesift.llm.bits import filter_bits, has_bits, set_bits, tester
-from pagesift.llm.common import (U64, batch_words, components, join_skewed, mix, pieces,
+from pagesift.llm.bits import filter_bits, has_bits, longs, set_bits, tester
+from pagesift.llm.common import (U64, batch_words, components, give_back, join_skewed, mix, pieces,
                                  read_table, shingle_hashes, short_plans, shuffle_partitions, stash, text_bytes,
                                  trimmed)
 
@@ -561,12 +561,19 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     return _joined(docs, doc_id, text)[0]
 
 
-def _class_ids(seed: int):
-    """Column function: the class id of a text, null without shingles."""
-    @F.arrow_udf("long")
-    def class_id(texts: pa.Array) -> pa.Array:
-        return pa.array([set_class(s, seed)[0] if len(s) else None for s in text_sets(text_bytes(texts))], pa.int64())
-    return class_id
+def _asked(seed: int, shared):
+    """Column function of an id and a text: are all bits of the id set, and, if
+    so, the class id of the text, null without shingles.  One function for both,
+    so that a task has one worker; not to be evaluated again in a filter."""
+    @F.arrow_udf("maybe boolean, cls long")
+    def asked(ids: pa.Array, texts: pa.Array) -> pa.Array:
+        maybe = has_bits(shared.value, longs(ids))
+        sets = text_sets(text_bytes(texts.filter(pa.array(maybe, pa.bool_()))))
+        classes = (set_class(s, seed)[0] if len(s) else None for s in sets)
+        cls = pa.array([next(classes) if m else None for m in maybe.tolist()], pa.int64())
+        give_back()
+        return pa.StructArray.from_arrays([pa.array(maybe, pa.bool_()), cls], ["maybe", "cls"])
+    return asked.asNondeterministic()
 
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -575,7 +582,8 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     without shingles.  Rows are told apart by id and set, so another text under
     a repeated id is a document of its own.  Other cases as in ``ngram_join``.
     Only documents of components of more than one row, and few others that a
-    Bloom filter of ids lets through, are shuffled with their texts."""
+    Bloom filter of ids lets through, are written with their class ids and
+    shuffled with their texts."""
     found, seed = _joined(docs, doc_id, text)
     found = stash(found, "joined")
     linked = found.where("group_id is not null").select("doc_id", F.col("class_id").alias("cls"), "group_id")
@@ -585,17 +593,21 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
                  .select("doc_id", "cls", "group_id", (F.col("doc_id").eqNullSafe(F.col("keep.doc_id"))
                                                        & (F.col("cls") == F.col("keep.cls"))).alias("stays")), "near")
     asked_ids = near.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"))
-    maybe = tester(docs.sparkSession, set_bits(asked_ids, filter_bits(near.count())))
+    packed = set_bits(asked_ids, filter_bits(near.count()))
+    maybe, shared = tester(docs.sparkSession, packed), docs.sparkSession.sparkContext.broadcast(packed)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    held = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"), whole.alias("_row"))
-    held = held.withColumn("_maybe", maybe(F.coalesce("_id", F.lit(0))))
-    asked = held.where("_maybe").withColumn("_cls", _class_ids(seed)("_text")).select("_id", "_cls", "_row")
+    ids = F.col(doc_id).cast("long").alias("_id")
+    others = docs.select(ids, whole.alias("_row")).where(~maybe(F.coalesce("_id", F.lit(0))))
+    asked = docs.select(ids, F.col(text).alias("_text"), whole.alias("_row")).select(
+        "_id", _asked(seed, shared)("_id", "_text").alias("_asked"), "_row")
+    asked = stash(asked.where("_asked.maybe").select("_id", F.col("_asked.cls").alias("_cls"), "_row"), "asked")
+    shared.destroy()
     same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_cls") == F.col("cls"))
     chosen = (asked.join(near.where("stays").select("doc_id", "cls").distinct(), same)
               .groupBy("_id", "_cls").agg(F.first("_row").alias("_row")))
-    others = asked.join(near.select("doc_id", "cls"), same, "left_anti")
-    return (held.where("not _maybe").select("_row.*").unionByName(chosen.select("_row.*"))
-            .unionByName(others.select("_row.*")))
+    unlinked = asked.join(near.select("doc_id", "cls"), same, "left_anti")
+    return (others.select("_row.*").unionByName(chosen.select("_row.*"))
+            .unionByName(unlinked.select("_row.*")))
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 """The similarity join against all pairs."""
+import os
 import random
 from collections import Counter, defaultdict
 
@@ -188,3 +189,22 @@ def test_posted_blocks_are_small_and_hold_no_copy_twice(monkeypatch):
     assert len(set(entries["cls"].tolist())) == 40
     sets = [s for s in N.text_sets([t.encode() for t in texts])]
     assert len(entries) == sum(len(N.prefix(s, *Shared.value)[0]) for s in sets)
+
+
+def test_a_task_that_keeps_rows_has_one_python_worker(docs_of):
+    """pipeline, near_copies: the test of ids and the class ids were two Python
+    nodes one above the other, so each task that wrote rows held two workers."""
+    text = " ".join(prose(random.Random(4), 60))
+    docs = docs_of([(1, text), (2, text + " more"), (3, None), (None, text), (4, "other words")])
+    kept = N.drop_near_copies(docs)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4]
+
+
+def test_workers_do_not_load_pandas():
+    """Each Python worker kept 24 MB of a library that no task needs."""
+    import subprocess
+    import sys
+    code = "import sys, pagesift.llm.queries; sys.exit('pandas' in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.dirname(__file__)))).returncode == 0
