@@ -11,7 +11,7 @@ of a written copy of the pages; the scores are the same.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -44,9 +44,10 @@ def with_text_bags(df: DataFrame) -> DataFrame:
         "blocks", lambda b: b.withField("css", token_bag(words(b)))))
 
 
-def bags_only(df: DataFrame) -> DataFrame:
-    """Pages with what a model is fitted on and scores: bags and labels, no text."""
-    return df.select("page_id", F.transform("blocks", lambda b: F.struct(
+def bags_only(df: DataFrame, *keys: str) -> DataFrame:
+    """Pages with what a model is fitted on and scores: bags and labels, no text;
+    ``keys`` are kept beside the page_id."""
+    return df.select("page_id", *keys, F.transform("blocks", lambda b: F.struct(
         *[b[f].alias(f) for f in ("pos", "css", "label")])).alias("blocks"))
 
 
@@ -169,6 +170,13 @@ def nb_predict(df: DataFrame, model: NBModel, out: str = "prediction",
         "blocks", lambda b, i: decide(b, F.get(F.col("_nbs"), i)))).drop("_nbs")
 
 
+def for_tokens_of(few: DataFrame, model: NBModel) -> NBModel:
+    """``model`` with the tokens of ``few`` pages alone, which it scores as
+    before: the tokens of those pages are sent to every task, not the model's."""
+    met = F.broadcast(css_long(few, label=False).select("token").distinct())
+    return replace(model, table=model.table.join(met, "token", "left_semi"))
+
+
 def _bag_scorer(model: NBModel):
     """Column function: the score sums of each bag in an array of bags."""
     rows = model.table.select("token", "pos_prob", "neg_prob").toArrow().to_pydict()

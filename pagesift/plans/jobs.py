@@ -48,10 +48,15 @@ def page_blocks(pages: DataFrame, documents: DataFrame) -> DataFrame:
     return seg.join(gold, "doc_id", "inner")
 
 
-def labelled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages with ``blocks[pos, text, css, label]``, ``body_text``, ``gold``."""
-    return block_labels(page_blocks(read_table(spark, sf_dir, "pages"),
-                                    read_table(spark, sf_dir, "documents")))
+def labelled_pages(spark: SparkSession, sf_dir: str, only: tuple | None = None) -> DataFrame:
+    """Pages with ``blocks[pos, text, css, label]``, ``body_text``, ``gold``;
+    with ``only`` the rows of that (page_id, doc_id), picked by the scans of
+    both tables before anything is segmented or normalized."""
+    pages, documents = read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "documents")
+    if only:
+        pages = pages.where(F.col("page_id").eqNullSafe(F.lit(only[0])))
+        documents = documents.where(F.col("doc_id") == F.lit(only[1]))
+    return block_labels(page_blocks(pages, documents))
 
 
 def materialize_pages(pages: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:

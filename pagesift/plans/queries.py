@@ -48,9 +48,9 @@ def _r(c):
     return F.round(c, 6)
 
 
-def _pages(spark, sf):
+def _pages(spark, sf, only=None):
     tune(spark)
-    return jobs.labelled_pages(spark, sf)
+    return jobs.labelled_pages(spark, sf, only)
 
 
 def _long(df, *fields):
@@ -344,10 +344,10 @@ def q_sample_docs(spark, sf):
 
 
 # -- naive Bayes -----------------------------------------------------------
-def _text_pages(spark, sf):
+def _text_pages(spark, sf, only=None):
     """Pages whose bags hold the words of the blocks' own text: thousands of
     tokens, where the class and id bags of the given pages have one."""
-    return nbm.with_text_bags(_pages(spark, sf))
+    return nbm.with_text_bags(_pages(spark, sf, only))
 
 
 def _with_text(fn):
@@ -428,8 +428,13 @@ def q_nb_weighted_negative(spark, sf, source=_pages):
 
 
 def q_nb_report(spark, sf, source=_pages):
-    pages, model = _nb(spark, sf, source)
-    return nb_report(pages, model, TOP_N)
+    # the model needs bags only; the one page whose article is asked for is
+    # found by its keys and read again with its texts
+    bags = jobs.stored(nbm.bags_only(source(spark, sf), "doc_id"), "bags")
+    model = nbm.nb_fit(bags)
+    keys = bags.select("page_id", "doc_id").orderBy("page_id", "doc_id").limit(1).collect()
+    first = source(spark, sf, only=tuple(keys[0])) if keys else source(spark, sf)
+    return nb_report(jobs.stored(first.limit(1), "first"), model, TOP_N)
 
 
 def nb_report(pages: DataFrame, model, n: int) -> DataFrame:
@@ -444,7 +449,7 @@ def nb_report(pages: DataFrame, model, n: int) -> DataFrame:
         F.col("kind").alias("section"), "rank", "token", _r(F.col("score")).alias("value"),
         F.lit(None).cast("string").alias("text"))
     first = pages.orderBy("page_id").limit(1)
-    art = extract_article(nbm.nb_predict(first, model), "prediction").select(
+    art = extract_article(nbm.nb_predict(first, nbm.for_tokens_of(first, model)), "prediction").select(
         F.lit("article").alias("section"), head.alias("rank"),
         F.lit(None).cast("string").alias("token"),
         F.col("page_id").cast("double").alias("value"), F.col("extracted").alias("text"))
